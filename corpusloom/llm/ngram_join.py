@@ -10,8 +10,8 @@ and summed per pair, so that each link rests on an exact count.
 2. One scan writes per document: set size, 64-bit class (equal sets, equal class), prefix
    and a parity sketch.  Two sets with Jaccard >= t share a prefix shingle.
 3. Prefix shingles are dealt out by hash.  In each group of a shingle all members are proposed
-   with one hub: as many pairs as members.  Proposed pairs are counted exactly; links are
-   joined to components.
+   with one hub: as many pairs as members.  Those that sketches allow (see 4) are counted
+   exactly; links are joined to components.
 4. Groups that still hold several components give all their pairs between different
    components, in blocks, less those that the sizes or the sketches rule out: the parity
    sketches of x and y differ in at most |x - y| + |y - x| bits.  These are counted exactly too.
@@ -223,7 +223,7 @@ def _hubs(entries: DataFrame, parts: dict[int, int]) -> DataFrame:
 def _overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n_words: int, percent: int) -> DataFrame:
     """Exact links among pairs (a, b) of classes: partial overlaps per fragment, summed per pair."""
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    ids = materialise(wanted.join(reps, "cls").select("cls", "doc_id"), "wanted")
+    ids = materialise(wanted.join(reps.select("cls", "doc_id"), "cls").select("cls", "doc_id"), "wanted")
     ids_few = ids.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids_few else ids.hint("shuffle_hash"), "doc_id")
 
@@ -264,6 +264,18 @@ def _fold(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
+def _allowed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that their sizes and sketches allow to be links."""
+    for batch in batches:
+        keep = []
+        for m, n, x, y in zip(*(batch.column(k).to_pylist() for k in ("na", "nb", "sa", "sb"))):
+            width = min(_sketch_bits(m), _sketch_bits(n))
+            x, y = (_fold(np.frombuffer(z, np.uint64), width) for z in (x, y))
+            least = -(-percent * (m + n) // (100 + percent))
+            keep.append(int(np.bitwise_count(x ^ y).sum()) <= m + n - 2 * least)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _residual(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (h, bi, bj): pairs of a unit that sizes and sketches allow."""
 
@@ -316,7 +328,7 @@ def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT)
     docs = docs.select("doc_id", "text")
     table, parts = _signatures(docs, n_words, percent)
     reps = materialise(
-        table.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes"
+        table.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes"
     )
     groups = materialise(_hubs(table, parts), "groups")
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -328,7 +340,9 @@ def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT)
     pairs = materialise(
         stars.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), "pairs"
     )
-    links = materialise(_overlaps(docs, reps, pairs, n_words, percent), "links")
+    side = lambda k: reps.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _allowed(it, percent), "a long, b long")
+    links = materialise(_overlaps(docs, reps, materialise(likely, "likely"), n_words, percent), "links")
     first = materialise(connected_components(links.select("a", "b")), "components")
 
     # groups with several components
@@ -341,8 +355,7 @@ def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT)
         "unit",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("bi"), F.greatest(k, F.col("own")).alias("bj")))),
     )
-    sketches = table.select("cls", "sketch").dropDuplicates(["cls"])
-    held = held.select("h", "unit.bi", "unit.bj", "cls", "n", "component", "own").join(sketches, "cls")
+    held = held.select("h", "unit.bi", "unit.bj", "cls", "n", "component", "own").join(reps.select("cls", "sketch"), "cls")
     more = (
         held.repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj", "cls")
         .mapInArrow(lambda it: _residual(it, percent), "a long, b long")
