@@ -282,8 +282,16 @@ def _residual(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
     def unit(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         bi, bj = rows[0][1], rows[0][2]
         cls, n, comp, own = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
-        width = min(_sketch_bits(int(x)) for x in n)
-        bits = np.stack([_fold(np.frombuffer(r[7], np.uint64), width) for r in rows])
+        width = np.array([_sketch_bits(int(x)) for x in n], np.int64)
+        sketches = [np.frombuffer(r[7], np.uint64) for r in rows]
+        folded: dict[int, np.ndarray] = {}
+
+        def bits(w: int) -> np.ndarray:
+            """Sketches of at least w bits, folded to w; zeros for others."""
+            if w not in folded:
+                folded[w] = np.stack([_fold(x, w) if len(x) * 64 >= w else np.zeros(w // 64, np.uint64) for x in sketches])
+            return folded[w]
+
         left = np.flatnonzero(own == bi)
         right = np.flatnonzero(own == bj)
         for i in left.tolist():
@@ -294,7 +302,9 @@ def _residual(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
                 continue
             both = n[i] + n[j]
             least = -(-percent * both // (100 + percent))
-            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+            # sizes this close differ by one doubling of their sketches at most
+            own_bits = bits(int(min(width[i], width[j].min())))
+            apart = np.bitwise_count(own_bits[j] ^ own_bits[i]).sum(1, dtype=np.int64)
             j = j[apart <= both - 2 * least]
             if len(j):
                 yield np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
@@ -348,8 +358,13 @@ def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT)
     # groups with several components
     member = groups.select("h", "cls", "n").distinct().join(first.select(F.col("node").alias("cls"), "component"), "cls", "left")
     member = materialise(member.withColumn("component", F.coalesce("component", "cls")), "members")
-    open_ = member.groupBy("h").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = open_.where("size > 2 AND lo < hi").select("h", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    open_ = member.groupBy("h").agg(
+        F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+        F.bit_xor(F.xxhash64("cls")).alias("x"), F.sum(F.xxhash64("cls", F.lit(1)).cast("decimal(38,0)")).alias("y"),
+    )
+    # shingles of one passage often have the same members: one of them is enough
+    open_ = open_.where("size > 2 AND lo < hi").groupBy("size", "x", "y").agg(F.min("h").alias("h"))
+    open_ = open_.select("h", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     held = member.join(open_, "h").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     held = held.withColumn(
         "unit",
