@@ -9,12 +9,14 @@ and summed per pair, so that each link rests on an exact count.
    frequencies, which only shape the order (any order gives the same links).
 2. One scan writes per document: set size, 64-bit class (equal sets, equal class), prefix
    and a parity sketch.  Two sets with Jaccard >= t share a prefix shingle.
-3. Prefix shingles are dealt out by hash.  In each group of a shingle all members are proposed
-   with one hub: as many pairs as members.  Those that sketches allow (see 4) are counted
-   exactly; links are joined to components.
-4. Groups that still hold several components give all their pairs between different
-   components, in blocks, less those that the sizes or the sketches rule out: the parity
-   sketches of x and y differ in at most |x - y| + |y - x| bits.  These are counted exactly too.
+3. Prefix shingles are dealt out by hash.  The place of a shingle in a set bounds the size of a
+   partner whose first common shingle it is; members without a partner in bounds go.  In each
+   group of a shingle all members are proposed with one hub: as many pairs as members.  Those
+   that sketches allow (see 4) are counted exactly; links are joined to components.
+4. Groups that still hold several components are compared in blocks, less pairs that the bounds
+   or the sketches rule out: the parity sketches of x and y differ in at most |x - y| + |y - x|
+   bits.  A first round counts a forest of the most alike pairs, fewer than members; a second
+   one all that are still allowed between different components.
 
 Left out are only pairs whose ends are already known to be in one component, so components are
 exact.  Links returned by `ngram_links` are thus enough for the components, not all pairs.
@@ -23,6 +25,7 @@ exact.  Links returned by `ngram_links` are thus enough for the components, not
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -137,8 +140,13 @@ def _signatures(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     return table, dict(zip(hot[many].view(np.int64).tolist(), (hot_count[many] // HUB_GROUP + 1).tolist()))
 
 
-def _hubs(entries: DataFrame, parts: dict[int, int]) -> DataFrame:
-    """Per shingle: its members (h, cls, n) with a hub of their part; groups of one member go."""
+def _hubs(entries: DataFrame, parts: dict[int, int], percent: int) -> DataFrame:
+    """Per shingle: its members (h, cls, n, top) with a hub of their part.
+
+    A set of n shingles whose first common shingle with another stands at place i of the order
+    shares n - i at most, so that the other has top = (100 + percent) (n - i) / percent - n at
+    most.  Members of whole groups (part 0) that no other member's size suits go.
+    """
     spread = dict(parts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,64 +167,73 @@ def _hubs(entries: DataFrame, parts: dict[int, int]) -> DataFrame:
             at = lists.value_parent_indices().to_numpy()
             h = lists.flatten().to_numpy()
             c, n = batch.column("cls").to_numpy()[at], batch.column("n").to_numpy()[at]
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)) if len(h) else at
+            place = np.arange(len(h)) - np.concatenate([[0], ends])[at]
+            top = (100 + percent) * (n - place) // percent - n
             part = np.zeros(len(h), np.int64)
             if len(keys) and len(h):
                 k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                part = np.where(keys[k] == h, np.abs(c) % split[k], 0)
+                part = np.where(keys[k] == h, np.abs(c) % split[k] + 1, 0)
             for i in range(0, len(h), 100_000):
                 j = slice(i, i + 100_000)
-                yield pa.record_batch({"h": h[j], "part": part[j], "cls": c[j], "n": n[j]})
+                yield pa.record_batch({"h": h[j], "part": part[j], "cls": c[j], "n": n[j], "top": top[j]})
+
+    names = ("h", "part", "cls", "n", "top")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (h, part, cls); the first of a group is its hub."""
-        last = None  # h, part, cls of the latest row, the hub's cls and n, whether the hub is out
-        for batch in batches:
-            if not batch.num_rows:
+        """Rows come sorted by (h, part, cls); the first of a group that stays is its hub."""
+        held = [np.zeros(0, np.int64)] * 5
+        last = None  # of a group whose first rows are out: the latest row, hub, hub_n, hub_top
+        for batch in chain(batches, [None]):
+            rows = held if batch is None else [np.concatenate([x, batch.column(k).to_numpy()]) for x, k in zip(held, names)]
+            size = len(rows[0])
+            if not size:
                 continue
-            h, part, c, n = (batch.column(k).to_numpy() for k in ("h", "part", "cls", "n"))
-            if last is not None:
-                h, part, c, n = (np.concatenate([[x], y]) for x, y in zip(last[:4], (h, part, c, n)))
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
-            same = ~new
-            copy = np.zeros(len(h), bool)
-            copy[1:] = same[1:] & (c[1:] == c[:-1])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-            hub, hub_n = c[first], n[first]
-            out_before = np.zeros(len(h), bool)
-            if last is not None:
-                run = first == 0
-                hub = np.where(run, last[4], hub)
-                hub_n = np.where(run, last[5], hub_n)
-                out_before = run & last[6]
-            member = same & ~copy & (c != hub)
-            if last is not None:
-                member[0] = False
-            # a hub goes out with its first member
-            lead = np.flatnonzero(member)
-            lead = lead[np.unique(first[lead], return_index=True)[1]] if len(lead) else lead
-            lead = lead[~out_before[lead]]
-            rows = np.flatnonzero(member)
-            yield pa.record_batch(
-                {
-                    "h": np.concatenate([h[rows], h[lead]]),
-                    "part": np.concatenate([part[rows], part[lead]]),
-                    "cls": np.concatenate([c[rows], hub[lead]]),
-                    "n": np.concatenate([n[rows], hub_n[lead]]),
-                    "hub": np.concatenate([hub[rows], hub[lead]]),
-                    "hub_n": np.concatenate([hub_n[rows], hub_n[lead]]),
-                }
-            )
-            k = len(h) - 1
-            done = bool(out_before[k] or (member & (first == first[k])).any())
-            last = (h[k], part[k], c[k], n[k], hub[k], hub_n[k], done)
+            starts = np.flatnonzero(np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]))
+            cut = size if batch is None or size - starts[-1] > HUB_GROUP else int(starts[-1])
+            open_end = batch is not None and cut == size  # a long group goes out in stretches
+            held = [x[cut:] for x in rows]
+            if not cut:
+                continue
+            h, part, c, n, top = (x[:cut] for x in rows)
+            copy = np.zeros(cut, bool)
+            copy[1:] = (h[1:] == h[:-1]) & (part[1:] == part[:-1]) & (c[1:] == c[:-1])
+            goes_on = last is not None and (h[0], part[0]) == last[:2]
+            copy[0] = goes_on and c[0] == last[2]
+            latest = (h[-1], part[-1], c[-1])
+            h, part, c, n, top = (x[~copy] for x in (h, part, c, n, top))
+            if not len(h):
+                continue
+            group = np.concatenate([[0], np.cumsum((h[1:] != h[:-1]) | (part[1:] != part[:-1]))])
+            free = part != 0
+            if goes_on:
+                free |= group == 0
+            if open_end:
+                free |= group == group[-1]
+            # other members with sizes from percent % of n to top
+            big = int(max(n.max(), top.max())) + 2
+            key = np.sort(group * big + n)
+            low = group * big - (-percent * n // 100)
+            others = np.searchsorted(key, group * big + np.maximum(top, 0), "right") - np.searchsorted(key, low, "left") - (n <= top)
+            stays = free | (others > 0)
+            h, part, c, n, top, group = (x[stays] for x in (h, part, c, n, top, group))
+            if not len(h):
+                last = None
+                continue
+            first = np.concatenate([[True], group[1:] != group[:-1]])
+            at = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+            hub = [c[at], n[at], top[at]]
+            if goes_on:
+                hub = [np.where(group == 0, x, y) for x, y in zip(last[3:], hub)]
+            yield pa.record_batch(dict(zip((*names, "hub", "hub_n", "hub_top"), (h, part, c, n, top, *hub))))
+            last = (*latest, hub[0][-1], hub[1][-1], hub[2][-1]) if open_end else None
 
     return (
         entries.select("cls", "n", "prefix").where("n > 0")
-        .mapInArrow(deal, "h long, part long, cls long, n long")
+        .mapInArrow(deal, "h long, part long, cls long, n long, top long")
         .repartition("h", "part")
         .sortWithinPartitions("h", "part", "cls")
-        .mapInArrow(choose, "h long, part long, cls long, n long, hub long, hub_n long")
+        .mapInArrow(choose, "h long, part long, cls long, n long, top long, hub long, hub_n long, hub_top long")
     )
 
 
@@ -276,54 +293,108 @@ def _allowed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _residual(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, bi, bj): pairs of a unit that sizes and sketches allow."""
-
-    def unit(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        bi, bj = rows[0][1], rows[0][2]
-        cls, n, comp, own = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
-        width = np.array([_sketch_bits(int(x)) for x in n], np.int64)
-        sketches = [np.frombuffer(r[7], np.uint64) for r in rows]
-        folded: dict[int, np.ndarray] = {}
-
-        def bits(w: int) -> np.ndarray:
-            """Sketches of at least w bits, folded to w; zeros for others."""
-            if w not in folded:
-                folded[w] = np.stack([_fold(x, w) if len(x) * 64 >= w else np.zeros(w // 64, np.uint64) for x in sketches])
-            return folded[w]
-
-        left = np.flatnonzero(own == bi)
-        right = np.flatnonzero(own == bj)
-        for i in left.tolist():
-            j = right[right > i] if bi == bj else right
-            lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            j = j[(comp[j] != comp[i]) & (100 * lo >= percent * hi)]
-            if not len(j):
-                continue
-            both = n[i] + n[j]
-            least = -(-percent * both // (100 + percent))
-            # sizes this close differ by one doubling of their sketches at most
-            own_bits = bits(int(min(width[i], width[j].min())))
-            apart = np.bitwise_count(own_bits[j] ^ own_bits[i]).sum(1, dtype=np.int64)
-            j = j[apart <= both - 2 * least]
-            if len(j):
-                yield np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
-
-    def pieces(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = list(unit(rows))
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (h, bi, bj), cut into batches of whole units with the column start: whether a
+    unit begins there.  A unit has two blocks at most."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        held += [batch] if batch is not None and batch.num_rows else []
+        if not held:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        key = [rows.column(k).to_numpy() for k in ("h", "bi", "bj")]
+        start = np.concatenate([[True], (np.stack([x[1:] != x[:-1] for x in key])).any(0)])
+        cut = rows.num_rows if batch is None else int(np.flatnonzero(start)[-1])
+        held = rows.slice(cut).to_batches()
+        if cut:
+            yield from rows.slice(0, cut).append_column("start", pa.array(start[:cut])).combine_chunks().to_batches()
+
+
+def _allowed_by_size(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per unit: its left and right rows, and which pairs of them lie in different components and
+    in each other's bounds."""
+    n, top, comp, own, bi, bj = (batch.column(k).to_numpy() for k in ("n", "top", "component", "own", "bi", "bj"))
+    edges = np.append(np.flatnonzero(batch.column("start").to_numpy(zero_copy_only=False)), batch.num_rows)
+    for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        rows = np.arange(x, y)
+        i, j = rows[own[x:y] == bi[x]], rows[own[x:y] == bj[x]]
+        ok = (n[i][:, None] <= top[j]) & (n[j] <= top[i][:, None]) & (comp[i][:, None] != comp[j])
+        yield i, j, np.triu(ok, 1) if bi[x] == bj[x] else ok
+
+
+def _with_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of units that have a partner there."""
+    for batch in _units(batches):
+        keep = np.zeros(batch.num_rows, bool)
+        for i, j, ok in _allowed_by_size(batch):
+            keep[i[ok.any(1)]] = True
+            keep[j[ok.any(0)]] = True
+        yield batch.drop_columns("start").filter(pa.array(keep))
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the edges (a, b), taken in order, join two trees."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    joins = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[y], joins[k] = x, True
+    return joins
+
+
+def _residual(batches: Iterator[pa.RecordBatch], percent: int, forest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (h, bi, bj): pairs (a, b) of a unit that bounds and sketches allow; with
+    forest only the most alike ones that join its components to trees, and a row (h, bi, bj) for
+    each unit that has more."""
+    for batch in _units(batches):
+        cls, n, comp, h, bi, bj = (batch.column(k).to_numpy() for k in ("cls", "n", "component", "h", "bi", "bj"))
+        sketches = [np.frombuffer(x, np.uint64) for x in batch.column("sketch").to_pylist()]
+        found, rest = [], []
+        for i, j, ok in _allowed_by_size(batch):
+            folded: dict[tuple[int, int], np.ndarray] = {}
+            at_i, at_j, apart = [], [], []
+            for k in np.flatnonzero(ok.any(1)).tolist():
+                x, ys = i[k], j[ok[k]]
+                y_width = np.array([len(sketches[y]) for y in ys.tolist()])
+                for w in np.unique(y_width).tolist():  # sizes this close differ by one doubling at most
+                    y, width = ys[y_width == w], min(w, len(sketches[x])) * 64
+                    for z in (x, *y.tolist()):
+                        if (z, width) not in folded:
+                            folded[z, width] = _fold(sketches[z], width)
+                    d = np.bitwise_count(np.stack([folded[z, width] for z in y.tolist()]) ^ folded[x, width]).sum(1, dtype=np.int64)
+                    both = n[x] + n[y]
+                    near = d <= both + 2 * (-percent * both // (100 + percent))
+                    at_i.append(np.full(int(near.sum()), x))
+                    at_j.append(y[near])
+                    apart.append(d[near] / both[near])
+            if at_i:
+                x, y = np.concatenate(at_i), np.concatenate(at_j)
+                if forest:
+                    order = np.argsort(np.concatenate(apart), kind="stable")
+                    x, y = x[order], y[order]
+                    joins = _forest(comp[x], comp[y])
+                    if not joins.all():
+                        rest.append(i[0])
+                    x, y = x[joins], y[joins]
+                found.append((cls[x], cls[y]))
         if found:
-            p = np.unique(np.stack([np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])], 1), axis=0)
-            yield pa.record_batch({"a": p[:, 0].copy(), "b": p[:, 1].copy()})
-
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in ("h", "bi", "bj", "cls", "n", "component", "own", "sketch"))):
-            if held and held[0][:3] != row[:3]:
-                yield from pieces(held)
-                held = []
-            held.append(row)
-    if held:
-        yield from pieces(held)
+            x, y = (np.concatenate(z) for z in zip(*found))
+            p = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            more = len(rest)
+            yield pa.record_batch(
+                {
+                    "a": pa.array(p[:, 0].tolist() + [None] * more, pa.int64()), "b": pa.array(p[:, 1].tolist() + [None] * more, pa.int64()),
+                    "h": pa.array([None] * len(p) + h[rest].tolist(), pa.int64()),
+                    "bi": pa.array([None] * len(p) + bi[rest].tolist(), pa.int32()), "bj": pa.array([None] * len(p) + bj[rest].tolist(), pa.int32()),
+                }
+            )
 
 
 def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -340,50 +411,61 @@ def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT)
     reps = materialise(
         table.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes"
     )
-    groups = materialise(_hubs(table, parts), "groups")
-    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    stars = groups.where((F.col("cls") != F.col("hub")) & near(F.col("n"), F.col("hub_n"))).select("cls", "hub")
+    groups = materialise(_hubs(table, parts, percent), "groups")
+    stars = groups.where("cls <> hub AND n <= hub_top AND hub_n <= top").select("cls", "hub")
     if parts:  # hubs of the parts of one shingle meet too
-        heads = groups.where(F.col("cls") == F.col("hub")).where(F.col("h").isin(list(parts)) if len(parts) < 500 else F.lit(True))
+        heads = groups.where("part > 0 AND cls = hub")
         least = heads.groupBy("h").agg(F.min("cls").alias("top"))
-        stars = stars.unionByName(heads.join(least, "h").where("cls <> top").select("cls", F.col("top").alias("hub")))
+        stars = stars.unionByName(heads.drop("top").join(least, "h").where("cls <> top").select("cls", F.col("top").alias("hub")))
     pairs = materialise(
         stars.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), "pairs"
     )
     side = lambda k: reps.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _allowed(it, percent), "a long, b long")
     links = materialise(_overlaps(docs, reps, materialise(likely, "likely"), n_words, percent), "links")
-    first = materialise(connected_components(links.select("a", "b")), "components")
+    merged = materialise(connected_components(links.select("a", "b")), "components")
 
     # groups with several components
-    member = groups.select("h", "cls", "n").distinct().join(first.select(F.col("node").alias("cls"), "component"), "cls", "left")
-    member = materialise(member.withColumn("component", F.coalesce("component", "cls")), "members")
+    unit_order = lambda df: df.repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj", "cls")
+    into = lambda df, key: df.join(bounded_broadcast(merged.select(F.col("node").alias(key), F.col("component").alias("now"))), key, "left")
+    member = into(groups.select("h", "cls", "n", "top"), "cls").withColumn("component", F.coalesce("now", "cls")).drop("now")
     open_ = member.groupBy("h").agg(
-        F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"),
-        F.bit_xor(F.xxhash64("cls")).alias("x"), F.sum(F.xxhash64("cls", F.lit(1)).cast("decimal(38,0)")).alias("y"),
+        F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("top").alias("tops"),
+        F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"),
     )
-    # shingles of one passage often have the same members: one of them is enough
-    open_ = open_.where("size > 2 AND lo < hi").groupBy("size", "x", "y").agg(F.min("h").alias("h"))
+    # shingles of one passage often have the same members: the first in the order, with the widest
+    # bounds, is enough
+    open_ = open_.where("lo < hi").groupBy("size", "x", "y").agg(F.max_by("h", "tops").alias("h"))
     open_ = open_.select("h", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     held = member.join(open_, "h").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     held = held.withColumn(
         "unit",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("bi"), F.greatest(k, F.col("own")).alias("bj")))),
     )
-    held = held.select("h", "unit.bi", "unit.bj", "cls", "n", "component", "own").join(reps.select("cls", "sketch"), "cls")
-    more = (
-        held.repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj", "cls")
-        .mapInArrow(lambda it: _residual(it, percent), "a long, b long")
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    more = materialise(more, "pairs")
-    if more.limit(1).count():
+    unit = "h long, bi int, bj int, cls long, n long, top long, component long, own int"
+    held = held.select("h", "unit.bi", "unit.bj", "cls", "n", "top", "component", "own")
+    for forest in (True, False):
+        held = materialise(unit_order(held).mapInArrow(_with_partners, unit), "units")
+        proposed = unit_order(held.join(reps.select("cls", "sketch"), "cls")).mapInArrow(
+            lambda it, forest=forest: _residual(it, percent, forest), "a long, b long, h long, bi int, bj int"
+        )
+        proposed = materialise(proposed, "proposed")
+        more = proposed.where("a IS NOT NULL").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        more = materialise(more, "pairs")
+        if not more.limit(1).count() and not forest:
+            break
         links = materialise(links.unionByName(_overlaps(docs, reps, more, n_words, percent)), "links")
+        known = merged.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        merged = materialise(connected_components(known.unionByName(links.select("a", "b"))), "components")
+        rest = bounded_broadcast(proposed.where("a IS NULL").select("h", "bi", "bj"))
+        held = into(held.join(rest, ["h", "bi", "bj"], "left_semi"), "component").withColumn("component", F.coalesce("now", "component")).select(*held.columns)
+        pairs = pairs.unionByName(more)
     # from here a class goes by its least doc_id
     named = lambda df, k: df.withColumnRenamed(k, "cls").join(reps.select("cls", F.col("doc_id").alias(k)), "cls").drop("cls")
     links = named(named(links, "a"), "b")
-    components = connected_components(links.select("a", "b"))
+    merged = named(merged, "node")
+    least = merged.groupBy("component").agg(F.min("node").alias("least"))
+    components = merged.where("node IS NOT NULL").join(least, "component").select("node", F.col("least").alias("component"))
     documents = table.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(
         reps.select("cls", F.col("doc_id").alias("rep")), "cls"
     )
