@@ -281,6 +281,15 @@ def _fold(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
+def _brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches (cls, n, sketch) folded to a quarter: short rows for comparison in blocks, where
+    most sets have nothing in common."""
+    for batch in batches:
+        width = [max(64, _sketch_bits(n) // 4) for n in batch.column("n").to_pylist()]
+        short = [_fold(np.frombuffer(x, np.uint64), w).tobytes() if x else x for x, w in zip(batch.column("sketch").to_pylist(), width)]
+        yield pa.record_batch({"cls": batch.column("cls"), "sketch": pa.array(short, pa.binary())})
+
+
 def _allowed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) that their sizes and sketches allow to be links."""
     for batch in batches:
@@ -444,9 +453,10 @@ def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT)
     )
     unit = "h long, bi int, bj int, cls long, n long, top long, component long, own int"
     held = held.select("h", "unit.bi", "unit.bj", "cls", "n", "top", "component", "own")
+    brief = reps.select("cls", "n", "sketch").mapInArrow(_brief, "cls long, sketch binary")
     for forest in (True, False):
         held = materialise(unit_order(held).mapInArrow(_with_partners, unit), "units")
-        proposed = unit_order(held.join(reps.select("cls", "sketch"), "cls")).mapInArrow(
+        proposed = unit_order(held.join(brief, "cls")).mapInArrow(
             lambda it, forest=forest: _residual(it, percent, forest), "a long, b long, h long, bi int, bj int"
         )
         proposed = materialise(proposed, "proposed")
