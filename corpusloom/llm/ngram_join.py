@@ -43,6 +43,8 @@ PERCENT = 75
 FRAGMENTS = 4
 #: A shingle counts towards the frequency estimate in a task that holds it this often.
 LOCAL_COUNT = 4
+#: Shingles that a task holds before it counts them (8 bytes each).
+HELD = 1 << 22
 #: Shingles estimated to be in this many texts come last in the order; at most ORDERED of them
 #: (8 bytes each in every task), the most frequent; others stand among the rare ones.
 FREQUENT, ORDERED = 32, 1 << 19
@@ -60,21 +62,26 @@ def _frequent(docs: DataFrame, n_words: int) -> np.ndarray:
     """Frequent shingles, rarest first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [], 0
+        held, size, more = np.empty(HELD, np.uint64), 0, LOCAL_COUNT - 1
 
         def flush() -> pa.RecordBatch:
-            v, c = np.unique(np.concatenate(kept), return_counts=True)
-            m = c >= LOCAL_COUNT
-            return pa.record_batch({"h": _S(v[m]), "c": c[m].astype(np.int64)})
+            """Of a run of c equal shingles, all but the last `more` have an equal so many places on."""
+            s = held[:size]
+            s.sort()
+            s = s[: max(0, size - more)][s[more:] == s[: max(0, size - more)]]
+            v, c = np.unique(s, return_counts=True)
+            return pa.record_batch({"h": _S(v), "c": c.astype(np.int64) + more})
 
         for batch in batches:
             for s in shingle_sets(batch.column("text"), n_words):
-                kept.append(s)
-                size += len(s)
-                if size >= 1 << 22:
-                    yield flush()
-                    kept, size = [], 0
-        if kept:
+                while len(s):
+                    part, s = s[: HELD - size], s[HELD - size :]
+                    held[size : size + len(part)] = part
+                    size += len(part)
+                    if size == HELD:
+                        yield flush()
+                        size = 0
+        if size:
             yield flush()
 
     counted = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
@@ -123,7 +130,7 @@ def _signatures(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     r = np.where(known[at] == s, rank[at] + 1, 0)
                     s = s[np.argsort(r, kind="stable")]
-                prefixes.append(_S(s[:p]))
+                prefixes.append(_S(s[:p].copy()))
                 ends.append(ends[-1] + p)
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64), pa.int64())
             cols["prefix"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
