@@ -8,17 +8,19 @@ tokenizer whole.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .words import mix
 
 #: Characters encoded at once (a longer text goes alone), and pieces remembered by a task.
-SLICE_CHARS, REMEMBERED = 1 << 20, 1 << 21
+SLICE_CHARS, REMEMBERED = 1 << 17, 1 << 19
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 _classes: np.ndarray | None = None
 
@@ -101,7 +103,10 @@ class _Table:
         return out
 
     def add(self, h: np.ndarray) -> None:
-        """New distinct hashes get the next entry numbers."""
+        """New distinct hashes get the next entry numbers; the table grows so that half stays free."""
+        if 2 * (len(self.known) + len(h)) > len(self.slots):
+            h = np.concatenate([self.known, h])
+            self.__init__((2 * len(h)).bit_length())
         entry = np.arange(len(self.known), len(self.known) + len(h), dtype=np.int32)
         self.known = np.concatenate([self.known, h])
         open_, step = np.arange(len(h)), np.uint64(0)
@@ -128,16 +133,24 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        ranks = _byte_ranks(self.whole.get_vocab(with_added_tokens=False))
+        self.path = path
+        whole = Tokenizer.from_file(path)
+        self.special = [t.content for t in whole.get_added_tokens_decoder().values()]
+        ranks = _byte_ranks(whole.get_vocab(with_added_tokens=False))
         # pieces are cut below, so that the pattern lets each through whole
         self.merge = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.factor = int(np.random.default_rng(5).integers(1, 2**62)) * 2 + 1
         self.forget()
 
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer itself, read again for the few texts that hold its special tokens."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def forget(self) -> None:
-        self.table = _Table(23)
+        self.table = _Table(18)
         self.at, self.length, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
         self.used = 0
 
@@ -189,14 +202,14 @@ class Encoder:
         return out, edges[np.searchsorted(starts, rows)]
 
     def ids(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        texts = ["" if t is None else t for t in column.to_pylist()]
+        sizes = pc.fill_null(pc.utf8_length(column), 0).to_pylist()
         row = 0
-        while row < len(texts):
+        while row < len(sizes):
             end, size = row, 0
-            while end < len(texts) and (end == row or size + len(texts[end]) <= SLICE_CHARS):
-                size += len(texts[end])
+            while end < len(sizes) and (end == row or size + sizes[end] <= SLICE_CHARS):
+                size += sizes[end]
                 end += 1
-            part = texts[row:end]
+            part = ["" if t is None else t for t in column.slice(row, end - row).to_pylist()]
             odd = [k for k, t in enumerate(part) if any(s in t for s in self.special)]
             flat, offsets = self._slice(["" if k in odd else t for k, t in enumerate(part)] if odd else part)
             if odd:
