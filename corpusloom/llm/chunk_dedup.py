@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import materialise
 from .words import mix, text_slices
 
 #: Least and most bytes of a chunk; a byte past the least ends it with chance 2 ** -CUT_BITS.
@@ -104,9 +105,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row per passage whose chunks stand in other documents too: doc_id, start, end (code points,
-    end exclusive), n_words (that begin in it), n_chunks, first_doc_id (the least doc_id that holds
-    its first chunk), is_first (that is so of all its chunks, here).
+    """Passages are runs of min_words and more, of chunks that stand in other documents too.
+
+    Of all documents with a chunk in a passage, the one with the least doc_id has it first.  A
+    passage gives a row, or, where some of its chunks are first here and others are not, a row per
+    stretch of either (of fewer words, then): doc_id, start, end (code points, end exclusive),
+    n_words (that begin in it), n_chunks, first_doc_id (that has its first chunk first), is_first
+    (that is this document, for each of its chunks).
 
     Repeats within one document don't count.  Null and empty texts have none; rows with a null
     doc_id are left out; rows that repeat a doc_id are one document; very long texts are read
@@ -116,25 +121,31 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     chunks = rows.mapInArrow(_chunks, "digest long, row_id long, place long")
     # least and most are pre-aggregated; the join's heavy digests are split by adaptive execution
     known = chunks.groupBy("digest").agg(F.min("row_id").alias("least"), F.max("row_id").alias("most")).where("least < most")
-    again = chunks.join(known.select("digest", "least"), "digest").select(
-        F.col("row_id").alias("doc_id"),
-        F.shiftright("place", 24).alias("start"),
-        (F.shiftright("place", 24) + F.shiftright("place", 12).bitwiseAND(F.lit(4095))).alias("end"),
-        F.col("place").bitwiseAND(F.lit(4095)).alias("words"),
-        F.col("least").alias("first_doc_id"),
-        (F.col("least") == F.col("row_id")).alias("is_first"),
-    )
-    order = W.partitionBy("doc_id").orderBy("start", "end")
-    joined = again.withColumn("new", F.when(F.col("start") > F.lag("end", 1, -1).over(order), 1).otherwise(0))
+    again = chunks.join(known.select("digest", "least"), "digest").withColumnRenamed("row_id", "doc_id")
+    start = F.shiftright("place", 24)
+    end = start + F.shiftright("place", 12).bitwiseAND(F.lit(4095))
+    words = F.col("place").bitwiseAND(F.lit(4095))
+    order = W.partitionBy("doc_id").orderBy(start, end)
+    joined = again.withColumn("new", F.when(start > F.lag(end, 1, -1).over(order), 1).otherwise(0))
     joined = joined.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    joined = joined.withColumn("run_words", F.sum(words).over(W.partitionBy("doc_id", "run"))).where(F.col("run_words") >= min_words)
+    held = materialise(joined.select("digest", "doc_id", "place", "least", "run"), "passages")
+    # digests that the least holder has outside of passages
+    moved = held.groupBy("digest").agg(F.min("doc_id").alias("now"), F.min("least").alias("least")).where("now > least").select("digest", "now")
+    first = held.join(moved, "digest", "left").select(
+        "doc_id", "run", start.alias("start"), end.alias("end"), words.alias("words"), F.coalesce("now", "least").alias("first_doc_id")
+    )
+    first = first.withColumn("is_first", F.col("first_doc_id") == F.col("doc_id"))
+    order = W.partitionBy("doc_id", "run").orderBy("start", "end")
+    turn = F.when(F.col("is_first") != F.lag("is_first").over(order), 1).otherwise(0)
+    first = first.withColumn("turn", turn).withColumn("stretch", F.sum("turn").over(order.rowsBetween(W.unboundedPreceding, 0)))
     return (
-        joined.groupBy("doc_id", "run")
+        first.groupBy("doc_id", "run", "stretch")
         .agg(
             F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"),
-            F.min_by("first_doc_id", "start").alias("first_doc_id"), F.min("is_first").alias("is_first"),
+            F.min_by("first_doc_id", "start").alias("first_doc_id"), F.first("is_first").alias("is_first"),
         )
-        .where(F.col("n_words") >= min_words)
-        .drop("run")
+        .drop("run", "stretch")
     )
 
 

@@ -260,6 +260,33 @@ def test_repeated_passages(spark, docs, empty):
     assert chunk_dedup.repeated_passages(empty).count() == 0 and chunk_dedup.repeated_passages(docs).count() > 0
 
 
+def test_first_copy_stays_when_parts_stand_earlier(spark):
+    """A smaller doc_id holds one chunk of a passage, or half of it as a passage of its own."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    make = lambda n: " ".join(word() for _ in range(n))
+    p, q = make(80), make(160)
+    ends = chunk_dedup.cut(np.frombuffer(p.encode(), np.uint8), np.array([0, len(p)])).tolist()
+    k = len(ends) // 2
+    chunk = p[ends[k - 1] - 40 : ends[k]]  # with bytes before it, so that it is cut there too
+    rows = [(1, f"{make(60)} {chunk} {make(60)}"), (2, f"{make(60)} {q[: len(q) // 2]} {make(60)}")]
+    rows += [(i, f"{make(60)} {t} {make(60)}") for i, t in ((5, p), (6, p), (7, p), (8, q), (9, q))]
+    text = dict(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = chunk_dedup.repeated_passages(df).collect()
+    own = {i: [(r.start, r.end, r.is_first) for r in sorted(got, key=lambda r: r.start) if r.doc_id == i] for i in text}
+    assert not own[1] and [f for *_, f in own[2]] == [True] and [f for *_, f in own[5]] == [True]
+    assert [f for *_, f in own[6]] == [f for *_, f in own[7]] == [f for *_, f in own[9]] == [False]
+    assert [f for *_, f in own[8]] == [False, True] and own[8][0][1] == own[8][1][0]
+    assert all(r.is_first == (r.first_doc_id == r.doc_id) for r in got)
+    held = lambda i, first: "".join(text[i][a:b] for a, b, f in own[i] if f == first)
+    # the first chunk of a passage may take bytes from before it
+    assert held(8, False) == held(2, True) and (held(8, False) + held(8, True)).endswith(held(9, False)) and len(held(9, False)) > 0.9 * len(q)
+    clean = {r.doc_id: r.deduplicated for r in chunk_dedup.drop_repeated(df).collect()}
+    assert all(clean[i] == text[i] for i in (1, 2, 5)) and chunk in clean[5]
+    assert all(len(clean[i]) < len(text[i]) - len(p) // 2 for i in (6, 7)) and held(8, True) in clean[8] and held(8, False) not in clean[8]
+
+
 def test_cuts_survive_an_insertion():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 123, 5000).astype(np.uint8)
