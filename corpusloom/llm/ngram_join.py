@@ -19,7 +19,8 @@ and summed per pair, so that each link rests on an exact count.
    one all that are still allowed between different components.
 
 Left out are only pairs whose ends are already known to be in one component, so components are
-exact.  Links returned by `ngram_links` are thus enough for the components, not all pairs.
+exact, and links are enough for the components.  For the whole join (`ngram_links` with every) one
+round of 4 compares all members of all groups, whatever their components.
 """
 
 from __future__ import annotations
@@ -413,12 +414,12 @@ def _residual(batches: Iterator[pa.RecordBatch], percent: int, forest: bool) ->
             )
 
 
-def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents (doc_id, n_shingles, rep), links between representatives (a, b, common, na, nb)
     and components (node, component) of those that have links.
 
-    A representative is the least doc_id of the documents with equal shingle sets.  See the module
-    for which links are given.  Null text counts as empty; empty texts link with nothing; rows
+    A representative is the least doc_id of the documents with equal shingle sets.  With every, all
+    links between representatives are given, else enough for the components (see the module).  Null text counts as empty; empty texts link with nothing; rows
     with a null doc_id take part but can't be representatives unless all copies are null; repeated
     doc_ids are rows of their own; other columns are ignored.
     """
@@ -441,10 +442,11 @@ def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT)
     links = materialise(_overlaps(docs, reps, materialise(likely, "likely"), n_words, percent), "links")
     merged = materialise(connected_components(links.select("a", "b")), "components")
 
-    # groups with several components
+    # groups with several components; for every link each class counts as one of its own
     unit_order = lambda df: df.repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj", "cls")
     into = lambda df, key: df.join(bounded_broadcast(merged.select(F.col("node").alias(key), F.col("component").alias("now"))), key, "left")
-    member = into(groups.select("h", "cls", "n", "top"), "cls").withColumn("component", F.coalesce("now", "cls")).drop("now")
+    member = groups.select("h", "cls", "n", "top")
+    member = member.withColumn("component", F.col("cls")) if every else into(member, "cls").withColumn("component", F.coalesce("now", "cls")).drop("now")
     open_ = member.groupBy("h").agg(
         F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("top").alias("tops"),
         F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"),
@@ -461,7 +463,7 @@ def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT)
     unit = "h long, bi int, bj int, cls long, n long, top long, component long, own int"
     held = held.select("h", "unit.bi", "unit.bj", "cls", "n", "top", "component", "own")
     brief = reps.select("cls", "n", "sketch").mapInArrow(_brief, "cls long, sketch binary")
-    for forest in (True, False):
+    for forest in (False,) if every else (True, False):
         held = materialise(unit_order(held).mapInArrow(_with_partners, unit), "units")
         proposed = unit_order(held.join(brief, "cls")).mapInArrow(
             lambda it, forest=forest: _residual(it, percent, forest), "a long, b long, h long, bi int, bj int"

@@ -115,6 +115,31 @@ def test_ngram_join_blocks_of_large_groups(spark, monkeypatch):
     assert got == {i: find(i) for i in sets}
 
 
+def test_ngram_links_gives_every_link(spark, docs, monkeypatch):
+    """Of groups of near copies all pairs, in several blocks and parts; by default a spanning set."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "HUB_GROUP", 16)
+    rng = random.Random(11)
+    rows = []
+    for i in range(70):
+        w = [f"w{k}" for k in range(120)]
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(20, 120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = defaultdict(list)
+    for i, t in rows:
+        sets[frozenset(tuple(t.split()[k : k + 5]) for k in range(116))].append(i)
+    first = {min(ids): s for s, ids in sets.items()}
+    want = {(i, j): (len(first[i] & first[j]), len(first[i] | first[j])) for i in first for j in first if i < j}
+    want = {k: common for k, (common, union) in want.items() if 100 * common >= 75 * union}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links = ngram_join.ngram_links(df, every=True)[1].collect()
+    assert len(links) == len(want) > 2 * len(first) and {(min(r.a, r.b), max(r.a, r.b)): r.common for r in links} == want
+    some = {(min(r.a, r.b), max(r.a, r.b)) for r in ngram_join.ngram_links(df)[1].collect()}
+    find, of_all = union_find(some), union_find(want)
+    assert some < set(want) and all(find(i) == of_all(i) for i in first)
+
+
 def test_secret_spans(docs, empty, spark):
     rng = random.Random(2)
     code = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(64))
