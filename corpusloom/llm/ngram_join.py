@@ -245,12 +245,29 @@ def _hubs(entries: DataFrame, parts: dict[int, int], percent: int) -> DataFrame:
     )
 
 
-def _overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """Exact links among pairs (a, b) of classes: partial overlaps per fragment, summed per pair."""
+def _unnamed(docs: DataFrame, n_words: int) -> DataFrame:
+    """cls and text of rows with a null doc_id, which only their class tells."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls = [_class_key(s) for s in shingle_sets(batch.column("text"), n_words)]
+            yield pa.record_batch([pa.array(cls, pa.int64()), batch.column("text").cast(pa.string())], names=["cls", "text"])
+
+    return docs.where("doc_id IS NULL").select("text").mapInArrow(key, "cls long, text string")
+
+
+def _overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n_words: int, percent: int, unnamed: bool) -> DataFrame:
+    """Exact links among pairs (a, b) of classes: partial overlaps per fragment, summed per pair.
+
+    Texts come by the doc_id of their class; with unnamed, those of classes without one by class."""
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     ids = materialise(wanted.join(reps.select("cls", "doc_id"), "cls").select("cls", "doc_id"), "wanted")
     ids_few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids_few else ids.hint("shuffle_hash"), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids_few else ids.hint("shuffle_hash"), "doc_id").select("cls", "text")
+    if unnamed:
+        bare = ids.where("doc_id IS NULL").select("cls")
+        bare = _unnamed(docs, n_words).join(F.broadcast(bare) if ids_few else bare.hint("shuffle_hash"), "cls")
+        texts = texts.unionByName(bare.groupBy("cls").agg(F.first("text").alias("text")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +284,7 @@ def _overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n_words: int,
                 names=["cls", "fragment", "n", "segment"],
             )
 
-    cuts = texts.select("cls", "text").mapInArrow(cut, "cls long, fragment int, n long, segment array<long>")
+    cuts = texts.mapInArrow(cut, "cls long, fragment int, n long, segment array<long>")
     cuts = materialise(cuts, "fragments")
     a = cuts.select(F.col("cls").alias("a"), "fragment", F.col("n").alias("na"), F.col("segment").alias("sa"))
     b = cuts.select(F.col("cls").alias("b"), "fragment", F.col("n").alias("nb"), F.col("segment").alias("sb"))
@@ -415,19 +432,21 @@ def _residual(batches: Iterator[pa.RecordBatch], percent: int, forest: bool) ->
 
 
 def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents (doc_id, n_shingles, rep), links between representatives (a, b, common, na, nb)
+    """Documents (doc_id, n_shingles, rep, component), links between representatives (a, b, common, na, nb)
     and components (node, component) of those that have links.
 
     A representative is the least doc_id of the documents with equal shingle sets.  With every, all
     links between representatives are given, else enough for the components (see the module).  Null text counts as empty; empty texts link with nothing; rows
-    with a null doc_id take part but can't be representatives unless all copies are null; repeated
-    doc_ids are rows of their own; other columns are ignored.
+    with a null doc_id take part but can't be representatives unless all copies are null (then the
+    ends of their links are null; a component goes by its least doc_id, null if none has one);
+    repeated doc_ids are rows of their own; other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     table, parts = _signatures(docs, n_words, percent)
     reps = materialise(
         table.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes"
     )
+    unnamed = reps.where("doc_id IS NULL AND n > 0").limit(1).count() > 0
     groups = materialise(_hubs(table, parts, percent), "groups")
     stars = groups.where("cls <> hub AND n <= hub_top AND hub_n <= top").select("cls", "hub")
     if parts:  # hubs of the parts of one shingle meet too
@@ -439,7 +458,7 @@ def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT,
     )
     side = lambda k: reps.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _allowed(it, percent), "a long, b long")
-    links = materialise(_overlaps(docs, reps, materialise(likely, "likely"), n_words, percent), "links")
+    links = materialise(_overlaps(docs, reps, materialise(likely, "likely"), n_words, percent, unnamed), "links")
     merged = materialise(connected_components(links.select("a", "b")), "components")
 
     # groups with several components; for every link each class counts as one of its own
@@ -473,7 +492,7 @@ def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT,
         more = materialise(more, "pairs")
         if not more.limit(1).count() and not forest:
             break
-        links = materialise(links.unionByName(_overlaps(docs, reps, more, n_words, percent)), "links")
+        links = materialise(links.unionByName(_overlaps(docs, reps, more, n_words, percent, unnamed)), "links")
         known = merged.select(F.col("node").alias("a"), F.col("component").alias("b"))
         merged = materialise(connected_components(known.unionByName(links.select("a", "b"))), "components")
         rest = bounded_broadcast(proposed.where("a IS NULL").select("h", "bi", "bj"))
@@ -482,12 +501,13 @@ def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT,
     # from here a class goes by its least doc_id
     named = lambda df, k: df.withColumnRenamed(k, "cls").join(reps.select("cls", F.col("doc_id").alias(k)), "cls").drop("cls")
     links = named(named(links, "a"), "b")
-    merged = named(merged, "node")
+    merged = merged.withColumnRenamed("node", "cls").join(reps.select("cls", F.col("doc_id").alias("node")), "cls")
     least = merged.groupBy("component").agg(F.min("node").alias("least"))
-    components = merged.where("node IS NOT NULL").join(least, "component").select("node", F.col("least").alias("component"))
+    merged = merged.join(least, "component").select("cls", "node", F.col("least").alias("component"))
+    components = merged.where("node IS NOT NULL").select("node", "component")
     documents = table.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(
         reps.select("cls", F.col("doc_id").alias("rep")), "cls"
-    )
+    ).join(merged.select("cls", "component"), "cls", "left")
     return documents, links, components
 
 
@@ -497,8 +517,7 @@ def ngram_components(docs: DataFrame, n_words: int = N_WORDS, percent: int = PER
     Empty texts (null, or without a word) have n_shingles 0 and their own doc_id.  An empty table
     gives no rows.  Very long texts are read whole.
     """
-    documents, _, components = ngram_links(docs, n_words, percent)
-    out = documents.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    out, _, _ = ngram_links(docs, n_words, percent)
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 

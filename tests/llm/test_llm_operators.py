@@ -140,6 +140,24 @@ def test_ngram_links_gives_every_link(spark, docs, monkeypatch):
     assert some < set(want) and all(find(i) == of_all(i) for i in first)
 
 
+def test_ngram_join_of_rows_without_doc_id(spark):
+    """A row with a null doc_id links, and links two documents that only it connects."""
+    w = [f"w{k}" for k in range(200)]
+    change = lambda t, at: [f"x{k}" if k in at else x for k, x in enumerate(t)]
+    left, right = change(w, (20, 40, 60, 80)), change(w, (100, 120, 140, 160))
+    other = [f"y{k}" for k in range(100)]
+    rows = [(1, left), (2, right), (None, w), (None, w), (7, other), (None, change(other, (50,))), (None, ["z"] * 3), (None, []), (9, ["v"])]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (left, w, right)]
+    ratio = lambda a, b: len(a & b) / len(a | b)
+    assert ratio(sets[0], sets[1]) >= 0.75 and ratio(sets[1], sets[2]) >= 0.75 > ratio(sets[0], sets[2])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.ngram_components(df).collect())
+    assert got == sorted(
+        [("1", 196, "1"), ("2", 196, "1"), ("None", 196, "1"), ("None", 196, "1"), ("7", 96, "7"), ("None", 96, "7"), ("None", 1, "None"), ("None", 0, "None"), ("9", 1, "9")]
+    )
+    assert sorted(str(r.doc_id) for r in ngram_join.near_dedup(df).collect()) == ["1", "7", "9"] + ["None"] * 5
+
+
 def test_secret_spans(docs, empty, spark):
     rng = random.Random(2)
     code = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(64))
