@@ -205,13 +205,14 @@ def chunk_lists(spark, sf_dir):
 
 @_query()
 def chunk_search_topk(spark, sf_dir):
-    c = _chunks(spark, sf_dir, True).select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text"))
+    """Chunks go by (doc_id, chunk_index), the order of the store."""
+    c = _chunks(spark, sf_dir, True).select(F.struct(F.col("doc_id").cast("long").alias("doc"), F.col("chunk_index").alias("n")).alias("doc_id"), F.col("content").alias("text"))
     i = _Index(spark, sf_dir)
     counts = tfidf.term_counts(c)
     idf = tfidf.inverse_frequency(tfidf.document_frequency(counts), c)
     asked = tfidf.weights(tfidf.term_counts(i.questions, "query_id", "question"), idf, "query_id")
-    hits = search.top_k(search.scores(asked, tfidf.weights(counts, idf)), 5)
-    return hits.select("query_id", F.col("doc_id").alias("chunk_id"), F.round("score", 4).alias("score"), "rank")
+    hits = search.top_k(search.pad_with_zeros(search.scores(asked, tfidf.weights(counts, idf)), asked, c, 5), 5)
+    return hits.select("query_id", F.concat("doc_id.doc", F.lit("#chunk-"), "doc_id.n").alias("chunk_id"), F.round("score", 4).alias("score"), "rank")
 
 
 # judgments by a formula: some are missing, some repeat, and every fourth question's judge failed

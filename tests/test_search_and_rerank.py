@@ -1,8 +1,13 @@
+import math
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import evaluate, rerank, search, tfidf
+from corpusloom.functions.text import STOPWORDS
+from corpusloom.operators import chunking, evaluate, rerank, search, tfidf
+from corpusloom.plans.queries import QUERIES
 
 
 def test_weights_have_unit_length(spark):
@@ -73,3 +78,33 @@ def test_empty_store(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     c = tfidf.term_counts(d)
     assert tfidf.weights(c, tfidf.inverse_frequency(tfidf.document_frequency(c), d)).count() == 0
+
+
+def test_chunk_search_equals_brute_force(spark, tmp_path):
+    """Questions that few or no chunks match are padded, and equal scores rank, in store order."""
+    rng = random.Random(5)
+    docs = [(i, "cat and mouse" if i in (2, 10) else " ".join(rng.choices(["sun", "moon", "star"], k=4)), "src") for i in range(1, 13)]
+    docs += [(13, " ".join(rng.choices(["river", "lake", "sea", "star"], k=700)), None), (14, None, "src")]
+    asked = [(1, "cat"), (2, "river lake"), (3, "moon sun sun"), (4, "unheard of"), (5, "the")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    tokens = lambda t: Counter(w for w in re.findall("[a-z0-9]+", t.lower()) if len(w) > 1 and w not in STOPWORDS)
+    store = []
+    for i, text, title in docs:
+        full = "\n\n".join(x for x in (title, text or "") if x is not None)
+        store += [(f"{i}#chunk-{k}", tokens(full[a:b])) for k, (a, b) in enumerate(chunking.spans(full, chunking.SIZE, chunking.OVERLAP), 1)]
+    df = Counter(t for _, c in store for t in c)
+    idf = {t: math.log((1 + len(store)) / (1 + n)) + 1 for t, n in df.items()}
+
+    def unit(c):
+        w = {t: n * idf[t] for t, n in c.items() if t in idf}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / size for t, x in w.items()}
+
+    want = set()
+    for q, text in asked:
+        if v := unit(tokens(text)):
+            scored = [(round(sum(x * unit(c).get(t, 0.0) for t, x in v.items()), 9), -k, name) for k, (name, c) in enumerate(store)]
+            want |= {(q, name, round(x, 4), rank) for rank, (x, _, name) in enumerate(sorted(scored, reverse=True)[:5], 1)}
+    got = {tuple(r) for r in QUERIES["chunk_search_topk"](spark, str(tmp_path)).select("query_id", "chunk_id", "score", "rank").collect()}
+    assert got == want and len(want) == 15 and [n for q, n, _, r in sorted(want, key=lambda x: x[3]) if q == 1] == ["2#chunk-1", "10#chunk-1", "1#chunk-1", "3#chunk-1", "4#chunk-1"]
