@@ -6,13 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Words that are not indexed.
+# Words that are not indexed, by alphabet.
 STOPWORDS = (
-    "a about above after again against all an and any are as at be because before below between but by can could did do "
-    "does doing down during few for from further has have he how i if in is it its just may might more most must no nor "
-    "not now of on only or other out over own same shall she should so such than that the then there these they this "
-    "those to too under up very was we were what when where which while who whom why will with would you"
-).split()
+    "a", "about", "above", "after", "again", "against", "all", "an", "and", "any", "are", "as", "at", "be", "because",
+    "before", "below", "between", "but", "by", "can", "could", "did", "do", "does", "doing", "down", "during", "few",
+    "for", "from", "further", "has", "have", "he", "how", "i", "if", "in", "is", "it", "its", "just", "may", "might",
+    "more", "most", "must", "no", "nor", "not", "now", "of", "on", "only", "or", "other", "out", "over", "own", "same",
+    "shall", "she", "should", "so", "such", "than", "that", "the", "then", "there", "these", "they", "this", "those",
+    "to", "too", "under", "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whom",
+    "why", "will", "with", "would", "you",
+)
 
 # What may be uploaded.
 UPLOAD_TYPES = {
@@ -24,10 +27,14 @@ UPLOAD_TYPES = {
 
 
 def tokenize(text: Column) -> Column:
-    """Lower-cased runs of a-z and 0-9 of two characters or more, without stopwords."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
-    stop = F.array(*(F.lit(w) for w in STOPWORDS))
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    """Lower-cased runs of a-z and 0-9 of two characters or more, without stopwords, as an array."""
+    return F.filter(words(text), lambda w: ~w.isin(*STOPWORDS))
+
+
+def words(text: Column) -> Column:
+    """Lower-cased runs of a-z and 0-9 of two characters or more.  Who explodes them filters
+    STOPWORDS afterwards, in generated code."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
 def trim_all(text: Column) -> Column:
@@ -79,7 +86,21 @@ def citation_count(answer: Column) -> Column:
 
 
 def format_duration(ms: Column) -> Column:
-    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(F.concat(F.format_string("%.2f", ms / 1000), F.lit("s")))
+    """Whole milliseconds below a second as they are, else seconds with two places.
+
+    Halves are those of the double nearest to ms / 1000, which mostly lies a little above or below;
+    exact ones go up.  (Split in two, so that products with 1000 are exact, for some 24 days.)"""
+    second = ms / 1000
+    high = F.floor(second * 1048576) / 1048576
+    above = (high * 1000 - ms) + (second - high) * 1000 >= 0
+    cents = F.floor(ms / 10) + F.when(ms % 10 > 5, 1).when((ms % 10 == 5) & above, 1).otherwise(0)
+    text = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(F.concat(text, F.lit("s")))
+
+
+def answer_length(answer: Column) -> Column:
+    """Characters (code points) of an answer; none for a missing one."""
+    return F.length(F.coalesce(answer, F.lit("")))
 
 
 def relevance_band(score: Column) -> Column:

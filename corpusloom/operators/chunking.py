@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import trim_all
+from corpusloom.sources.shared import small_batches
 
 SIZE, OVERLAP = 600, 80
 # Boundaries from large to small; after them come single characters.
@@ -54,7 +55,9 @@ def chunk_documents(docs: DataFrame, enrich: bool = False, size: int = SIZE, ove
     """
     content = F.coalesce("content", F.lit(""))
     text = F.concat_ws("\n\n", "title", content) if enrich else content
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "title", text.alias("text"))
+    small_batches(docs.sparkSession)
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", "title", text.alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,10 +67,10 @@ def chunk_documents(docs: DataFrame, enrich: bool = False, size: int = SIZE, ove
                 for k, (a, b) in enumerate(spans(text, size, overlap), 1)
             ]
             cols = list(zip(*out)) if out else [()] * 6
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+            kinds = (batch.schema.field("doc_id").type, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "title", "raw", "chunk_index", "start_offset", "raw_length"])
 
-    chunks = rows.mapInArrow(cut, "doc_id string, title string, raw string, chunk_index int, start_offset int, raw_length int")
+    chunks = rows.mapInArrow(cut, f"doc_id {kind}, title string, raw string, chunk_index int, start_offset int, raw_length int")
     return chunks.select(
         F.concat("doc_id", F.lit("#chunk-"), "chunk_index").alias("chunk_id"), "doc_id", "title",
         trim_all(F.col("raw")).alias("content"), "raw", "chunk_index", "start_offset", "raw_length",

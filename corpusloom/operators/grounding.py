@@ -14,24 +14,26 @@ ROUNDS, FAITHFUL_SCORE = 2, 85
 def sources_block(sources: DataFrame) -> DataFrame:
     """query_id, block from (query_id, position, title, chunk_index, content)."""
     items = F.array_sort(F.collect_list(F.struct("position", "title", "chunk_index", "content")))
+    # The form of a source and what separates two.
     line = lambda s: F.concat(F.lit("["), s["position"], F.lit('] (from "'), s["title"], F.lit('", chunk '), s["chunk_index"], F.lit(")\n"), s["content"])
     return sources.groupBy("query_id").agg(F.array_join(F.transform(items, line), "\n\n---\n\n").alias("block"))
 
 
+def _sections(*parts: tuple[str, Column]) -> Column:
+    """Parts under their headings; those that are null or empty are left out."""
+    texts = [F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(f"## {name}\n"), text)) for name, text in parts]
+    return F.concat_ws("\n\n", *texts)
+
+
 def answer_request(question: Column, kind: Column, block: Column, notes: Column, iteration: Column) -> Column:
-    again = F.concat(F.lit("\nRevision notes from Critic (iteration "), iteration, F.lit("):\n"), notes, F.lit("\nPlease rewrite the answer addressing these notes."))
-    return F.concat(
-        F.lit("User question: "), question, F.lit("\nQuestion type: "), kind, F.lit("\n\nSources:\n"), block, F.lit("\n"),
-        F.when(F.coalesce(notes, F.lit("")) != "", again).otherwise(""),
-        F.lit("\n\nNow synthesize a grounded answer. Cite sources as [1], [2], etc."),
-    )
+    """What a writer of answers is sent: question, its type, sources and, in later rounds, the notes on the last answer."""
+    again = F.when(F.coalesce(notes, F.lit("")) != "", F.concat(F.lit("Round "), iteration, F.lit(": "), notes))
+    return _sections(("Asked", question), ("Kind", kind), ("Sources, cited by number", block), ("To mend", again))
 
 
 def critique_request(question: Column, answer: Column, block: Column) -> Column:
-    return F.concat(
-        F.lit("User question: "), question, F.lit("\n\nProposed answer:\n"), answer, F.lit("\n\nSource chunks:\n"), block,
-        F.lit("\n\nEvaluate the answer's faithfulness to the sources."),
-    )
+    """What a judge of answers is sent: question, answer and sources."""
+    return _sections(("Asked", question), ("Answered", answer), ("Sources to hold it against", block))
 
 
 def judge_payload(candidates: DataFrame) -> DataFrame:

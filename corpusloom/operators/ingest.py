@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,17 +29,20 @@ def upload_error(name: Column, mime: Column, size: Column) -> Column:
 def quota_check(uploads: DataFrame, used: int = 0, limit: int = MAX_TOTAL) -> DataFrame:
     """batch_id, pos, size, accepted: in order of pos a file counts only if it fits.
 
-    Whether a file fits depends on which before it did, so this folds over each batch (a request's files)."""
-    items = uploads.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "size"))).alias("items"))
-    kind = "array<struct<pos:int,size:bigint,accepted:boolean>>"
-    start = F.struct(F.lit(used).cast("long").alias("used"), F.array().cast(kind).alias("out"))
+    Whether a file fits depends on which before it did, so each batch (a request's files) is folded
+    in order; null sizes count as 0."""
 
-    def step(acc: Column, f: Column) -> Column:
-        fits = acc["used"] + f["size"] <= limit
-        row = F.struct(f["pos"].cast("int").alias("pos"), f["size"].cast("long").alias("size"), fits.alias("accepted"))
-        return F.struct((acc["used"] + F.when(fits, f["size"]).otherwise(0)).cast("long").alias("used"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", kind="stable")
+        total, fits = used, []
+        for size in pdf["size"].tolist():
+            fits.append(total + size <= limit)
+            total += size if fits[-1] else 0
+        return pdf.assign(accepted=fits)
 
-    return items.select("batch_id", F.inline(F.aggregate("items", start, step)["out"]))
+    kind = dict(uploads.dtypes)["batch_id"]
+    rows = uploads.select("batch_id", F.col("pos").cast("long").alias("pos"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"))
+    return rows.groupBy("batch_id").applyInPandas(fold, f"batch_id {kind}, pos long, size long, accepted boolean")
 
 
 def duplicates(uploads: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -54,14 +58,21 @@ def fresh(uploads: DataFrame, manifest: DataFrame) -> DataFrame:
     return left.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
-def ingest_results(uploads: DataFrame, manifest: DataFrame) -> DataFrame:
-    """id, code, message, existing_id per file: 409 for a duplicate, 400 for a failed rule, else 201."""
+def ingest_results(uploads: DataFrame, manifest: DataFrame, used: int = 0, limit: int = MAX_TOTAL) -> DataFrame:
+    """uploads (batch_id, pos, id, hash, original_filename, mime_type, size, ...) with code, message, existing_id.
+
+    A file that equals a completed one is 409; one that fails a rule is 400, the quota last, for
+    which only the files of its batch count that passed all before; else 201.  Null hashes equal
+    nothing."""
     done = manifest.where("processing_status = 'completed'").groupBy("hash").agg(F.min("id").alias("existing_id"))
     err = upload_error(F.col("original_filename"), F.col("mime_type"), F.col("size"))
-    return uploads.join(done, "hash", "left").select(
-        "id", F.when(F.col("existing_id").isNotNull(), 409).when(err.isNotNull(), 400).otherwise(201).alias("code"),
-        F.when(F.col("existing_id").isNotNull(), "duplicate").otherwise(err).alias("message"), "existing_id",
-    )
+    rows = uploads.join(done, "hash", "left").withColumn("error", F.when(F.col("existing_id").isNull(), err))
+    asks = rows.where("existing_id IS NULL AND error IS NULL").select("batch_id", "pos", "size")
+    fits = quota_check(asks, used, limit).select("batch_id", "pos", "accepted")
+    rows = rows.join(fits, ["batch_id", "pos"], "left")
+    message = F.when(F.col("existing_id").isNotNull(), "duplicate").otherwise(F.coalesce("error", F.when(~F.col("accepted"), "quota")))
+    code = F.when(F.col("existing_id").isNotNull(), 409).when(message.isNotNull(), 400).otherwise(201)
+    return rows.select(*uploads.columns, code.alias("code"), message.alias("message"), "existing_id")
 
 
 def extraction_status(texts: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.sources.shared import numbered
+
+# Sources that are kept, what a missing judgment says, the score of a failed judge.
 SOURCES = 4
 NO_RATIONALE = "No rationale returned"
 FALLBACK_SCORE = 5.0
@@ -47,4 +50,5 @@ def lookup_sources(sources: DataFrame, store: DataFrame, order: str = "doc_id")
 
 
 def candidates_in_store_order(store: DataFrame, candidates: DataFrame, order: str = "doc_id") -> DataFrame:
-    return store.join(candidates.select(order).distinct(), order, "left_semi").orderBy(order)
+    """The store's rows that any question has as a candidate, with place, their 0-based number in store order."""
+    return numbered(store.join(candidates.select(order).distinct(), order, "left_semi"), [F.col(order)], "place")

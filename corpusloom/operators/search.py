@@ -1,25 +1,36 @@
 """Exact cosine search for many questions at once, and diversified (MMR) choice.
 
-The question side joins the postings on term; Spark broadcasts it while it is small and shuffles by
-term when it isn't.  Scores are rounded to 9 places before ranking, so that equal texts tie and
-store order decides.
+The question side joins the postings on term: broadcast while its rows are few (they are counted),
+else both are shuffled by term.  Scores are rounded to 9 places before ranking, so that equal texts
+tie and store order decides.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import preview
+from corpusloom.sources.shared import bounded_broadcast, materialise, numbered, small_batches
 
 K, LAMBDA, POOL = 5, 0.7, 4
 
 
-def scores(questions: DataFrame, postings: DataFrame) -> DataFrame:
-    """query_id, doc_id, score from weights (query_id, term, weight) and (doc_id, term, weight)."""
-    q = questions.select("query_id", "term", F.col("weight").alias("qw"))
-    return q.join(postings, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score"))
+#: Query vectors that are held against all others at once.
+DENSE_BLOCK = 4096
+
+
+def scores(questions: DataFrame, postings: DataFrame, key: str = "doc_id") -> DataFrame:
+    """query_id, key, score from weights (query_id, term, weight), a materialised table, and postings
+    (key, term, weight).  One shuffle, of sums per question and text, where questions are few."""
+    q = bounded_broadcast(questions.select("query_id", "term", F.col("weight").alias("qw")))
+    both = postings.select(key, "term", "weight").join(q, "term")
+    return both.groupBy("query_id", key).agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int = K, order: str = "doc_id") -> DataFrame:
@@ -43,19 +54,23 @@ def without_hits(questions: DataFrame, vectors: DataFrame) -> DataFrame:
     return questions.join(vectors.select("query_id").distinct(), "query_id", "left_anti")
 
 
-def pool_similarity(pool: DataFrame, postings: DataFrame) -> DataFrame:
-    """query_id, a, b, sim for ranks a < b of each question's pool that share terms."""
-    terms = pool.select("query_id", "doc_id", "rank").join(postings, "doc_id")
-    x = terms.select("query_id", "term", F.col("rank").alias("a"), F.col("weight").alias("wa"))
-    y = terms.select("query_id", "term", F.col("rank").alias("b"), F.col("weight").alias("wb"))
-    both = x.join(y, ["query_id", "term"]).where("a < b")
-    return both.groupBy("query_id", "a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("sim"))
+def pool_similarity(pool: DataFrame, postings: DataFrame, key: str = "doc_id") -> DataFrame:
+    """query_id, a, b, sim for ranks a < b of each question's pool (a materialised table) that share terms."""
+    few = bounded_broadcast(pool.select("query_id", key, "rank"))
+    terms = postings.select(key, "term", "weight").join(few, key)
+    # a pool is some 20 texts, so that a term has few of them
+    by = terms.groupBy("query_id", "term").agg(F.array_sort(F.collect_list(F.struct("rank", "weight"))).alias("held"))
+    pairs = F.flatten(
+        F.transform("held", lambda x, i: F.transform(F.slice("held", i + 2, F.size("held")), lambda y: F.struct(x["rank"].alias("a"), y["rank"].alias("b"), (x["weight"] * y["weight"]).alias("w"))))
+    )
+    each = by.where(F.size("held") > 1).select("query_id", F.inline(pairs))
+    return each.groupBy("query_id", "a", "b").agg(F.round(F.sum("w"), 9).alias("sim"))
 
 
-def mmr(pool: DataFrame, similarity: DataFrame, k: int = K, lam: float = LAMBDA) -> DataFrame:
-    """query_id, doc_id, score, rank: k of each pool, each time the one with the most of
+def mmr(pool: DataFrame, similarity: DataFrame, k: int = K, lam: float = LAMBDA, key: str = "doc_id") -> DataFrame:
+    """query_id, key, score, rank: k of each pool, each time the one with the most of
     lam * score - (1 - lam) * similarity to those chosen; of equals the first in the pool."""
-    items = pool.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("items"))
+    items = pool.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col(key).alias("key"), "score"))).alias("items"))
     sims = similarity.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "a", "b"), "sim"))).alias("sims"))
     rows = items.join(sims, "query_id", "left").withColumn("sims", F.coalesce("sims", F.create_map().cast("map<string,double>")))
 
@@ -75,7 +90,7 @@ def mmr(pool: DataFrame, similarity: DataFrame, k: int = K, lam: float = LAMBDA)
     order = F.when(F.size("items") <= k, F.transform("items", lambda i: i["rank"])).otherwise(order)
     picked = rows.select("query_id", "items", F.posexplode(order).alias("pos", "at"))
     item = F.element_at("items", F.col("at"))
-    return picked.select("query_id", item["doc_id"].alias("doc_id"), item["score"].alias("score"), (F.col("pos") + 1).alias("rank"))
+    return picked.select("query_id", item["key"].alias(key), item["score"].alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
 def retrieval_records(hits: DataFrame, store: DataFrame, text: str = "text") -> DataFrame:
@@ -84,20 +99,71 @@ def retrieval_records(hits: DataFrame, store: DataFrame, text: str = "text") ->
     return hits.join(texts, "doc_id").withColumn("score", F.round("score", 4))
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
-    """query_id, vec_id, score, rank by cosine of (query_id, v) and (vec_id, v); another id only.
-
-    The stated queries are one side of a nested-loop join over blocks of all vectors."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    unit = lambda df: df.withColumn("norm", F.sqrt(dot("v", "v")))
-    q, d = unit(queries).select("query_id", F.col("v").alias("qv"), F.col("norm").alias("qn")), unit(vectors)
-    both = q.join(d, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(dot("qv", "v") / (F.col("qn") * F.col("norm")), 4).alias("score"))
-    return top_k(both, k, "vec_id")
+def _unit(column: pa.Array) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def similar_questions(vectors: DataFrame, least: float) -> DataFrame:
-    """a, b, score of question pairs with cosine of least or more, over weights (query_id, term, weight)."""
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
+    """query_id, vec_id, score, rank by cosine (4 places) of (query_id, v) and (vec_id, v); another id only.
+
+    The stated queries go against all vectors in blocks of DENSE_BLOCK, which is what the driver and
+    each task hold; a task gives k per query, so that k per query and task are shuffled.  Vectors
+    must not be null or of zeros; of equal scores the smaller vec_id comes first."""
+    small_batches(queries.sparkSession)
+    placed = materialise(numbered(queries.select("query_id", "v"), [F.col("query_id")], "place"), "queries")
+    found = None
+    for first in range(0, max(1, placed.count()), DENSE_BLOCK):
+        block = placed.where((F.col("place") >= first) & (F.col("place") < first + DENSE_BLOCK)).select("query_id", "v").toArrow().combine_chunks()
+        part = _against(block, vectors, k)
+        found = part if found is None else found.unionByName(part)
+    return top_k(found, k, "vec_id")
+
+
+def _against(block: pa.Table, vectors: DataFrame, k: int) -> DataFrame:
+    ids = block["query_id"].to_numpy()
+    q = np.concatenate([_unit(c) for c in block["v"].chunks]) if len(ids) else np.zeros((0, 1))
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        score, which = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                names = batch.column("vec_id").to_numpy()
+                new = np.round(q @ _unit(batch.column("v")).T, 4)
+                new[ids[:, None] == names] = -np.inf
+                score, which = np.concatenate([score, new], 1), np.concatenate([which, np.broadcast_to(names, new.shape)], 1)
+                best = np.lexsort((which, -score), axis=1)[:, :k]
+                score, which = np.take_along_axis(score, best, 1), np.take_along_axis(which, best, 1)
+        at, _ = hit = np.nonzero(score > -np.inf)
+        yield pa.record_batch({"query_id": ids[at], "vec_id": which[hit], "score": score[hit]})
+
+    return vectors.select("vec_id", "v").mapInArrow(task, "query_id long, vec_id long, score double")
+
+
+def dense_pool_similarity(pool: DataFrame, vectors: DataFrame) -> DataFrame:
+    """query_id, a, b, sim for ranks a < b of each query's pool (query_id, vec_id, rank)."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, z: s + z)
+    v = vectors.select("vec_id", "v", F.sqrt(dot("v", "v")).alias("norm"))
+    side = lambda s: pool.join(v, "vec_id").select("query_id", F.col("rank").alias(s), F.col("v").alias(f"v{s}"), F.col("norm").alias(f"n{s}"))
+    both = side("a").join(side("b"), "query_id").where("a < b")
+    return both.select("query_id", "a", "b", F.round(dot("va", "vb") / (F.col("na") * F.col("nb")), 4).alias("sim"))
+
+
+def similar_questions(vectors: DataFrame, df: DataFrame, least: float) -> DataFrame:
+    """a, b, score of question pairs with cosine of least or more, over weights (query_id, term, weight)
+    of unit length and (term, df).
+
+    Terms go from rare to common.  What a question's last terms can add is at most their length, so
+    that two similar questions share one of the terms before: only those propose pairs, which keeps
+    common terms out of the join.  Proposed pairs are then scored in full."""
+    ordered = vectors.join(df.select("term", "df"), "term")
+    rest = W.partitionBy("query_id").orderBy("df", "term").rowsBetween(0, W.unboundedFollowing)
+    heads = ordered.withColumn("left", F.sum(F.col("weight") * F.col("weight")).over(rest)).where(F.col("left") >= least * least - 1e-6)
+    heads = materialise(heads.select("query_id", "term"), "heads")
+    pairs = heads.withColumnRenamed("query_id", "a").join(heads.withColumnRenamed("query_id", "b"), "term").where("a < b").select("a", "b").distinct()
     x = vectors.select(F.col("query_id").alias("a"), "term", F.col("weight").alias("wa"))
     y = vectors.select(F.col("query_id").alias("b"), "term", F.col("weight").alias("wb"))
-    out = x.join(y, "term").where("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("score"))
+    out = pairs.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("score"))
     return out.where(F.col("score") >= least)

@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import tokenize
+from corpusloom.functions.text import STOPWORDS, words
+from corpusloom.sources.shared import numbered
 
 
 def term_counts(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, term, tf; texts without tokens have no rows."""
-    return texts.select(key, F.explode(tokenize(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """key, term, tf; texts without tokens have no rows.
+
+    Texts are shuffled by key, once: they are smaller than their terms, and counts and later sums
+    per text find them in place."""
+    terms = texts.select(key, text).repartition(key).select(key, F.explode(words(F.col(text))).alias("term"))
+    return terms.where(~F.col("term").isin(*STOPWORDS)).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -29,16 +34,17 @@ def inverse_frequency(df: DataFrame, texts: DataFrame) -> DataFrame:
 
 def vocabulary_index(df: DataFrame) -> DataFrame:
     """term, idx: 0-based place in sorted order, by a range sort (no single task holds all terms)."""
-    ranked = df.select("term").repartitionByRange("term").sortWithinPartitions("term").rdd.zipWithIndex()
-    return ranked.map(lambda x: (x[0][0], x[1])).toDF("term string, idx long")
+    return numbered(df.select("term"), [F.col("term")], "idx")
+
 
+def weights(counts: DataFrame, idf: DataFrame, key: str = "doc_id", keep: tuple = ()) -> DataFrame:
+    """key, term, the columns of keep, weight: tf by idf, of unit length; terms outside idf are dropped.
 
-def weights(counts: DataFrame, idf: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, term, weight: tf by idf, of unit length; terms outside idf are dropped."""
-    of = W.partitionBy(key)
-    w = counts.withColumn("share", F.col("tf") / F.sum("tf").over(of)).join(idf.select("term", "idf"), "term")
-    w = w.select(key, "term", (F.col("share") * F.col("idf")).alias("w")).where("w > 0")
-    return w.select(key, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(of))).alias("weight"))
+    (The share of a term in its text, tf over all, differs from tf by a factor that the length
+    takes out again.)"""
+    w = counts.join(idf.select("term", "idf"), "term").select(key, "term", *keep, (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
+    return w.select(key, "term", *keep, (F.col("w") / norm).alias("weight"))
 
 
 def top_terms(idf: DataFrame, k: int = 10) -> DataFrame:

@@ -1,441 +1,8 @@
-"""Registered queries over the given tables, with the SQL they are compared with.
+"""All registered queries and their SQL."""
 
-The documents are the store, in order of doc_id; benchmark passages are the questions.
-"""
-
-from __future__ import annotations
-
-import tempfile
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from corpusloom.functions import text as X
-from corpusloom.operators import chunking, evaluate, grounding, ingest, rerank, search, tfidf, trace
-from corpusloom.streaming import ingest as stream
+from corpusloom.plans import ingestion, retrieval, streams  # noqa: F401 - they register their queries
+from corpusloom.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "mmr_top5"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
-_TOK = lambda t: f"list_filter(regexp_extract_all(lower(coalesce({t}, '')), '[a-z0-9]+'), lambda x: length(x) > 1 AND NOT list_contains({_STOP}, x))"
-_VECTORS = f"""
-    tok AS (SELECT doc_id, unnest({_TOK('text')}) AS term FROM documents),
-    tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
-    idf AS (SELECT term, count(*) AS df, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
-    w0 AS (SELECT doc_id, tf.term, tf / sum(tf) OVER (PARTITION BY doc_id) * idf AS w FROM tf JOIN idf ON tf.term = idf.term),
-    w AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w0),
-    qtok AS (SELECT item_id AS query_id, unnest({_TOK('text')}) AS term FROM benchmark),
-    qtf AS (SELECT query_id, term, count(*) AS tf FROM qtok GROUP BY ALL),
-    q0 AS (SELECT query_id, qtf.term, tf * idf AS w FROM qtf JOIN idf ON qtf.term = idf.term),
-    q AS (SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS weight FROM q0)"""
-_HITS = (
-    _VECTORS
-    + """,
-    s AS (SELECT query_id, doc_id, round(sum(q.weight * w.weight), 9) AS score FROM q JOIN w ON q.term = w.term GROUP BY ALL),
-    padded AS (SELECT a.query_id, d.doc_id, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT query_id FROM q) a CROSS JOIN documents d
-               LEFT JOIN s ON s.query_id = a.query_id AND s.doc_id = d.doc_id),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM padded)"""
-)
-
-
-class _Index:
-    """Counts, idf and weights of the documents, and the questions' weights."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.docs = _t(spark, sf_dir, "documents")
-        self.questions = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-        self.counts = tfidf.term_counts(self.docs)
-        self.df = tfidf.document_frequency(self.counts)
-        self.idf = tfidf.inverse_frequency(self.df, self.docs)
-        self.weights = tfidf.weights(self.counts, self.idf)
-        self.asked = tfidf.weights(tfidf.term_counts(self.questions, "query_id", "question"), self.idf, "query_id")
-
-    def pool(self, k: int) -> DataFrame:
-        padded = search.pad_with_zeros(search.scores(self.asked, self.weights), self.asked, self.docs, k)
-        return search.top_k(padded, k)
-
-
-@_query(f"SELECT doc_id, len({_TOK('text')}) AS n_tokens, coalesce({_TOK('text')}[1], '') AS first FROM documents")
-def tokenize(spark, sf_dir):
-    t = X.tokenize(F.col("text"))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.coalesce(F.get(t, F.lit(0)), F.lit("")).alias("first"))
-
-
-@_query(f"WITH {_VECTORS} SELECT term, df, round(idf, 9) AS idf FROM idf")
-def term_df(spark, sf_dir):
-    return _Index(spark, sf_dir).idf.select("term", "df", F.round("idf", 9).alias("idf"))
-
-
-@_query(f"WITH {_VECTORS} SELECT term, df, round(idf, 3) AS idf FROM idf ORDER BY df DESC, term LIMIT 10")
-def vocab_top_terms(spark, sf_dir):
-    return tfidf.top_terms(_Index(spark, sf_dir).idf)
-
-
-@_query(f"WITH {_VECTORS} SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM idf")
-def vocab_index(spark, sf_dir):
-    return tfidf.vocabulary_index(_Index(spark, sf_dir).df)
-
-
-@_query(f"WITH {_VECTORS} SELECT (SELECT count(*) FROM documents) AS num_chunks, (SELECT count(*) FROM idf) AS vocab_size")
-def store_stats(spark, sf_dir):
-    i = _Index(spark, sf_dir)
-    return tfidf.store_stats(i.docs, i.df)
-
-
-@_query(f"WITH {_VECTORS} SELECT doc_id, term, round(weight, 8) AS weight FROM w")
-def tfidf_weights(spark, sf_dir):
-    return _Index(spark, sf_dir).weights.select("doc_id", "term", F.round("weight", 8).alias("weight"))
-
-
-@_query(f"WITH {_HITS} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM ranked WHERE rank <= 5")
-def search_topk(spark, sf_dir):
-    return _Index(spark, sf_dir).pool(5).withColumn("score", F.round("score", 4)).select("query_id", "doc_id", "score", "rank")
-
-
-@_query(f"WITH {_HITS} SELECT query_id, count(*) AS pool, count(*) FILTER (score = 0) AS zeros FROM ranked WHERE rank <= 400 GROUP BY 1")
-def search_padded(spark, sf_dir):
-    return _Index(spark, sf_dir).pool(400).groupBy("query_id").agg(F.count("*").alias("pool"), F.count_if(F.col("score") == 0).alias("zeros"))
-
-
-@_query(f"WITH {_VECTORS} SELECT item_id AS query_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM q)")
-def query_no_hits(spark, sf_dir):
-    i = _Index(spark, sf_dir)
-    return search.without_hits(i.questions, i.asked).select("query_id")
-
-
-def _mmr_sql(lam: float) -> str:
-    return f"""WITH RECURSIVE {_HITS},
-    pool AS (SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 20),
-    pw AS (SELECT p.query_id, p.rank, w.term, w.weight FROM pool p JOIN w ON w.doc_id = p.doc_id),
-    sim AS (SELECT a.query_id, a.rank AS a, b.rank AS b, round(sum(a.weight * b.weight), 9) AS sim FROM pw a JOIN pw b ON a.query_id = b.query_id AND a.term = b.term AND a.rank <> b.rank GROUP BY ALL),
-    full_sim AS (SELECT x.query_id, x.rank AS a, y.rank AS b, greatest(0, coalesce(s.sim, 0)) AS sim FROM pool x JOIN pool y ON x.query_id = y.query_id LEFT JOIN sim s ON s.query_id = x.query_id AND s.a = x.rank AND s.b = y.rank),
-    m AS (SELECT query_id, a, list(sim ORDER BY b) AS sims FROM full_sim GROUP BY ALL),
-    items AS (SELECT p.query_id, list(p.score ORDER BY p.rank) AS rel, list(p.doc_id ORDER BY p.rank) AS docs, list(m.sims ORDER BY p.rank) AS sims FROM pool p JOIN m ON m.query_id = p.query_id AND m.a = p.rank GROUP BY 1),
-    r AS (SELECT query_id, []::BIGINT[] AS chosen FROM items
-          UNION ALL
-          SELECT r.query_id, list_append(r.chosen, -list_sort(list_transform(list_filter(range(1, len(i.rel) + 1), lambda x: NOT list_contains(r.chosen, x)),
-                 lambda x: [round({lam} * i.rel[x] - {1 - lam!r} * coalesce(list_max(list_transform(r.chosen, lambda c: i.sims[x][c])), 0), 9), -x]))[-1][2]::BIGINT)
-          FROM r JOIN items i ON i.query_id = r.query_id WHERE len(r.chosen) < 5)
-    SELECT r.query_id, i.docs[c.at] AS doc_id, round(i.rel[c.at], 4) AS score, c.pos AS rank FROM r JOIN items i ON i.query_id = r.query_id,
-         LATERAL (SELECT unnest(r.chosen) AS at, unnest(range(1, 6)) AS pos) c WHERE len(r.chosen) = 5"""
-
-
-def _mmr(spark, sf_dir, lam):
-    i = _Index(spark, sf_dir)
-    pool = i.pool(search.K * search.POOL)
-    out = search.mmr(pool, search.pool_similarity(pool, i.weights), lam=lam)
-    return out.select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
-
-
-@_query(_mmr_sql(0.7))
-def mmr_top5(spark, sf_dir):
-    return _mmr(spark, sf_dir, 0.7)
-
-
-@_query(f"WITH {_HITS} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM ranked WHERE rank <= 5")
-def mmr_lambda1(spark, sf_dir):
-    return _mmr(spark, sf_dir, 1.0)
-
-
-@_query(f"""WITH {_HITS} SELECT r.query_id, r.doc_id, round(score, 4) AS score, rank,
-    regexp_replace(regexp_replace(substr(text, 1, 160), '\\s+', ' ', 'g'), '^ | $', '', 'g') || CASE WHEN length(text) > 160 THEN '…' ELSE '' END AS preview
-    FROM ranked r JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 5""")
-def retrieval_records(spark, sf_dir):
-    i = _Index(spark, sf_dir)
-    return search.retrieval_records(i.pool(5), i.docs).select("query_id", "doc_id", "score", "rank", "preview")
-
-
-@_query("""SELECT doc_id, k + 1 AS chunk_index, k * 520 AS start_offset, sha256(substr(coalesce(text, ''), k * 520 + 1, 600)) AS sha
-    FROM (SELECT doc_id, text, unnest(range(0, 1 + greatest(0, CAST(ceil((length(coalesce(text, '')) - 600) / 520.0) AS BIGINT)))) AS k FROM documents)""")
-def chunk_windows(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    w = chunking.character_windows(docs)
-    return w.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("start_offset").cast("long").alias("start_offset"), F.sha2("content", 256).alias("sha"))
-
-
-def _chunks(spark, sf_dir, enrich=False):
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
-    return chunking.chunk_documents(d, enrich)
-
-
-@_query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(coalesce(text, '')) AS sha FROM documents")
-def chunk_reassembly(spark, sf_dir):
-    """Each document put together again from its chunks, overlaps left out."""
-    c = _chunks(spark, sf_dir)
-    items = F.array_sort(F.collect_list(F.struct("chunk_index", "start_offset", "raw")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    join = lambda acc, x: F.struct(F.greatest(acc["at"], x["start_offset"] + F.length(x["raw"])).alias("at"), F.concat(acc["out"], F.substring(x["raw"], acc["at"] - x["start_offset"] + 1, F.length(x["raw"]))).alias("out"))
-    return c.groupBy("doc_id").agg(items.alias("items")).select("doc_id", F.sha2(F.aggregate("items", start, join, lambda acc: acc["out"]), 256).alias("sha"))
-
-
-@_query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, 1::BIGINT AS n, length(coalesce(text, '')) AS chars FROM documents WHERE length(coalesce(text, '')) <= 600")
-def chunk_short_docs(spark, sf_dir):
-    c = _chunks(spark, sf_dir)
-    by = c.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("raw_length").alias("chars"), F.max("start_offset").alias("last"))
-    return by.where("n = 1 AND last = 0").select("doc_id", "n", "chars")
-
-
-@_query()
-def chunk_documents(spark, sf_dir):
-    return _chunks(spark, sf_dir, True).select("chunk_id", "doc_id", "chunk_index", "start_offset", "content")
-
-
-@_query()
-def chunk_lists(spark, sf_dir):
-    return chunking.chunk_lists(_chunks(spark, sf_dir)).select("doc_id", "chunk_count", F.array_join("chunk_ids", ",").alias("chunk_ids"))
-
-
-@_query()
-def chunk_search_topk(spark, sf_dir):
-    """Chunks go by (doc_id, chunk_index), the order of the store."""
-    c = _chunks(spark, sf_dir, True).select(F.struct(F.col("doc_id").cast("long").alias("doc"), F.col("chunk_index").alias("n")).alias("doc_id"), F.col("content").alias("text"))
-    i = _Index(spark, sf_dir)
-    counts = tfidf.term_counts(c)
-    idf = tfidf.inverse_frequency(tfidf.document_frequency(counts), c)
-    asked = tfidf.weights(tfidf.term_counts(i.questions, "query_id", "question"), idf, "query_id")
-    hits = search.top_k(search.pad_with_zeros(search.scores(asked, tfidf.weights(counts, idf)), asked, c, 5), 5)
-    return hits.select("query_id", F.concat("doc_id.doc", F.lit("#chunk-"), "doc_id.n").alias("chunk_id"), F.round("score", 4).alias("score"), "rank")
-
-
-# judgments by a formula: some are missing, some repeat, and every fourth question's judge failed
-_JUDGED = _HITS + """,
-    cand AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS original_rank FROM ranked WHERE rank <= 5),
-    j AS (SELECT *, CASE WHEN (doc_id + query_id) % 5 = 0 THEN 0.0 ELSE ((doc_id * 7 + query_id * 3) % 11)::DOUBLE END AS judged,
-          (doc_id + query_id) % 5 = 0 AS missing FROM cand)"""
-_RERANKED = _JUDGED + """,
-    rr AS (SELECT query_id, doc_id, score, original_rank, judged AS llm_score, CASE WHEN missing THEN 'No rationale returned' ELSE 'r' || doc_id END AS rationale,
-           row_number() OVER (PARTITION BY query_id ORDER BY judged DESC, original_rank) AS new_rank FROM j)"""
-
-
-def _reranked(spark, sf_dir, failed=False):
-    cand = _Index(spark, sf_dir).pool(5).select("query_id", "doc_id", "score")
-    j = cand.where("(doc_id + query_id) % 5 <> 0").select("query_id", "doc_id", ((F.col("doc_id") * 7 + F.col("query_id") * 3) % 11).cast("double").alias("s"))
-    twice = j.select("query_id", "doc_id", F.col("s").alias("llm_score"), F.concat(F.lit("r"), "doc_id").alias("rationale"), F.lit(2).alias("seq")).unionByName(
-        j.select("query_id", "doc_id", (F.col("s") + 1).alias("llm_score"), F.lit("earlier").alias("rationale"), F.lit(1).alias("seq"))
-    )
-    bad = cand.select("query_id").where("query_id % 4 = 0") if failed else None
-    return rerank.merge_judgments(cand, twice, bad)
-
-
-@_query(f"WITH {_RERANKED} SELECT query_id, doc_id, original_rank, new_rank, llm_score, rationale FROM rr")
-def rerank_merge(spark, sf_dir):
-    return _reranked(spark, sf_dir).select("query_id", "doc_id", "original_rank", "new_rank", "llm_score", "rationale")
-
-
-@_query(f"""WITH {_JUDGED}, f AS (SELECT *, CASE WHEN query_id % 4 = 0 THEN 5.0 ELSE judged END AS llm_score FROM j)
-    SELECT query_id, doc_id, original_rank, row_number() OVER (PARTITION BY query_id ORDER BY llm_score DESC, original_rank) AS new_rank, llm_score, query_id % 4 = 0 AS judge_failed FROM f""")
-def rerank_fallback(spark, sf_dir):
-    return _reranked(spark, sf_dir, True).select("query_id", "doc_id", "original_rank", "new_rank", "llm_score", "judge_failed")
-
-
-@_query(f"WITH {_RERANKED} SELECT query_id, new_rank AS position, doc_id, llm_score, CASE WHEN llm_score >= 9 THEN 'direct' WHEN llm_score >= 7 THEN 'strong' WHEN llm_score >= 4 THEN 'partial' WHEN llm_score >= 1 THEN 'weak' ELSE 'none' END AS band FROM rr WHERE new_rank <= 4")
-def final_sources(spark, sf_dir):
-    return rerank.final_sources(_reranked(spark, sf_dir)).select("query_id", "position", "doc_id", "llm_score", X.relevance_band(F.col("llm_score")).alias("band"))
-
-
-@_query(f"""WITH {_RERANKED} SELECT query_id, sha256(string_agg('[' || new_rank || '] (from "' || source || '", chunk 1)' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY new_rank)) AS sha
-    FROM rr JOIN documents d ON d.doc_id = rr.doc_id WHERE new_rank <= 4 GROUP BY 1""")
-def sources_block(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.lit(1).alias("chunk_index"), F.col("text").alias("content"))
-    final = rerank.lookup_sources(rerank.final_sources(_reranked(spark, sf_dir)), docs)
-    return grounding.sources_block(final).select("query_id", F.sha2("block", 256).alias("sha"))
-
-
-@_query()
-def judge_payload(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
-    cand = rerank.original_ranks(_Index(spark, sf_dir).pool(5)).join(docs, "doc_id").withColumn("chunk_id", F.col("doc_id").cast("string"))
-    return grounding.judge_payload(cand)
-
-
-@_query(f"""WITH {_RERANKED} SELECT query_id, new_rank AS position, rr.doc_id, CASE WHEN rr.doc_id % 3 = 0 THEN 'Unknown' ELSE lang END AS authors, CASE WHEN rr.doc_id % 3 = 0 THEN '' ELSE source END AS source, round(score, 4) AS score, llm_score
-    FROM rr JOIN documents d ON d.doc_id = rr.doc_id WHERE new_rank <= 4""")
-def cited_sources(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", F.lit("t").alias("title"), F.col("lang").alias("authors"), F.lit(2020).alias("year"), "source")
-    out = grounding.cited_sources(rerank.final_sources(_reranked(spark, sf_dir)), docs)
-    return out.select("query_id", "position", "doc_id", "authors", "source", F.round("score", 4).alias("score"), "llm_score")
-
-
-@_query("""SELECT conv_id, turn, len(list_distinct(regexp_extract_all(a, '\\[(\\d+)\\]', 1)))::BIGINT AS citations FROM
-    (SELECT conv_id, turn, text || ' [' || turn % 3 || '][' || conv_id % 3 || '] [2, 3]' AS a FROM conversations)""")
-def citation_count(spark, sf_dir):
-    a = F.concat("text", F.lit(" ["), F.col("turn") % 3, F.lit("]["), F.col("conv_id") % 3, F.lit("] [2, 3]"))
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", X.citation_count(a).cast("long").alias("citations"))
-
-
-@_query("SELECT doc_id, 'd' || doc_id AS answer FROM documents WHERE doc_id % 4 <> 3 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 4 = 3")
-def json_salvage(spark, sf_dir):
-    """Replies in fences, within prose, plain, and without any object."""
-    body = F.concat(F.lit('{"answer": "d'), "doc_id", F.lit('"}'))
-    k = F.col("doc_id") % 4
-    raw = F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 1, F.concat(F.lit("Here it is: "), body, F.lit(" as asked."))).when(k == 2, body).otherwise("no object")
-    return _t(spark, sf_dir, "documents").select("doc_id", X.parse_reply(raw, "answer string")["answer"].alias("answer"))
-
-
-@_query("SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS iterations, CASE WHEN doc_id % 3 = 2 THEN 'needs_revision' ELSE 'faithful' END AS verdict, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS citations_used FROM documents")
-def refine_outcome(spark, sf_dir):
-    """Faithful at once, after revision, never."""
-    q = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("iteration"))
-    answers = q.withColumn("raw_answer", F.when(F.col("iteration") == 1, "see [1] and [1]").otherwise('{"answer": "", "text": "see [1] and [2]"}'))
-    ok = ((F.col("query_id") % 3 == 0) & (F.col("iteration") == 1)) | ((F.col("query_id") % 3 == 1) & (F.col("iteration") == 2))
-    verdicts = q.select("query_id", "iteration", F.when(ok, "faithful").otherwise("needs_revision").alias("verdict"), F.when(ok, 90.0).otherwise(50.0).alias("faithfulness_score"), F.lit(False).alias("judge_failed"))
-    return grounding.refine_outcome(answers, verdicts).select("query_id", F.col("iterations").cast("long").alias("iterations"), "verdict", F.col("citations_used").cast("long").alias("citations_used"))
-
-
-# uploads from documents: names, types and sizes by rules on the row
-def _uploads(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents")
-    k = F.col("doc_id") % 6
-    return d.select(
-        F.col("doc_id").alias("id"), F.concat(F.lit("f"), "doc_id", F.when(k == 0, ".exe").when(k == 1, ".md").otherwise(".TXT")).alias("original_filename"),
-        F.when(k == 2, "image/png").otherwise("text/plain").alias("mime_type"),
-        F.when(k == 3, 0).otherwise(F.col("n_chars") * F.when(k == 4, 10_000).otherwise(1)).alias("size"), F.sha2("text", 256).alias("hash"), F.pmod("doc_id", F.lit(50)).alias("batch_id"),
-    )
-
-
-_UP = """u AS (SELECT doc_id AS id, doc_id % 6 AS k, CASE WHEN doc_id % 6 = 3 THEN 0 WHEN doc_id % 6 = 4 THEN n_chars * 10000 ELSE n_chars END AS size, sha256(text) AS hash, doc_id % 50 AS batch_id FROM documents)"""
-
-
-@_query(f"WITH {_UP} SELECT id, CASE WHEN k = 0 THEN 'extension' WHEN k = 2 THEN 'mime' WHEN k = 1 THEN 'mismatch' WHEN size = 0 THEN 'empty' WHEN size > 26214400 THEN 'too_large' END AS error FROM u")
-def upload_validation(spark, sf_dir):
-    return _uploads(spark, sf_dir).select("id", ingest.upload_error(F.col("original_filename"), F.col("mime_type"), F.col("size")).alias("error"))
-
-
-@_query(f"WITH {_UP} SELECT a.id, b.id AS existing_id FROM u a JOIN (SELECT hash, min(id) AS id FROM u WHERE id % 2 = 0 GROUP BY 1) b ON a.hash = b.hash")
-def duplicate_uploads(spark, sf_dir):
-    u = _uploads(spark, sf_dir)
-    manifest = u.select("id", "hash", F.when(F.col("id") % 2 == 0, "completed").otherwise("failed").alias("processing_status"))
-    return ingest.duplicates(u.select(F.col("id"), "hash"), manifest).select("id", "existing_id")
-
-
-@_query(f"""WITH RECURSIVE {_UP}, o AS (SELECT batch_id, id AS pos, size, row_number() OVER (PARTITION BY batch_id ORDER BY id) AS n FROM u),
-    r AS (SELECT batch_id, pos, size, n, size <= 200000 AS accepted, CASE WHEN size <= 200000 THEN size ELSE 0 END AS used FROM o WHERE n = 1
-          UNION ALL SELECT o.batch_id, o.pos, o.size, o.n, r.used + o.size <= 200000, r.used + CASE WHEN r.used + o.size <= 200000 THEN o.size ELSE 0 END FROM r JOIN o ON o.batch_id = r.batch_id AND o.n = r.n + 1)
-    SELECT batch_id, pos, size, accepted FROM r""")
-def quota_check(spark, sf_dir):
-    u = _uploads(spark, sf_dir).select("batch_id", F.col("id").alias("pos"), "size")
-    return ingest.quota_check(u, 0, 200_000).select("batch_id", F.col("pos").cast("long").alias("pos"), "size", "accepted")
-
-
-@_query("SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) < 20 THEN 'failed' ELSE 'extracted' END AS status FROM documents")
-def extraction_status(spark, sf_dir):
-    return ingest.extraction_status(_t(spark, sf_dir, "documents")).select("doc_id", "status")
-
-
-_EV = "e AS (SELECT user_id AS doc_id, event_id AS seq, event_type AS status FROM events)"
-
-
-def _events(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.lit(None).cast("string").alias("message"), "ts")
-
-
-@_query(f"WITH {_EV} SELECT doc_id, max(seq) AS seq, arg_max(status, seq) AS status FROM e GROUP BY 1")
-def manifest_current(spark, sf_dir):
-    return ingest.current_manifest(_events(spark, sf_dir)).select("doc_id", "seq", "status")
-
-
-@_query("SELECT count(*) FILTER (doc_id % 2 = 0) AS completed, sum(n_chars)::BIGINT AS total_size FROM documents")
-def completed_summary(spark, sf_dir):
-    return ingest.completed_summary(_t(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, "completed").otherwise("failed").alias("processing_status"), F.col("n_chars").alias("size")))
-
-
-@_query("SELECT conv_id, turn, CASE WHEN regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') = '' THEN 'missing' WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 1000 THEN 'too_long' END AS error FROM conversations WHERE role = 'user'")
-def question_validation(spark, sf_dir):
-    return _t(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", X.question_error(F.col("text")).alias("error"))
-
-
-def _steps(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("agent"), F.round("value", 2).cast("decimal(18,2)").alias("duration_ms"), F.when(F.col("event_id") % 97 == 0, "error").otherwise("completed").alias("status"), F.col("event_id").alias("started_at"), (F.col("event_id") + 5).alias("finished_at"))
-
-
-@_query("WITH s AS (SELECT event_type AS agent, round(value, 2)::DECIMAL(18, 2) AS v FROM events) SELECT agent, count(*) AS n, round(avg(v), 4) AS mean_ms, round(sum(v)::DOUBLE / (SELECT sum(v)::DOUBLE FROM s), 6) AS share FROM s GROUP BY 1")
-def step_latency_share(spark, sf_dir):
-    out = trace.latency_share(_steps(spark, sf_dir))
-    return out.select("agent", "n", F.col("mean_ms").cast("double").alias("mean_ms"), F.col("share").cast("double").alias("share"))
-
-
-@_query("SELECT user_id AS run_id, bool_or(event_id % 97 = 0) AS any_error, count(*) AS n_steps, max(event_id) + 5 - min(event_id) AS total_ms FROM events GROUP BY 1")
-def run_errors(spark, sf_dir):
-    return trace.run_summary(_steps(spark, sf_dir))
-
-
-@_query("SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1")
-def latest_assistant_turn(spark, sf_dir):
-    return trace.latest_turn(_t(spark, sf_dir, "conversations"))
-
-
-_REL = "rel AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))"
-
-
-def _quality(spark, sf_dir):
-    i = _Index(spark, sf_dir)
-    passages = F.broadcast(i.questions.select("query_id", F.substring("question", 1, 60).alias("head")))
-    relevant = i.docs.join(passages, F.col("text").contains(F.col("head"))).select("query_id", "doc_id")
-    return evaluate.per_query(i.pool(5), relevant)
-
-
-_PER = f"""{_REL}, t AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1),
-    g AS (SELECT r.query_id, count(*) AS n, min(rank) AS first FROM ranked r JOIN rel ON rel.query_id = r.query_id AND rel.doc_id = r.doc_id WHERE rank <= 5 GROUP BY 1),
-    per AS (SELECT t.query_id, coalesce(g.n / least(5, (SELECT count(*) FROM documents)), 0.0) AS precision, coalesce(g.n / t.n, 0.0) AS recall, coalesce(1.0 / g.first, 0.0) AS rr FROM t LEFT JOIN g ON g.query_id = t.query_id)"""
-
-
-@_query(f"WITH {_HITS}, {_PER} SELECT round(avg(precision), 6) AS precision_at_k, round(avg(recall), 6) AS recall_at_k, round(avg(rr), 6) AS mrr FROM per")
-def retrieval_quality(spark, sf_dir):
-    return evaluate.summary(_quality(spark, sf_dir))
-
-
-@_query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-    s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 4) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
-    SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
-def dense_topk(spark, sf_dir):
-    """Every twentieth vector asks against all."""
-    v = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    return search.dense_top_k(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v).select("query_id", "vec_id", "score", "rank")
-
-
-@_query(f"WITH {_VECTORS} SELECT a.query_id AS a, b.query_id AS b, round(sum(a.weight * b.weight), 6) AS score FROM q a JOIN q b ON a.term = b.term AND a.query_id < b.query_id GROUP BY ALL HAVING round(sum(a.weight * b.weight), 6) >= 0.2")
-def repeat_questions(spark, sf_dir):
-    return search.similar_questions(_Index(spark, sf_dir).asked, 0.2)
-
-
-def _streamed(spark, sf_dir):
-    state = tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp") if not (shared := spark.conf.get("spark.checkpoint.dir", None)) else f"{shared.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    # a pattern, as a stream's path may not be a single file
-    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
-    q = stream.start_ingest(source, f"{state}/state", f"{state}/checkpoint")
-    q.awaitTermination()
-    return f"{state}/state"
-
-
-@_query("SELECT sha256(text) AS hash FROM documents GROUP BY 1")
-def stream_ingest_dedup(spark, sf_dir):
-    return spark.read.parquet(f"{_streamed(spark, sf_dir)}/documents").select("hash")
-
-
-@_query("SELECT 'completed' AS status, count(DISTINCT text) AS n FROM documents")
-def stream_status_counts(spark, sf_dir):
-    return stream.status_counts(spark.read.parquet(f"{_streamed(spark, sf_dir)}/events"))
-
 
-@_query(f"WITH d AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY 1), t AS (SELECT doc_id, unnest({_TOK('text')}) AS term FROM d) SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY 1")
-def stream_df_delta(spark, sf_dir):
-    return stream.frequency_from_deltas(spark, _streamed(spark, sf_dir))
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import content_hash, decode_text, trim_all
-from corpusloom.operators import chunking, tfidf
+from corpusloom.operators import chunking, index
+from corpusloom.sources.shared import numbered, small_table
 
 DOCUMENT = "doc_id string, doc_ord bigint, title string, authors string, year int, source string, content string"
 EVENT = "doc_id string, seq bigint, status string, message string, ts timestamp"
@@ -17,9 +19,26 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DOCUMENT).parquet(path)
 
 
+def write_documents(documents: DataFrame, path: str) -> None:
+    documents.select(*(c.split()[0] for c in DOCUMENT.split(", "))).write.mode("overwrite").parquet(path)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Lifecycle events from JSON lines; rows that don't parse are kept aside in _corrupt_record."""
-    return spark.read.schema(f"{EVENT}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    """Lifecycle events from JSON lines, empty where there is no file; rows that don't parse are kept
+    aside in _corrupt_record."""
+    schema = f"{EVENT}, _corrupt_record string"
+    try:
+        events = spark.read.schema(schema).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        events = small_table(spark, [], schema)
+    return events
+
+
+def append_events(events: DataFrame, path: str, batch: int) -> None:
+    """A folder per batch; a batch that is tried again replaces its events."""
+    events.write.mode("overwrite").json(f"{path}/batch-{batch}")
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
@@ -40,28 +59,34 @@ def write_extracted(texts: DataFrame, path: str, batch: int) -> None:
 
 
 def read_extracted(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """Texts of completed entries."""
-    return spark.read.parquet(path).join(manifest.where("processing_status = 'completed'").select("id"), "id", "left_semi")
+    """id, text of completed entries."""
+    texts = spark.read.schema("id string, text string").parquet(path)
+    return texts.join(manifest.where("processing_status = 'completed'").select("id"), "id", "left_semi")
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    events.write.mode("append").json(path)
+def corpus_union(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Bundled documents, then uploads, in one order: doc_ord of the second goes on after the first's."""
+    after = first.agg(F.coalesce(F.max("doc_ord") + 1, F.lit(0)).alias("after"))
+    moved = second.crossJoin(F.broadcast(after)).withColumn("doc_ord", F.col("doc_ord") + F.col("after")).drop("after")
+    return first.unionByName(moved, allowMissingColumns=True)
 
 
-def corpus_union(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Bundled documents, then uploads, in one order (doc_ord, an offset for the second)."""
-    return first.withColumn("part", F.lit(0)).unionByName(second.withColumn("part", F.lit(1)), allowMissingColumns=True)
+def in_order(documents: DataFrame, *by: str) -> DataFrame:
+    """documents with doc_ord, their 0-based number in the order of by."""
+    return numbered(documents, [F.col(c) for c in by], "doc_ord")
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded runs, one JSON document per file, with run_id from its name."""
+def read_runs(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """Recorded runs: one JSON document per file, with run_id from its name; or, per_line, one per
+    line, each with its run_id."""
+    if per_line:
+        return spark.read.json(path)
     return spark.read.option("multiLine", True).json(path).withColumn("run_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1))
 
 
-def build_index(docs: DataFrame, path: str) -> None:
-    """Chunks of titled texts and their term counts, which are partitioned by term hash."""
-    chunks = chunking.chunk_documents(docs, enrich=True)
+def build_index(docs: DataFrame, path: str) -> index.Index:
+    """Chunks of titled texts (doc_id, title, content) under path/chunks, in store order by ord, and
+    their index (see operators.index), keyed by ord."""
+    chunks = numbered(chunking.chunk_documents(docs, enrich=True), [F.col("doc_id"), F.col("chunk_index")], "ord")
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    saved = docs.sparkSession.read.parquet(f"{path}/chunks")
-    counts = tfidf.term_counts(saved, "chunk_id", "content")
-    counts.withColumn("part", F.pmod(F.hash("term"), F.lit(64))).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    return index.build(docs.sparkSession.read.parquet(f"{path}/chunks"), f"{path}/index", "ord", "content")

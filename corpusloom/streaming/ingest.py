@@ -1,52 +1,171 @@
-"""Incremental ingestion with Structured Streaming."""
+"""Incremental ingestion with Structured Streaming.
+
+State is a folder of tables, each with a folder per batch (a micro-batch or a deletion): results (one
+row per upload), documents, chunks, df_deltas (signed, per term and chunk) and events (the documents'
+lifecycle).  Events are written last: a batch without them doesn't count, and one that is tried
+again replaces its files, so that each counts once.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpusloom.operators import tfidf
-
-
-def start_ingest(stream: DataFrame, state: str, checkpoint: str):
-    """Runs what is there (availableNow): each micro-batch drops copies within it and of what is in
-    state, then appends documents, term-count deltas and, last, completed events.
+from corpusloom.functions.text import trim_all
+from corpusloom.operators import chunking, ingest, tfidf
+from corpusloom.sources.shared import small_table
 
-    A batch writes folders of its own number, so that a batch that is tried again replaces its files."""
-    spark = stream.sparkSession
-
-    def ingest(batch: DataFrame, number: int) -> None:
-        new = batch.withColumn("hash", F.sha2("text", 256)).dropDuplicates(["hash"])
-        known = read_state(spark, f"{state}/documents", "hash string, batch long")
-        if known is not None:
-            new = new.join(known.where(F.col("batch") != number).select("hash"), "hash", "left_anti")
-        new = new.withColumn("batch", F.lit(number).cast("long")).persist()
-        new.write.mode("overwrite").parquet(f"{state}/documents/b={number}")
-        saved = spark.read.parquet(f"{state}/documents/b={number}")
-        deltas = tfidf.document_frequency(tfidf.term_counts(saved)).withColumnRenamed("df", "delta")
-        deltas.write.mode("overwrite").parquet(f"{state}/df_deltas/b={number}")
-        saved.select("doc_id", F.lit("completed").alias("status")).write.mode("overwrite").parquet(f"{state}/events/b={number}")
-        new.unpersist()
+TABLES = {
+    "results": "id long, hash string, size long, code int, message string, existing_id long, b string",
+    "documents": "id long, hash string, size long, title string, text string, b string",
+    "chunks": "id long, chunk_id string, chunk_index int, content string, b string",
+    "df_deltas": "term string, delta long, chunks long, b string",
+    "events": "id long, seq long, status string, message string, b string",
+}
+#: Events of one batch have numbers from its own times STEPS on.
+STEPS = 16
+STAGES = ("queued", "extracting", "chunking", "embedding", "completed")
 
-    return stream.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def read_state(spark: SparkSession, state: str, table: str) -> DataFrame:
+    """A table's rows of all batches that count; empty where there are none."""
+    events = _read(spark, state, "events")
+    if table == "events":
+        return events
+    return _read(spark, state, table).join(F.broadcast(events.select("b").distinct()), "b", "left_semi")
 
-def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
 
+def _read(spark: SparkSession, state: str, table: str) -> DataFrame:
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(TABLES[table]).parquet(f"{state}/{table}")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return None
+        return small_table(spark, [], TABLES[table])
+
+
+def _write(rows: DataFrame, state: str, table: str, batch: str) -> DataFrame:
+    """Write a batch's rows and return them as written."""
+    path = f"{state}/{table}/b={batch}"
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def current(spark: SparkSession, state: str, leave_out: str = "") -> DataFrame:
+    """id, seq, status, message: the latest event of each document that is not deleted."""
+    events = read_state(spark, state, "events").where(F.col("b") != leave_out).withColumnRenamed("id", "doc_id")
+    latest = ingest.current_manifest(events.withColumn("ts", F.lit(None).cast("timestamp")))
+    return latest.select(F.col("doc_id").alias("id"), "seq", "status", "message")
+
+
+def documents(spark: SparkSession, state: str, leave_out: str = "") -> DataFrame:
+    """id, hash, size, title, text of the documents that are there."""
+    there = current(spark, state, leave_out).where("status = 'completed'").select("id")
+    return read_state(spark, state, "documents").where(F.col("b") != leave_out).drop("b").join(there, "id", "left_semi")
+
+
+def start_ingest(stream: DataFrame, state: str, checkpoint: str, limit: int = ingest.MAX_TOTAL):
+    """Ingests what is there (availableNow) of a stream of uploads (id long, text, original_filename,
+    mime_type, size): each micro-batch is one request, in order of id.
+
+    A file that equals a completed document is 409, one that fails a rule or the quota 400, others
+    201.  Of equal accepted files in a batch the first goes on, the rest are 409.  Accepted texts
+    are trimmed, then cut to chunks, whose terms are counted; short ones fail.  A null text is empty."""
+    spark = stream.sparkSession
+
+    def run(batch: DataFrame, number: int) -> None:
+        name = f"{number}"
+        there = documents(spark, state, name)
+        used = there.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("used")).first()["used"]
+        text = trim_all(F.coalesce("text", F.lit("")))
+        uploads = batch.withColumn("hash", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("text", text)
+        uploads = uploads.withColumn("batch_id", F.lit(number)).withColumn("pos", F.col("id"))
+        known = there.select("id", "hash", F.lit("completed").alias("processing_status"))
+        # copies within the batch: of valid texts that will not fail, the first
+        valid = ingest.upload_error(F.col("original_filename"), F.col("mime_type"), F.col("size")).isNull() & (F.length("text") >= ingest.MIN_TEXT)
+        firsts = uploads.where(valid).groupBy("hash").agg(F.min("id").alias("first"))
+        marked = uploads.join(firsts, "hash", "left").withColumn("copy", F.coalesce(valid & (F.col("id") > F.col("first")), F.lit(False)))
+        judged = ingest.ingest_results(marked.where("NOT copy").drop("first", "copy"), known, used, limit)
+        copies = marked.where("copy").join(known.groupBy("hash").agg(F.min("id").alias("old")), "hash", "left")
+        copies = copies.withColumn("code", F.lit(409)).withColumn("message", F.lit("duplicate")).withColumn("existing_id", F.coalesce("old", "first"))
+        every = judged.unionByName(copies.select(*judged.columns))
+        kept = ("id", "hash", "size", "code", "message", "existing_id", F.col("original_filename").alias("title"), "text")
+        every = _write(every.select(*kept), state, "results", name)
+        taken = every.where("code = 201")
+        good = _write(taken.where(F.length("text") >= ingest.MIN_TEXT).select("id", "hash", "size", "title", "text"), state, "documents", name)
+        pieces = chunking.chunk_documents(good.select(F.col("id").alias("doc_id"), "title", F.col("text").alias("content")), enrich=True)
+        pieces = _write(pieces.select(F.col("doc_id").alias("id"), "chunk_id", "chunk_index", "content"), state, "chunks", name)
+        _write(_deltas(pieces, 1), state, "df_deltas", name)
+        # failed documents stop after extracting
+        steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).alias("status")) for k, s in enumerate(STAGES)))
+        failed = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).alias("status")) for k, s in enumerate((*STAGES[:2], "failed"))))
+        each = taken.select("id", F.explode(F.when(F.length("text") >= ingest.MIN_TEXT, steps).otherwise(failed)).alias("e"))
+        message = F.when(F.col("e.status") == "failed", "too little text")
+        _write(each.select("id", (F.lit(number * STEPS) + F.col("e.k")).cast("long").alias("seq"), "e.status", message.alias("message")), state, "events", name)
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _deltas(pieces: DataFrame, sign: int) -> DataFrame:
+    """term, delta (chunks that hold it, signed); the row of a null term has the number of chunks."""
+    counted = tfidf.document_frequency(tfidf.term_counts(pieces, "chunk_id", "content"))
+    terms = counted.select("term", (F.col("df") * sign).alias("delta"), F.lit(0).cast("long").alias("chunks"))
+    total = pieces.agg((F.count("*") * sign).alias("chunks")).select(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("delta"), "chunks")
+    return terms.unionByName(total)
+
+
+def delete(spark: SparkSession, state: str, ids: DataFrame, number: int) -> None:
+    """Delete the documents of ids (id): their terms' counts are taken back, then they are marked.
+
+    Unknown ids change nothing.  number tells deletions apart; one that is tried again under its
+    number replaces what it wrote."""
+    name = f"delete-{number}"
+    gone = current(spark, state, name).join(ids.select("id").distinct(), "id", "left_semi")
+    done = gone.where("status = 'completed'").select("id")
+    pieces = read_state(spark, state, "chunks").where(F.col("b") != name).join(done, "id", "left_semi")
+    _write(_deltas(pieces, -1), state, "df_deltas", name)
+    events = gone.select("id", (F.col("seq") + 1).alias("seq"), F.lit("deleted").alias("status"), F.lit(None).cast("string").alias("message"))
+    _write(events, state, "events", name)
+
+
+def frequency(spark: SparkSession, state: str) -> DataFrame:
+    """term, df over the chunks that are there: sums of signed deltas."""
+    deltas = read_state(spark, state, "df_deltas").where("term IS NOT NULL")
+    return deltas.groupBy("term").agg(F.sum("delta").alias("df")).where("df > 0")
+
+
+def vocabulary(spark: SparkSession, state: str) -> DataFrame:
+    """term, df, idf as a rebuild over the chunks that are there would have them."""
+    total = read_state(spark, state, "df_deltas").agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("total"))
+    rows = frequency(spark, state).crossJoin(F.broadcast(total))
+    return rows.select("term", "df", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def start_status_counts(spark: SparkSession, state: str, out: str, checkpoint: str):
+    """Follows the events (availableNow) and appends to out, per document whose status changes, -1 for
+    the one it had and 1 for the one it has (status, delta)."""
 
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        seq, status = held.get if held.exists else (-1, None)
+        before = status
+        for rows in frames:
+            last = rows.loc[rows["seq"].idxmax()]
+            if last["seq"] > seq:
+                seq, status = int(last["seq"]), str(last["status"])
+        held.update((seq, status))
+        if status != before:
+            yield pd.DataFrame({"status": [status] if before is None else [before, status], "delta": [1] if before is None else [-1, 1]})
 
-def status_counts(events: DataFrame) -> DataFrame:
-    """status, n: for a stream of lifecycle events in update or complete mode."""
-    return events.groupBy("status").agg(F.count("*").alias("n"))
+    events = spark.readStream.schema(TABLES["events"]).parquet(f"{state}/events").select("id", "seq", "status")
+    changes = events.groupBy("id").applyInPandasWithState(follow, "status string, delta long", "seq long, status string", "append", GroupStateTimeout.NoTimeout)
+    return changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def frequency_from_deltas(spark: SparkSession, state: str) -> DataFrame:
-    """term, df: the sum of signed deltas."""
-    return spark.read.parquet(f"{state}/df_deltas").groupBy("term").agg(F.sum("delta").alias("df")).where("df > 0")
+def status_counts(changes: DataFrame) -> DataFrame:
+    """status, n from signed changes (status, delta); deleted documents don't count."""
+    return changes.where("status <> 'deleted'").groupBy("status").agg(F.sum("delta").alias("n")).where("n > 0")

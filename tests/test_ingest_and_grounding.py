@@ -1,8 +1,13 @@
 import json
+import math
+import re
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import grounding, ingest, trace
+from corpusloom.functions.text import STOPWORDS
+from corpusloom.operators import chunking, grounding, ingest, trace
 from corpusloom.sources import corpus
 from corpusloom.streaming import ingest as stream
 
@@ -53,10 +58,10 @@ def test_refinement_and_fallbacks(spark):
 
 
 def test_requests(spark):
-    row = spark.range(1).select(
-        grounding.answer_request(F.lit("q"), F.lit("factual"), F.lit("b"), F.lit(""), F.lit(1)).alias("a"), grounding.critique_request(F.lit("q"), F.lit("x"), F.lit("b")).alias("c")
-    ).first()
-    assert "Revision" not in row.a and row.c.startswith("User question: q\n\nProposed answer:\nx")
+    ask = lambda notes: grounding.answer_request(F.lit("q"), F.lit("factual"), F.lit("b"), F.lit(notes), F.lit(2))
+    row = spark.range(1).select(ask("").alias("a"), ask("say less").alias("b"), grounding.critique_request(F.lit("q"), F.lit("x"), F.lit(None)).alias("c")).first()
+    assert row.a == "## Asked\nq\n\n## Kind\nfactual\n\n## Sources, cited by number\nb" and row.b == row.a + "\n\n## To mend\nRound 2: say less"
+    assert row.c == "## Asked\nq\n\n## Answered\nx"
 
 
 def test_files_and_runs(spark, tmp_path):
@@ -72,17 +77,109 @@ def test_files_and_runs(spark, tmp_path):
 
 
 def test_index_build(spark, tmp_path):
-    d = spark.createDataFrame([("a", 0, "T", "x", 2000, "s", "cats and dogs")], corpus.DOCUMENT.replace("title string, authors string, year int, source string", "title string, authors string, year int, source string"))
-    corpus.build_index(d, str(tmp_path / "ix"))
-    assert {r.term for r in spark.read.parquet(str(tmp_path / "ix/postings")).collect()} == {"cats", "dogs"}
-
-
-def test_stream_drops_copies_across_runs(spark, tmp_path):
-    rows = lambda *x: spark.createDataFrame(list(x), "doc_id long, text string")
-    rows((1, "one fish"), (2, "one fish"), (3, "two fish")).write.parquet(str(tmp_path / "in/a"))
-    run = lambda: stream.start_ingest(spark.readStream.schema("doc_id long, text string").option("recursiveFileLookup", True).parquet(str(tmp_path / "in")), str(tmp_path / "st"), str(tmp_path / "cp")).awaitTermination()
-    run()
-    rows((4, "two fish"), (5, "three")).write.parquet(str(tmp_path / "in/b"))
-    run()
-    assert spark.read.parquet(str(tmp_path / "st/documents")).count() == 3
-    assert {r.term: r.df for r in stream.frequency_from_deltas(spark, str(tmp_path / "st")).collect()} == {"one": 1, "two": 1, "fish": 2, "three": 1}
+    """Postings of the stored index are the weights of its chunks, keyed by store order."""
+    rows = [("b", 1, "T", "x", 2000, "s", "dogs and mice " * 60), ("a", 0, "Cats", "x", 2000, "s", "cats and dogs"), ("c", 2, None, "x", 2000, "s", None)]
+    built = corpus.build_index(spark.createDataFrame(rows, corpus.DOCUMENT), str(tmp_path / "ix"))
+    chunks = {r.ord: r for r in spark.read.parquet(str(tmp_path / "ix/chunks")).collect()}
+    n = len(chunking.spans("T\n\n" + "dogs and mice " * 60))
+    assert n > 1 and [chunks[k].chunk_id for k in range(n + 2)] == ["a#chunk-1", *(f"b#chunk-{k}" for k in range(1, n + 1)), "c#chunk-1"] and len(chunks) == n + 2
+    got = {(r.ord, r.term): (r.tf, round(r.weight, 9)) for r in built.postings.collect()}
+    counts = {k: Counter(w for w in re.findall("[a-z0-9]{2,}", c.content.lower()) if w != "and") for k, c in chunks.items()}
+    df = Counter(t for c in counts.values() for t in c)
+    idf = {t: math.log((1 + len(chunks)) / (1 + n)) + 1 for t, n in df.items()}
+    norm = {k: math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items())) for k, c in counts.items()}
+    assert got == {(k, t): (n, round(n * idf[t] / norm[k], 9)) for k, c in counts.items() for t, n in c.items()}
+    assert built.stats.first().total == len(chunks) and {r.term: r.df for r in built.vocab.collect()} == df
+    # rebuilt in place
+    assert {r.term for r in corpus.build_index(spark.createDataFrame(rows[1:2], corpus.DOCUMENT), str(tmp_path / "ix")).postings.collect()} == {"cats", "dogs"}
+
+
+def test_corpus_tables(spark, tmp_path):
+    assert corpus.read_manifest(spark, str(tmp_path / "none")).count() == 0
+    event = lambda i, seq, status: (i, seq, status, None, None)
+    corpus.append_events(spark.createDataFrame([event("a", 1, "queued")], corpus.EVENT), str(tmp_path / "e"), 1)
+    for _ in range(2):  # a retry doesn't repeat events
+        corpus.append_events(spark.createDataFrame([event("a", 2, "completed"), event("b", 1, "failed")], corpus.EVENT), str(tmp_path / "e"), 2)
+    (tmp_path / "e" / "odd.json").write_text("{broken\n")
+    events = corpus.read_manifest(spark, str(tmp_path / "e")).cache()
+    assert events.where("doc_id IS NOT NULL").count() == 3 and events.where("_corrupt_record IS NOT NULL").count() == 1
+    manifest = ingest.current_manifest(events.where("doc_id IS NOT NULL")).select(F.col("doc_id").alias("id"), F.col("status").alias("processing_status"))
+    corpus.write_extracted(spark.createDataFrame([("a", "text a"), ("b", "text b")], "id string, text string"), str(tmp_path / "x"), 1)
+    assert [(r.id, r.text) for r in corpus.read_extracted(spark, str(tmp_path / "x"), manifest).collect()] == [("a", "text a")]
+    docs = lambda *ids: spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "doc_id string, doc_ord long")
+    assert [(r.doc_id, r.doc_ord) for r in corpus.corpus_union(docs("p", "q"), docs("r", "s")).orderBy("doc_ord").collect()] == [("p", 0), ("q", 1), ("r", 2), ("s", 3)]
+    assert [r.doc_ord for r in corpus.corpus_union(docs("p").limit(0), docs("r")).collect()] == [0]
+
+
+def test_recovery_and_lookup(spark):
+    m = spark.createDataFrame([("a", "completed"), ("b", "completed"), ("c", "completed"), ("d", "failed")], "id string, processing_status string")
+    text = lambda *rows: spark.createDataFrame(list(rows), "id string, text string")
+    good, bad = ingest.recover_missing(m, text(("a", "x" * 30)), text(("b", " " + "y" * 20 + " "), ("d", "z" * 30)))
+    assert [(r.id, r.text) for r in good.collect()] == [("b", "y" * 20)] and [(r.id, r.status) for r in bad.collect()] == [("c", "failed")]
+    assert {(r.id, r.found) for r in ingest.lookup(m, text(("a", ""), ("e", ""))).collect()} == {("a", True), ("e", False)}
+
+
+def test_results_of_a_request(spark):
+    u = spark.createDataFrame(
+        [(1, i, i, h, n, "text/plain", s) for i, (h, n, s) in enumerate([("h1", "a.txt", 10), ("h2", "a.exe", 10), ("h3", "a.txt", 400), ("h4", "a.txt", 200), ("h5", "a.txt", 90), (None, "a.txt", 5), ("h6", "a.txt", 0)])]
+        + [(2, 3_000_000_000, 99, "h7", "a.txt", "text/plain", 500)],
+        "batch_id long, pos long, id long, hash string, original_filename string, mime_type string, size long",
+    )
+    m = spark.createDataFrame([(7, "h1", "completed"), (8, "h2", "failed")], "id long, hash string, processing_status string")
+    got = {r.id: (r.code, r.message, r.existing_id) for r in ingest.ingest_results(u, m, 0, 500).collect()}
+    assert got == {0: (409, "duplicate", 7), 1: (400, "extension", None), 2: (201, None, None), 3: (400, "quota", None), 4: (201, None, None), 5: (201, None, None), 6: (400, "empty", None), 99: (201, None, None)}
+
+
+UPLOAD = "id long, text string, original_filename string, mime_type string, size long"
+
+
+@pytest.fixture
+def streamed(spark, tmp_path):
+    def run(name, *rows):
+        full = [(i, t, n, "text/plain", len(t or "")) for i, t, n in rows]
+        spark.createDataFrame(full, UPLOAD).write.parquet(str(tmp_path / "in" / name))
+        source = spark.readStream.schema(UPLOAD).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        stream.start_ingest(source, str(tmp_path / "st"), str(tmp_path / "cp"), 200).awaitTermination()
+        return str(tmp_path / "st")
+
+    return run
+
+
+def test_stream_equals_batches_and_deletion_a_rebuild(spark, tmp_path, streamed):
+    one, two, three = "one fish swims in the sea", "two fish swim in the lake", "three birds in the old tree"
+    state = streamed("a", (1, one, "a.txt"), (2, one, "b.txt"), (3, two, "c.exe"), (4, None, "d.txt"), (5, "too short", "e.txt"), (6, two, "f.md"))
+    codes = lambda: {r.id: (r.code, r.message, r.existing_id) for r in stream.read_state(spark, state, "results").collect()}
+    want = {1: (201, None, None), 2: (409, "duplicate", 1), 3: (400, "extension", None), 4: (400, "empty", None), 5: (201, None, None), 6: (400, "mismatch", None)}
+    assert codes() == want
+    streamed("b", (7, one, "g.txt"), (8, two, "h.txt"), (9, three, "i.txt"), (10, "x" * 180, "j.txt"))
+    want |= {7: (409, "duplicate", 1), 8: (201, None, None), 9: (201, None, None), 10: (400, "quota", None)}
+    assert codes() == want
+    terms = lambda: {r.term: r.df for r in stream.frequency(spark, state).collect()}
+    plain = lambda *texts: Counter(w for t in texts for w in {w for w in re.findall("[a-z0-9]{2,}", t) if w not in STOPWORDS})
+    assert terms() == plain("a txt " + one, "h txt " + two, "i txt " + three)
+    for _ in range(2):  # a retry of the deletion changes nothing
+        stream.delete(spark, state, spark.createDataFrame([(8,), (5,), (77,)], "id long"), 1)
+    assert {r.id for r in stream.documents(spark, state).collect()} == {1, 9} and terms() == plain("a txt " + one, "i txt " + three)
+    rebuilt = {r.term: round(r.idf, 9) for r in stream.vocabulary(spark, state).collect()}
+    assert rebuilt == {t: round(math.log(3 / (1 + n)) + 1, 9) for t, n in terms().items()}
+    # what was deleted may come again
+    streamed("c", (11, two, "k.txt"))
+    assert codes()[11] == (201, None, None) and {r.id for r in stream.documents(spark, state).collect()} == {1, 9, 11}
+
+
+def test_status_stream_follows_changes(spark, tmp_path, streamed):
+    def counts():
+        stream.start_status_counts(spark, state, str(tmp_path / "out"), str(tmp_path / "out-cp")).awaitTermination()
+        return {r.status: r.n for r in stream.status_counts(spark.read.schema("status string, delta long").parquet(str(tmp_path / "out"))).collect()}
+
+    state = streamed("a", (1, "one fish swims in the sea", "a.txt"), (2, "short", "b.txt"))
+    assert counts() == {"completed": 1, "failed": 1}
+    streamed("b", (3, "two fish swim in the lake", "a.txt"))
+    stream.delete(spark, state, spark.createDataFrame([(1,)], "id long"), 1)
+    assert counts() == {"completed": 1, "failed": 1} and counts() == {"completed": 1, "failed": 1}
+
+
+def test_a_batch_without_its_events_does_not_count(spark, tmp_path, streamed):
+    state = streamed("a", (1, "one fish swims in the sea", "a.txt"))
+    stream._write(spark.createDataFrame([("ghost", 5, 1)], "term string, delta long, chunks long"), state, "df_deltas", "delete-9")
+    assert "ghost" not in {r.term for r in stream.frequency(spark, state).collect()}

@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import STOPWORDS
-from corpusloom.operators import chunking, evaluate, rerank, search, tfidf
+from corpusloom.operators import chunking, evaluate, grounding, rerank, search, tfidf
 from corpusloom.plans.queries import QUERIES
 
 
@@ -108,3 +108,61 @@ def test_chunk_search_equals_brute_force(spark, tmp_path):
             want |= {(q, name, round(x, 4), rank) for rank, (x, _, name) in enumerate(sorted(scored, reverse=True)[:5], 1)}
     got = {tuple(r) for r in QUERIES["chunk_search_topk"](spark, str(tmp_path)).select("query_id", "chunk_id", "score", "rank").collect()}
     assert got == want and len(want) == 15 and [n for q, n, _, r in sorted(want, key=lambda x: x[3]) if q == 1] == ["2#chunk-1", "10#chunk-1", "1#chunk-1", "3#chunk-1", "4#chunk-1"]
+
+
+def test_ranks_of_a_recorded_run(spark):
+    """Retrieved in one order, numbered in the store's, ranked by the judge's scores, cut to four."""
+    store = ["n#chunk-1", "n#chunk-5", "n#chunk-7", "m#chunk-5", "m#chunk-6"]
+    retrieved = [("n#chunk-7", 0.2024), ("n#chunk-1", 0.193), ("m#chunk-6", 0.1131), ("m#chunk-5", 0.1799), ("n#chunk-5", 0.1657)]
+    judged = {"n#chunk-1": 9.0, "m#chunk-5": 8.5, "n#chunk-5": 4.0, "n#chunk-7": 3.0, "m#chunk-6": 1.0}
+    cand = spark.createDataFrame([(1, store.index(c), c, s) for c, s in retrieved], "query_id long, ord long, chunk_id string, score double")
+    j = spark.createDataFrame([(1, store.index(c), s, "why", 1) for c, s in judged.items()], "query_id long, ord long, llm_score double, rationale string, seq int")
+    out = rerank.merge_judgments(cand, j, order="ord").orderBy("new_rank").collect()
+    assert [(r.chunk_id, r.original_rank, r.new_rank, r.llm_score) for r in out] == [
+        ("n#chunk-1", 1, 1, 9.0), ("m#chunk-5", 4, 2, 8.5), ("n#chunk-5", 2, 3, 4.0), ("n#chunk-7", 3, 4, 3.0), ("m#chunk-6", 5, 5, 1.0),
+    ]
+    final = rerank.final_sources(rerank.merge_judgments(cand, j, order="ord")).withColumn("doc_id", F.substring_index("chunk_id", "#", 1))
+    docs = spark.createDataFrame([("n", "T", "A. Writer", 2023, "J")], "doc_id string, title string, authors string, year int, source string")
+    cited = grounding.cited_sources(final, docs, zero_score=True).orderBy("position").collect()
+    assert [(r.position, r.doc_id, r.authors, r.year, r.source, r.score, r.llm_score) for r in cited] == [
+        (1, "n", "A. Writer", 2023, "J", 0.0, 9.0), (2, "m", "Unknown", 0, "", 0.0, 8.5), (3, "n", "A. Writer", 2023, "J", 0.0, 4.0), (4, "n", "A. Writer", 2023, "J", 0.0, 3.0),
+    ]
+
+
+def test_candidates_in_store_order(spark):
+    store = spark.createDataFrame([(k, f"t{k}") for k in range(9)], "doc_id long, text string")
+    cand = spark.createDataFrame([(1, 7), (1, 2), (2, 7), (2, 99)], "query_id long, doc_id long")
+    assert [(r.doc_id, r.place) for r in rerank.candidates_in_store_order(store, cand).orderBy("place").collect()] == [(2, 0), (7, 1)]
+    assert rerank.candidates_in_store_order(store, cand.limit(0)).count() == 0
+
+
+def test_dense_search_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "DENSE_BLOCK", 3)
+    rng = random.Random(8)
+    vectors = {i: [rng.gauss(0, 1) for _ in range(6)] for i in range(40)} | {40: [1.0] * 6, 41: [2.0] * 6}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, v array<float>").repartition(3)
+    asked = [0, 5, 7, 11, 40, 41, 12]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    cos = lambda a, b: round(dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)), 4)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in search.dense_top_k(df.where(F.col("vec_id").isin(asked)).withColumnRenamed("vec_id", "query_id"), df, 4).collect()}
+    want = {}
+    for q in asked:
+        best = sorted(((-cos(vectors[q], v), i) for i, v in vectors.items() if i != q))[:4]
+        want |= {(q, k): (i, -s) for k, (s, i) in enumerate(best, 1)}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 2e-4 for k in want)
+    assert search.dense_top_k(df.limit(0).withColumnRenamed("vec_id", "query_id"), df).count() == 0
+
+
+def test_similar_questions_equal_all_pairs(spark):
+    rng = random.Random(2)
+    rows, vec = [], {}
+    for q in range(60):
+        terms = rng.sample([f"t{k}" for k in range(25)], rng.randint(1, 6)) + ["common"]
+        w = {t: rng.random() for t in terms}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        vec[q] = {t: x / norm for t, x in w.items()}
+        rows += [(q, t, x) for t, x in vec[q].items()]
+    df = Counter(t for v in vec.values() for t in v)
+    got = {(r.a, r.b) for r in search.similar_questions(spark.createDataFrame(rows, "query_id long, term string, weight double"), spark.createDataFrame(list(df.items()), "term string, df long"), 0.8).collect()}
+    want = {(a, b) for a in vec for b in vec if a < b and round(sum(x * vec[b].get(t, 0.0) for t, x in vec[a].items()), 6) >= 0.8}
+    assert got == want and want

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -24,7 +26,10 @@ def test_trim_preview_citations(spark):
     assert one(spark, X.preview, "a  b\n" + "c" * 200) == "a b " + "c" * 155 + "…"
     assert one(spark, X.citation_count, "[1] [1] [2, 3] [4]") == 2
     assert one(spark, X.extension, ".profile") == "" and one(spark, X.extension, "a.b.TXT") == ".txt"
-    assert one(spark, X.format_duration, "12") == "12ms"
+    shown = {999: "999ms", 1000: "1.00s", 3885: "3.88s", 4255: "4.25s", 1125: "1.13s", 59999: "60.00s", 86_399_995: f"{86399.995:.2f}s", 86_399_996: "86400.00s"}
+    assert {ms: spark.range(1).select(X.format_duration(F.lit(ms))).first()[0] for ms in shown} == shown
+    assert one(spark, X.answer_length, "éa") == 2 and one(spark, X.answer_length, None) == 0
+    assert one(spark, lambda c: X.is_strong(c.cast("double")), "7") and not one(spark, lambda c: X.is_strong(c.cast("double")), "6.9")
     assert one(spark, X.question_error, "  ") == "missing" and one(spark, X.question_error, "x" * 1001) == "too_long"
 
 
@@ -69,3 +74,39 @@ def test_chunks_frame(spark):
     rows = chunking.chunk_documents(d, enrich=True).orderBy("chunk_id").collect()
     assert [r.chunk_id for r in rows] == ["d#chunk-1", "d#chunk-2", "d#chunk-3", "e#chunk-1"] or rows[0].content == "t"
     assert chunking.chunk_lists(chunking.chunk_documents(d)).where("doc_id = 'e'").first().chunk_count == 1
+
+
+def fold(text, size, overlap):
+    """Chunks by strings, level by level: split after delimiters, pack, split again what is too long."""
+    patterns = [r"\n\n+", r"\n", r"\.(?=\s|$)", r"[,;:](?=\s|$)", r"\s+", None]
+
+    def pieces(t, level):
+        if patterns[level] is None:
+            return list(t)
+        out, last = [], 0
+        for m in re.finditer(patterns[level], t):
+            out.append(t[last : m.end()])
+            last = m.end()
+        return [p for p in [*out, t[last:]] if p]
+
+    def pack(t, offset, level):
+        if len(t) <= size or level == len(patterns):
+            return [(offset, t)]
+        out, now, start, at = [], "", 0, 0
+        for p in pieces(t, level):
+            if now and len(now) + len(p) > size:
+                out.append((start, now))
+                keep = now[len(now) - overlap :] if overlap < len(now) else now
+                start, now = at - len(keep), keep
+            now += p
+            at += len(p)
+        out.append((start, now))
+        return [c for a, chunk in out for c in (pack(chunk, offset + a, level + 1) if len(chunk) > size else [(offset + a, chunk)])]
+
+    return pack(text, 0, 0)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abc é.,;:\n", max_size=1500), st.integers(5, 90), st.integers(0, 4))
+def test_spans_equal_a_fold_over_strings(text, size, overlap):
+    assert [(a, text[a:b]) for a, b in chunking.spans(text, size, overlap)] == fold(text, size, overlap)
