@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import discard, materialise
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,19 +31,21 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a > b").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 100, rows: int | None = None) -> DataFrame:
     """Components of the graph with edges (a long, b long): rows (node, component), component the
     least node reachable.  Nodes without edges, self-loops and null ends don't appear; repeated
-    and reversed edges count once.  Raises RuntimeError if max_rounds don't suffice."""
+    and reversed edges count once.  rows: edges at most, where known.  Raises RuntimeError if
+    max_rounds don't suffice."""
     now = materialise(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
+        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows
     )
     state = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     before = state(now)
     for _ in range(max_rounds):
         if not before["n"]:
             break
-        now = materialise(_stars(_stars(now, True), False), "edges")
+        earlier, now = now, materialise(_stars(_stars(now, True), False), "edges", 2 * before["n"])
+        discard(earlier)
         after = state(now)
         if after == before:
             break

@@ -1,46 +1,5 @@
-"""Intermediate tables in the folder that the cluster shares (spark.checkpoint.dir)."""
+"""Intermediate tables of these operators, see corpusloom.sources.shared."""
 
-from __future__ import annotations
+from corpusloom.sources.shared import BROADCAST_ROWS, bounded_broadcast, discard, fresh_path, materialise, numbered, shared_dir, small_batches, small_table
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (local tests), a temporary folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
-        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
-    return "file://" + _own["dir"]
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and return the written table.
-
-    This cuts the lineage with files that outlive any executor.  The name gets a random part,
-    so that reruns never read each other's tables.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Rows of ids that may be broadcast (some 20 MB); more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def bounded_broadcast(table: DataFrame) -> DataFrame:
-    """A materialised table of a few narrow columns, for a join's small side: broadcast if its rows
-    are at most BROADCAST_ROWS, else the build side of a shuffled hash join."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("shuffle_hash")
+__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "discard", "fresh_path", "materialise", "numbered", "shared_dir", "small_batches", "small_table"]

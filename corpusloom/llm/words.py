@@ -7,7 +7,7 @@ UTF-8 continuation bytes are all above 0x7F, so both rules work on bytes.  Hashe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,3 +115,41 @@ def shingle_sets(column: pa.Array, n: int = 5) -> Iterator[np.ndarray]:
                 yield mix(np.sum(tail * _ODD[32 : 32 + len(tail)], keepdims=True) + np.uint64(b - a))
             else:
                 yield every[:0]
+
+
+class Repeats:
+    """Values that a task holds often: of each HELD values, those that stand there `least` times or
+    more, with their counts.  Sums over tasks are estimates from below, which only shape plans."""
+
+    #: Values held before they are counted (8 bytes each, and as much again to count them).
+    HELD = 1 << 20
+
+    def __init__(self, least: int):
+        self.more, self.held, self.size = least - 1, np.empty(self.HELD, np.uint64), 0
+
+    def add(self, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        while len(values):
+            part, values = values[: self.HELD - self.size], values[self.HELD - self.size :]
+            self.held[self.size : self.size + len(part)] = part
+            self.size += len(part)
+            if self.size == self.HELD:
+                yield self.flush()
+
+    def flush(self) -> tuple[np.ndarray, np.ndarray]:
+        """(values, counts); of a run of c equal ones, all but the last `more` have an equal so many places on."""
+        s, self.size = self.held[: self.size], 0
+        s.sort()
+        s = s[: max(0, len(s) - self.more)][s[self.more :] == s[: max(0, len(s) - self.more)]]
+        v, c = np.unique(s, return_counts=True)
+        return v, c + self.more
+
+
+def count_repeats(arrays: Iterable[np.ndarray], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows (h, c) of a task's Repeats, and one with h null and the number of all its values."""
+    held, total = Repeats(least), 0
+    for values in arrays:
+        total += len(values)
+        for v, c in held.add(values):
+            yield pa.record_batch({"h": v.view(np.int64), "c": c.astype(np.int64)})
+    v, c = held.flush()
+    yield pa.record_batch({"h": pa.array([*v.view(np.int64).tolist(), None], pa.int64()), "c": pa.array([*c.tolist(), total], pa.int64())})
