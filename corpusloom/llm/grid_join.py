@@ -7,12 +7,18 @@ intervals are joined recursively: a pair of blocks whose bounding boxes are more
 skipped, others are halved until they are small and compared, first in single precision on the
 leading directions (with slack, so that nothing is lost), then exactly in double precision.
 
-Equal vectors are joined once.  Within a task links are counted and reduced to a spanning forest,
-so that a dense group never leaves it as all its pairs.
+There are about as many pairs of intervals as parallel tasks, so that each vector is sent to a
+number of tasks that doesn't grow with the vectors, until intervals reach MOST vectors, what a
+task holds; from there on each is sent to all intervals near it.  Vectors travel once per pair, in
+the precision they came in.
+
+Equal vectors are joined once.  Within a pair links are counted and nodes are joined to trees in
+place, so that a dense group is never held, nor leaves the task, as all its pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,25 +27,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import materialise
+from .scratch import bounded_broadcast, materialise, numbered, small_batches
 
 COSINE = 0.95
 #: Principal directions that form the grid, and those compared first.
 GRID_DIMS, LEAD_DIMS = 8, 16
-#: Vectors of a sequence interval; pairs of intervals are the units dealt to tasks.
-INTERVAL = 4096
-#: Blocks of this size are compared.
-LEAF = 256
+#: Vectors of a sequence interval, least and most; pairs of intervals are the units dealt to tasks.
+LEAST, MOST = 512, 1 << 15
+#: Blocks of this size are compared; of their pairs so many are looked at one by one, at most.
+LEAF, SPARSE = 256, 4096
 SLACK = 1e-4
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    width = len(column[0])
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    """Rows as unit vectors in double precision."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x /= np.abs(x).max(1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
-    """Rows with a finite, non-zero vector of doubles."""
+    """Rows with a finite, non-zero vector."""
     v = F.col("v")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     return vectors.where(v.isNotNull() & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0))
@@ -50,7 +59,6 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             x = _matrix(batch.column("v"))
-            x /= np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(1, keepdims=True)
             m = np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
             total = m if total is None else total + m
     if total is not None:
@@ -66,30 +74,44 @@ def _axes(reps: DataFrame, dims: int) -> np.ndarray:
     return axes[:, ::-1].copy()
 
 
-def _apart(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray) -> float:
-    gap = np.maximum(0, np.maximum(lo_a - hi_b, lo_b - hi_a))
-    return float(gap @ gap)
+class _Side:
+    """Vectors of an interval: numbers, copies, unit vectors and their leading projections."""
+
+    def __init__(self, batches: list[pa.RecordBatch], lead: np.ndarray, first: int):
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        self.ids, self.copies = rows["seq"].to_numpy(), rows["copies"].to_numpy()
+        self.x = np.concatenate([_matrix(c) for c in rows["v"].chunks])
+        self.p = (self.x @ lead).astype(np.float32)
+        self.sq = (self.p * self.p).sum(1)
+        self.links = np.zeros(len(self.ids), np.int64)
+        self.node = np.arange(first, first + len(self.ids))
+        self.boxes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def box(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        if (lo, hi) not in self.boxes:
+            part = self.p[lo:hi]
+            self.boxes[lo, hi] = part.min(0), part.max(0)
+        return self.boxes[lo, hi]
 
 
 class _Unit:
     """Joins two sequence intervals (or one with itself)."""
 
-    def __init__(self, a: tuple, b: tuple, same: bool, cosine: float):
-        (self.ids_a, self.n_a, self.x_a, self.p_a), (self.ids_b, self.n_b, self.x_b, self.p_b) = a, b
-        self.same, self.cosine, self.eps2 = same, cosine, 2 - 2 * cosine
-        self.links_a, self.links_b = np.zeros(len(self.ids_a), np.int64), np.zeros(len(self.ids_b), np.int64)
-        self.edges: list[np.ndarray] = []
-        self.join(0, len(self.ids_a), 0, len(self.ids_b))
+    def __init__(self, a: _Side, b: _Side, cosine: float):
+        self.a, self.b, self.cosine, self.eps2 = a, b, cosine, 2 - 2 * cosine
+        self.parent = np.arange(len(a.ids) + (0 if a is b else len(b.ids)))
+        self.join(0, len(a.ids), 0, len(b.ids))
 
     def join(self, a0: int, a1: int, b0: int, b1: int) -> None:
-        pa_, pb_ = self.p_a[a0:a1], self.p_b[b0:b1]
-        if _apart(pa_.min(0), pa_.max(0), pb_.min(0), pb_.max(0)) > self.eps2 + SLACK:
+        (lo_a, hi_a), (lo_b, hi_b) = self.a.box(a0, a1), self.b.box(b0, b1)
+        gap = np.maximum(0, np.maximum(lo_a - hi_b, lo_b - hi_a))
+        if float(gap @ gap) > self.eps2 + SLACK:
             return
         if a1 - a0 <= LEAF and b1 - b0 <= LEAF:
             self.leaf(a0, a1, b0, b1)
         elif a1 - a0 >= b1 - b0:
             m = (a0 + a1) // 2
-            if self.same and (a0, a1) == (b0, b1):
+            if self.a is self.b and (a0, a1) == (b0, b1):
                 self.join(a0, m, a0, m)
                 self.join(a0, m, m, a1)
                 self.join(m, a1, m, a1)
@@ -102,54 +124,61 @@ class _Unit:
             self.join(a0, a1, m, b1)
 
     def leaf(self, a0: int, a1: int, b0: int, b1: int) -> None:
-        p, q = self.p_a[a0:a1], self.p_b[b0:b1]
-        d2 = (p * p).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * (p @ q.T)
-        i, j = np.nonzero(d2 <= self.eps2 + SLACK)
-        if self.same and a0 == b0:
-            keep = i < j
-            i, j = i[keep], j[keep]
+        a, b = self.a, self.b
+        d2 = a.sq[a0:a1, None] + b.sq[b0:b1] - 2 * (a.p[a0:a1] @ b.p[b0:b1].T)
+        near = d2 <= self.eps2 + SLACK
+        if a is b and a0 == b0:
+            near = np.triu(near, 1)
+        n = int(near.sum())
+        if not n:
+            return
+        if n <= SPARSE:
+            i, j = np.nonzero(near)
+            hit = np.einsum("ij,ij->i", a.x[a0 + i], b.x[b0 + j]) >= self.cosine
+            i, j = i[hit], j[hit]
+        else:
+            i, j = np.nonzero(near & (a.x[a0:a1] @ b.x[b0:b1].T >= self.cosine))
         i, j = i + a0, j + b0
-        for k in range(0, len(i), 8192):
-            x, y = i[k : k + 8192], j[k : k + 8192]
-            hit = np.einsum("ij,ij->i", self.x_a[x], self.x_b[y]) >= self.cosine
-            x, y = x[hit], y[hit]
-            np.add.at(self.links_a, x, self.n_b[y])
-            np.add.at(self.links_b, y, self.n_a[x])
-            self.edges.append(np.stack([self.ids_a[x], self.ids_b[y]], 1))
+        np.add.at(a.links, i, b.copies[j])
+        np.add.at(b.links, j, a.copies[i])
+        self.merge(a.node[i], b.node[j])
+
+    def roots(self, nodes: np.ndarray) -> np.ndarray:
+        at = self.parent[nodes]
+        while True:
+            up = self.parent[at]
+            if (up == at).all():
+                self.parent[nodes] = at
+                return at
+            at = up
+
+    def merge(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Join the trees of x and y."""
+        while len(x):
+            x, y = self.roots(x), self.roots(y)
+            apart = x != y
+            low, high = np.minimum(x[apart], y[apart]), np.maximum(x[apart], y[apart])
+            # of several lower roots the least is taken now; the others are joined in the next round
+            order = np.lexsort((low, high))
+            low, high = low[order], high[order]
+            first = np.ones(len(high), bool)
+            first[1:] = high[1:] != high[:-1]
+            self.parent[high[first]] = low[first]
+            x, y = high[~first], low[~first]
 
     def rows(self) -> pa.RecordBatch:
-        edges = _forest(np.concatenate(self.edges)) if self.edges else np.zeros((0, 2), np.int64)
-        a, b = np.flatnonzero(self.links_a), np.flatnonzero(self.links_b)
+        ids = self.a.ids if self.a is self.b else np.concatenate([self.a.ids, self.b.ids])
+        links = self.a.links if self.a is self.b else np.concatenate([self.a.links, self.b.links])
+        some, root = np.flatnonzero(links), self.roots(np.arange(len(ids)))
+        moved = np.flatnonzero(root != np.arange(len(ids)))
         none = lambda n: pa.nulls(n, pa.int64())
-        node = np.concatenate([self.ids_a[a], self.ids_b[b]])
-        links = np.concatenate([self.links_a[a], self.links_b[b]])
         return pa.record_batch(
             [
-                pa.concat_arrays([pa.array(node), none(len(edges))]),
-                pa.concat_arrays([pa.array(links), none(len(edges))]),
-                pa.concat_arrays([none(len(node)), pa.array(edges[:, 0].copy())]),
-                pa.concat_arrays([none(len(node)), pa.array(edges[:, 1].copy())]),
+                pa.concat_arrays([pa.array(ids[some]), none(len(moved))]), pa.concat_arrays([pa.array(links[some]), none(len(moved))]),
+                pa.concat_arrays([none(len(some)), pa.array(ids[moved])]), pa.concat_arrays([none(len(some)), pa.array(ids[root[moved]])]),
             ],
             names=["node", "links", "a", "b"],
-        )
-
-
-def _forest(edges: np.ndarray) -> np.ndarray:
-    """An edge from each node to the least node of its component (within these edges)."""
-    nodes, flat = np.unique(edges, return_inverse=True)
-    u, v = flat.reshape(-1, 2).T
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, u, low)
-        np.minimum.at(new, v, low)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return np.stack([nodes[moved], nodes[label[moved]]], 1)
+        )
 
 
 def cosine_groups(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -157,139 +186,118 @@ def cosine_groups(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec
 
     n_links: other rows linked directly (cosine >= cosine in double precision); component_id: the
     least id reachable; kept: the row's id is component_id.  A null vector, one of zeros or with a
-    null or non-finite component links with nothing, nor does one of another length than the
-    longest group of equal lengths needs: each length is joined on its own.  Rows that repeat an id
-    count as rows; rows with a null id count as links but have no component of their own (null).
-    Other columns are ignored; an empty table gives no rows.
+    null or non-finite component links with nothing.  Vectors link with such of their own length
+    only.  Rows that repeat an id count as rows; rows with a null id count as links but have no
+    component of their own (null).  Other columns are ignored; an empty table gives no rows.
     """
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    small_batches(vectors.sparkSession)
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast(kind).alias("v"))
     usable = _usable(rows)
-    lengths = [r[0] for r in usable.select(F.size("v").alias("d")).distinct().collect()]
+    lengths = sorted(r[0] for r in usable.select(F.size("v").alias("d")).distinct().collect())
+    if not lengths:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    # zeros of either sign are equal
+    plain = lambda df: df.withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0).cast(kind[6:-1])).otherwise(x)))
     # equal vectors first: pre-aggregated, so that a very common one is one row
-    reps = materialise(
-        usable.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).groupBy("v")
-        .agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).withColumn("rep", F.xxhash64("v", F.lit(1))),
-        "vectors",
-    )
-    found = None
+    reps = materialise(plain(usable).groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors")
+    linked = None
     for dims in lengths:
-        part = _join(reps.where(F.size("v") == dims), dims, cosine)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = materialise(found, "links")
-    links = found.where("node IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
-    components = connected_components(found.where("a IS NOT NULL").select("a", "b"))
-    linked = materialise(
-        reps.join(links, F.col("rep") == F.col("node"), "left").drop("node")
-        .join(components, F.col("rep") == F.col("node"), "left")
-        .select("v", "id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component")),
-        "linked",
-    )
-    least = linked.groupBy("component").agg(F.min("id").alias("component_id"))
-    linked = linked.join(least, "component").select("v", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
-    v = F.when(F.col("v").isNull(), None).otherwise(F.transform("v", lambda x: x + F.lit(0.0)))
-    out = rows.withColumn("v", v).join(linked, "v", "left")
+        part = _linked(reps.where(F.size("v") == dims), dims, cosine)
+        linked = part if linked is None else linked.unionByName(part)
+    out = plain(rows).join(linked, "v", "left")
     own = F.coalesce("component_id", "vec_id")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept")
     )
 
 
-def _join(reps: DataFrame, dims: int, cosine: float) -> DataFrame:
-    """Links of one length: rows (node, links) and (a, b), ids of reps."""
+def _linked(reps: DataFrame, dims: int, cosine: float) -> DataFrame:
+    """v, n_links and component_id of the distinct vectors of one length."""
+    sequence, found = _join(reps, dims, cosine)
+    found = materialise(found, "links")
+    links = found.where("node IS NOT NULL").groupBy(F.col("node").alias("seq")).agg(F.sum("links").alias("links"))
+    components = connected_components(found.where("a IS NOT NULL").select("a", "b"), rows=found.count()).withColumnRenamed("node", "seq")
+    linked = sequence.join(links, "seq", "left").join(components, "seq", "left")
+    linked = linked.select("v", "id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "seq").alias("component"))
+    linked = materialise(linked, "linked")
+    least = linked.groupBy("component").agg(F.min("id").alias("component_id"))
+    return linked.join(least, "component").select("v", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
+
+
+def _join(reps: DataFrame, dims: int, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """The sequence (seq, v, id, copies), and rows (node, links) and (a, b) over its numbers."""
     spark = reps.sparkSession
     axes = _axes(reps, dims)
     eps = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    lead, grid = min(LEAD_DIMS, dims), min(GRID_DIMS, dims)
+    lead, grid = axes[:, : min(LEAD_DIMS, dims)].copy(), min(GRID_DIMS, dims)
+    v_type = reps.schema["v"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column("v"))
-            x /= np.abs(x).max(1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            p = (x @ axes[:, :lead]).astype(np.float32)
-            cell = np.floor(p[:, :grid] / max(eps, 1e-6) + 1e6).astype(">u4")
-            yield pa.record_batch(
-                [
-                    pa.array([c.tobytes() for c in cell], pa.binary()),
-                    batch.column("rep"),
-                    batch.column("copies"),
-                    pa.array([r.tobytes() for r in x], pa.binary()),
-                    pa.array([r.tobytes() for r in p], pa.binary()),
-                ],
-                names=["cell", "rep", "copies", "x", "p"],
-            )
-
-    total = reps.count()
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // INTERVAL)))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sequence intervals of a sorted partition, with their bounding boxes."""
-        held: list[pa.RecordBatch] = []
-
-        def out(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(rows).combine_chunks()
-            ids, copies = t["rep"].to_numpy(), t["copies"].to_numpy()
-            x, p = (b"".join(t[k].to_pylist()) for k in ("x", "p"))
-            q = np.frombuffer(p, np.float32).reshape(-1, lead)
-            lo, hi = q.min(0).astype(np.float64), q.max(0).astype(np.float64)
-            return pa.record_batch(
-                [pa.array([int(ids[0])]), pa.array([lo.tolist()]), pa.array([hi.tolist()]), *(pa.array([y], pa.binary()) for y in (ids.tobytes(), copies.tobytes(), x, p))],
-                names=["block", "lo", "hi", "ids", "copies", "x", "p"],
-            )
-
-        size = 0
+            if batch.num_rows:
+                p = _matrix(batch.column("v")) @ lead[:, :grid]
+                cell = np.floor(p / max(eps, 1e-6) + 1e6).astype(">u4")
+                yield batch.append_column("cell", pa.array([c.tobytes() for c in cell], pa.binary()))
+
+    placed = reps.mapInArrow(place, f"v {v_type}, id {reps.schema['id'].dataType.simpleString()}, copies long, cell binary")
+    # vectors of one cell in any order that tells them apart
+    order = [F.col("cell"), F.xxhash64("v"), F.col("v")]
+    sequence = materialise(numbered(placed, order, "seq").drop("cell"), "sequence")
+    total = sequence.count()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = min(MOST, max(LEAST, -(-total // max(2, math.isqrt(2 * tasks)))))
+    sequence_at = sequence.withColumn("interval", F.floor(F.col("seq") / size).cast("int"))
+
+    def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                take = min(INTERVAL - size, batch.num_rows - at)
-                held.append(batch.slice(at, take))
-                size, at = size + take, at + take
-                if size == INTERVAL:
-                    yield out(held)
-                    held, size = [], 0
-        if size:
-            yield out(held)
-
-    sequence = (
-        reps.select("rep", "copies", "v").mapInArrow(place, "cell binary, rep long, copies long, x binary, p binary")
-        .repartitionByRange(parts, "cell", "rep").sortWithinPartitions("cell", "rep")
-    )
-    blocks = materialise(
-        sequence.mapInArrow(pack, "block long, lo array<double>, hi array<double>, ids binary, copies binary, x binary, p binary"), "blocks"
-    )
+            if batch.num_rows:
+                p, at = _matrix(batch.column("v")) @ lead, batch.column("interval").to_numpy()
+                for k in np.unique(at).tolist():
+                    q = p[at == k]
+                    yield pa.record_batch({"interval": pa.array([k], pa.int32()), "lo": [q.min(0).tolist()], "hi": [q.max(0).tolist()]})
+
+    part = sequence_at.select("interval", "v").mapInArrow(boxes, "interval int, lo array<double>, hi array<double>")
+    merged = lambda f, c: F.array(*(f(F.col(c)[k]) for k in range(lead.shape[1]))).alias(c)
+    box = materialise(part.groupBy("interval").agg(merged(F.min, "lo"), merged(F.max, "hi")), "boxes")
     # intervals that come within eps on the first direction meet in one of its cells; the cell of
     # the later start decides, so that each pair is found once
     cell = lambda c: F.floor(c / F.lit(max(eps, 1e-6))).cast("long")
-    box = blocks.select("block", "lo", "hi", cell(F.col("lo")[0]).alias("c0"), cell(F.col("hi")[0] + F.lit(eps + 1e-3)).alias("c1"))
-    box = box.withColumn("c", F.explode(F.sequence("c0", "c1")))
-    left, right = (box.select("c", *(F.col(k).alias(f"{k}_{s}") for k in ("block", "lo", "hi", "c0"))) for s in "ab")
+    box = box.withColumn("c0", cell(F.col("lo")[0])).withColumn("c", F.explode(F.sequence("c0", cell(F.col("hi")[0] + F.lit(eps + 1e-3)))))
+    left, right = (box.select("c", *(F.col(k).alias(f"{k}_{s}") for k in ("interval", "lo", "hi", "c0"))) for s in "ab")
     gap = F.zip_with(
         F.zip_with("lo_a", "hi_b", lambda x, y: x - y), F.zip_with("lo_b", "hi_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))
     )
     near = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x) <= F.lit(eps * eps + SLACK)
-    pairs = (
-        left.join(right, "c").where("block_a <= block_b AND c = greatest(c0_a, c0_b)").where(near).select("block_a", "block_b")
-    )
-    data = lambda s: blocks.select(*(F.col(k).alias(f"{k}_{s}") for k in ("block", "ids", "copies", "x", "p")))
-    units = pairs.join(data("a"), "block_a").join(data("b"), "block_b")
+    pairs = left.join(right, "c").where("interval_a <= interval_b AND c = greatest(c0_a, c0_b)").where(near).select("interval_a", "interval_b")
+    units = materialise(numbered(pairs, [F.col("interval_a"), F.col("interval_b")], "unit"), "units")
+    # an interval's vectors go to each of its units; side 1 is the second of two
+    a, b = (units.select(F.col(f"interval_{s}").alias("interval"), "unit", F.lit(k).alias("side")) for k, s in enumerate("ab"))
+    # of a unit of one interval with itself only side 0 is sent
+    routes = a.unionByName(b).groupBy("interval", "unit").agg(F.min("side").alias("side"))
+    sent = sequence_at.select("interval", "seq", "copies", "v").join(bounded_broadcast(materialise(routes, "routes")), "interval")
+    dealt = sent.select("unit", "side", "seq", "copies", "v").repartitionById(min(max(1, units.count()), tasks), (F.col("unit") % tasks).cast("int"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def side(row: dict, s: str) -> tuple:
-            return (
-                np.frombuffer(row[f"ids_{s}"], np.int64), np.frombuffer(row[f"copies_{s}"], np.int64),
-                np.frombuffer(row[f"x_{s}"], np.float64).reshape(-1, dims), np.frombuffer(row[f"p_{s}"], np.float32).reshape(-1, lead),
-            )
+        """Rows come sorted by unit and side."""
+        unit, sides = None, ([], [])
 
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                yield _Unit(side(row, "a"), side(row, "b"), row["block_a"] == row["block_b"], cosine).rows()
+        def out() -> pa.RecordBatch:
+            a = _Side(sides[0], lead, 0)
+            return _Unit(a, _Side(sides[1], lead, len(a.ids)) if sides[1] else a, cosine).rows()
 
-    few = blocks.count()
-    return units.repartition(max(1, min(few * (few + 1) // 2, int(spark.conf.get("spark.sql.shuffle.partitions"))))).mapInArrow(
-        join, "node long, links long, a long, b long"
-    )
+        for batch in batches:
+            of, side = batch.column("unit").to_numpy(), batch.column("side").to_numpy()
+            edges = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), len(of)]
+            for x, y in zip(edges[:-1], edges[1:]):
+                if y > x:
+                    if unit is not None and of[x] != unit:
+                        yield out()
+                        sides = ([], [])
+                    unit = of[x]
+                    sides[side[x]].append(batch.slice(x, y - x).select(["seq", "copies", "v"]))
+        if unit is not None:
+            yield out()
+
+    found = dealt.sortWithinPartitions("unit", "side", "seq").mapInArrow(join, "node long, links long, a long, b long")
+    return sequence, found
