@@ -1,8 +1,11 @@
 """Repeated passages by content-defined chunking.
 
 A gear rolling hash over UTF-8 bytes cuts texts where its top bits are zero; as the hash sees the
-last 32 bytes only, cuts after an insertion fall where they fell before it.  Chunks are deduplicated by digest;
-neighbouring repeated chunks of a text join to passages.
+last 32 bytes only, cuts after an insertion fall where they fell before it.  Chunks are
+deduplicated by digest; neighbouring repeated chunks of a text join to passages.
+
+Chunks are shuffled once by digest.  A digest that very many documents hold (a common line) is
+dealt to several parts by salt, whose least and greatest holders are merged.
 """
 
 from __future__ import annotations
@@ -15,14 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import materialise
-from .words import mix, text_slices
+from .scratch import bounded_broadcast, materialise, small_batches
+from .words import count_repeats, mix, text_slices
 
 #: Least and most bytes of a chunk; a byte past the least ends it with chance 2 ** -CUT_BITS.
 LEAST, MOST, CUT_BITS = 14, 2048, 4
 #: Words that begin within a passage for it to be reported.  Whole chunks alone are seen, so this
 #: must be well below the length of the passages to be found.
 MIN_WORDS = 28
+#: A digest counts towards the estimate of frequent ones in a task that holds it this often; those
+#: with more chunks than all / (partitions * SHARE), and than HEAVY, get salts.
+LOCAL_COUNT, SHARE, HEAVY = 4, 4, 1000
 
 _rng = np.random.default_rng(987654321)
 _GEAR = _rng.integers(0, 2**32, 256, dtype=np.uint32)
@@ -79,29 +85,122 @@ def cut(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = batch.column("row_id").to_numpy()
-        for first, last, data, rows in text_slices(batch.column("text")):
-            ends = cut(data, rows)
-            if not len(ends):
-                continue
+def _sliced(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Yield (first row, bytes, row offsets, starts, ends, digests) of the chunks of each slice of texts."""
+    for first, _, data, rows in text_slices(column):
+        ends = cut(data, rows)
+        if len(ends):
             starts = np.concatenate([[0], ends[:-1]])
-            row = np.searchsorted(rows, starts, "right") - 1
             power, inverse = _powers(len(data) + 1)
             total = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(_DIGEST[data] * power[: len(data)], out=total[1:])
-            digest = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-            # characters and words that begin before each byte
-            chars = np.zeros(len(data) + 1, np.int64)
-            np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
-            begins = ~_SPACE[data]
-            begins[1:] &= _SPACE[data[:-1]]
-            begins[rows[:-1][rows[:-1] < len(data)]] = ~_SPACE[data[rows[:-1][rows[:-1] < len(data)]]]
-            words = np.zeros(len(data) + 1, np.int64)
-            np.cumsum(begins, out=words[1:])
-            place = (chars[starts] - chars[rows[row]]) << 24 | (chars[ends] - chars[starts]) << 12 | (words[ends] - words[starts])
-            yield pa.record_batch({"digest": digest.view(np.int64), "row_id": names[first + row], "place": place})
+            yield first, data, rows, starts, ends, mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def _frequent(rows: DataFrame, parts: int) -> dict[int, int]:
+    """Digests that would fill a part when dealt out by digest, with the parts to deal each to: at
+    most parts * SHARE of them.  Estimates, which only shape the plan."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return count_repeats((d for batch in batches for *_, d in _sliced(batch.column("text"))), LOCAL_COUNT)
+
+    counted = rows.select("text").mapInArrow(task, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    # the number of all comes first, with h null
+    first = counted.orderBy(F.col("h").isNotNull(), F.desc("c"), "h").limit(parts * SHARE + 1).collect()
+    total = sum(r["c"] for r in first if r["h"] is None)
+    most = max(HEAVY, total // (parts * SHARE))
+    return {r["h"]: int(r["c"] // most) + 1 for r in first if r["h"] is not None and r["c"] > most}
+
+
+def _chunks(rows: DataFrame, frequent: dict[int, int], keys: list[str]) -> DataFrame:
+    """digest, salt, keys and place of each chunk; salt is 0 but for frequent digests."""
+    known = np.array(sorted(frequent), np.int64)
+    split = np.array([frequent[k] for k in known.tolist()], np.int64)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = {k: batch.column(k).to_numpy() for k in keys}
+            for first, data, rows, starts, ends, digest in _sliced(batch.column("text")):
+                row = np.searchsorted(rows, starts, "right") - 1
+                # characters and words that begin before each byte
+                chars = np.zeros(len(data) + 1, np.int64)
+                np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
+                begins = ~_SPACE[data]
+                begins[1:] &= _SPACE[data[:-1]]
+                heads = rows[:-1][rows[:-1] < len(data)]
+                begins[heads] = ~_SPACE[data[heads]]
+                words = np.zeros(len(data) + 1, np.int64)
+                np.cumsum(begins, out=words[1:])
+                place = (chars[starts] - chars[rows[row]]) << 24 | (chars[ends] - chars[starts]) << 12 | (words[ends] - words[starts])
+                own, digest = {k: v[first + row] for k, v in names.items()}, digest.view(np.int64)
+                salt = np.zeros(len(digest), np.int32)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, digest), len(known) - 1)
+                    dealt = mix(own["doc_id"].astype(np.uint64)) % split[at].astype(np.uint64)
+                    salt = np.where(known[at] == digest, dealt.astype(np.int32) + 1, salt)
+                yield pa.record_batch({"digest": digest, "salt": salt, **own, "place": place})
+
+    return rows.mapInArrow(task, f"digest long, salt int, {', '.join(f'{k} long' for k in keys)}, place long")
+
+
+def _rows(docs: DataFrame) -> tuple[DataFrame, list[str], DataFrame | None]:
+    """Rows to be cut (doc_id, text and, where doc_ids repeat, alt), the columns that tell them apart,
+    and the repeated doc_ids.
+
+    alt is a hash of the text for repeated doc_ids, 0 for others; equal rows become one."""
+    repeated = materialise(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated")
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not repeated.limit(1).count():
+        return rows, ["doc_id"], None
+    rows = with_alt(rows, repeated)
+    once = rows.where("alt <> 0").groupBy("doc_id", "alt").agg(F.first("text").alias("text"))
+    return rows.where("alt = 0").unionByName(once), ["doc_id", "alt"], repeated
+
+
+def with_alt(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """rows (doc_id, text, ...) with alt, see _rows."""
+    marked = rows.join(bounded_broadcast(repeated.withColumn("again", F.lit(True))), "doc_id", "left")
+    alt = F.when(F.col("again"), F.xxhash64("text").bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long"))
+    return marked.withColumn("alt", alt).drop("again")
+
+
+def _passages(docs: DataFrame, min_words: int) -> tuple[DataFrame, list[str], DataFrame | None]:
+    small_batches(docs.sparkSession)
+    rows, keys, repeated = _rows(docs)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frequent = _frequent(rows, parts)
+    # the chunks of a digest (of one of its salts) meet once; a frequent one's salts are merged after
+    dealt = _chunks(rows, frequent, keys).repartition("digest", "salt")
+    of = W.partitionBy("digest", "salt")
+    again = dealt.withColumn("least", F.min("doc_id").over(of)).withColumn("most", F.max("doc_id").over(of)).where("least < most OR salt > 0")
+    if frequent:
+        again = materialise(again, "chunks")
+        merged = again.where("salt > 0").groupBy("digest").agg(F.min("least").alias("all_least"), F.max("most").alias("all_most"))
+        again = again.join(F.broadcast(merged), "digest", "left")
+        again = again.withColumn("least", F.coalesce("all_least", "least")).withColumn("most", F.coalesce("all_most", "most")).where("least < most")
+    start = F.shiftright("place", 24)
+    end = start + F.shiftright("place", 12).bitwiseAND(F.lit(4095))
+    words = F.col("place").bitwiseAND(F.lit(4095))
+    order = W.partitionBy(*keys).orderBy(start, end)
+    joined = again.select("digest", *keys, "place", "least")
+    joined = joined.withColumn("new", F.when(start > F.lag(end, 1, -1).over(order), 1).otherwise(0))
+    joined = joined.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    joined = joined.withColumn("run_words", F.sum(words).over(W.partitionBy(*keys, "run"))).where(F.col("run_words") >= min_words)
+    held = materialise(joined.select("digest", *keys, "place", "least", "run"), "passages")
+    # digests that the least holder has outside of passages
+    moved = held.groupBy("digest").agg(F.min("doc_id").alias("now"), F.min("least").alias("least")).where("now > least").select("digest", "now")
+    first = held.join(bounded_broadcast(materialise(moved, "moved")), "digest", "left").select(
+        *keys, "run", start.alias("start"), end.alias("end"), words.alias("words"), F.coalesce("now", "least").alias("first_doc_id")
+    )
+    first = first.withColumn("is_first", F.col("first_doc_id") == F.col("doc_id"))
+    order = W.partitionBy(*keys, "run").orderBy("start", "end")
+    turn = F.when(F.col("is_first") != F.lag("is_first").over(order), 1).otherwise(0)
+    first = first.withColumn("turn", turn).withColumn("stretch", F.sum("turn").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    found = first.groupBy(*keys, "run", "stretch").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"),
+        F.min_by("first_doc_id", "start").alias("first_doc_id"), F.first("is_first").alias("is_first"),
+    )
+    return found.drop("run", "stretch"), keys, repeated
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -114,51 +213,29 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     (that is this document, for each of its chunks).
 
     Repeats within one document don't count.  Null and empty texts have none; rows with a null
-    doc_id are left out; rows that repeat a doc_id are one document; very long texts are read
-    whole; other columns are ignored; an empty table gives no rows.
+    doc_id are left out.  Rows of one doc_id with several texts are one document, whose passages
+    are found text by text; rows equal in both count once.  Very long texts are read whole; other
+    columns are ignored; an empty table gives no rows.
     """
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("row_id"), "text")
-    chunks = rows.mapInArrow(_chunks, "digest long, row_id long, place long")
-    # least and most are pre-aggregated; the join's heavy digests are split by adaptive execution
-    known = chunks.groupBy("digest").agg(F.min("row_id").alias("least"), F.max("row_id").alias("most")).where("least < most")
-    again = chunks.join(known.select("digest", "least"), "digest").withColumnRenamed("row_id", "doc_id")
-    start = F.shiftright("place", 24)
-    end = start + F.shiftright("place", 12).bitwiseAND(F.lit(4095))
-    words = F.col("place").bitwiseAND(F.lit(4095))
-    order = W.partitionBy("doc_id").orderBy(start, end)
-    joined = again.withColumn("new", F.when(start > F.lag(end, 1, -1).over(order), 1).otherwise(0))
-    joined = joined.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    joined = joined.withColumn("run_words", F.sum(words).over(W.partitionBy("doc_id", "run"))).where(F.col("run_words") >= min_words)
-    held = materialise(joined.select("digest", "doc_id", "place", "least", "run"), "passages")
-    # digests that the least holder has outside of passages
-    moved = held.groupBy("digest").agg(F.min("doc_id").alias("now"), F.min("least").alias("least")).where("now > least").select("digest", "now")
-    first = held.join(moved, "digest", "left").select(
-        "doc_id", "run", start.alias("start"), end.alias("end"), words.alias("words"), F.coalesce("now", "least").alias("first_doc_id")
-    )
-    first = first.withColumn("is_first", F.col("first_doc_id") == F.col("doc_id"))
-    order = W.partitionBy("doc_id", "run").orderBy("start", "end")
-    turn = F.when(F.col("is_first") != F.lag("is_first").over(order), 1).otherwise(0)
-    first = first.withColumn("turn", turn).withColumn("stretch", F.sum("turn").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return (
-        first.groupBy("doc_id", "run", "stretch")
-        .agg(
-            F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"),
-            F.min_by("first_doc_id", "start").alias("first_doc_id"), F.first("is_first").alias("is_first"),
-        )
-        .drop("run", "stretch")
-    )
+    return _passages(docs, min_words)[0].drop("alt")
 
 
 def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with column deduplicated: the text without passages that stand elsewhere first."""
-    spans = repeated_passages(docs, min_words).where("NOT is_first").groupBy(F.col("doc_id").alias("_id"))
-    spans = spans.agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        gap = F.substring(F.col("text"), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], gap).alias("out"))
-
-    text = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.char_length("text"))))
-    rows = docs.join(spans, docs.doc_id == spans["_id"], "left")
-    return rows.withColumn("deduplicated", F.coalesce(text, F.col("text"))).drop("_id", "_spans")
+    """docs with column deduplicated (one of that name is replaced): the text without passages that
+    stand elsewhere first.
+
+    Rows that share a doc_id each lose passages of their own text only; rows with a null doc_id and
+    null texts stay as they are; so do other columns, whatever their names."""
+    found, keys, repeated = _passages(docs, min_words)
+    # stretches of one text, of which there are at most as many as it has words
+    spans = found.where("NOT is_first").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
+    rows = (rows if repeated is None else with_alt(rows, repeated)).join(spans, keys, "left")
+    # what lies between spans
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["end"]))
+    ends = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.char_length("text").cast("long")))
+    pieces = F.zip_with(starts, ends, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int")))
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c != "deduplicated"]
+    return rows.select(*kept, text.alias("deduplicated"))
