@@ -1,14 +1,17 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The global n-gram order is: rare shingles first (by hash), frequent ones last (by estimated
-document frequency).  It is cut into vertical fragments.  Its first fragment per text, the
-prefix, proposes pairs; for proposed pairs the overlaps of all fragments are counted separately
-and summed per pair, so that each link rests on an exact count.
+document frequency).  It is cut into vertical fragments: equal ranges of the rare ones, and the
+frequent ones.  The overlaps of a pair's fragments are counted separately and summed per pair, so
+that each link rests on an exact count.  Pairs whose sum can't reach the threshold are pruned
+before: those whose first shingles of the order, the prefixes, have nothing in common, and those
+that sizes or sketches rule out.
 
 1. One scan counts shingles that repeat within a task; their summed counts estimate document
    frequencies, which only shape the order (any order gives the same links).
-2. One scan writes per document: set size, 64-bit class (equal sets, equal class), prefix
-   and a parity sketch.  Two sets with Jaccard >= t share a prefix shingle.
+2. One scan writes per document: set size, 64-bit class (equal sets, equal class; a second hash
+   tells classes apart that clash), prefix and a parity sketch.  Two sets with Jaccard >= t share
+   a prefix shingle.
 3. Prefix shingles are dealt out by hash.  The place of a shingle in a set bounds the size of a
    partner whose first common shingle it is; members without a partner in bounds go.  In each
    group of a shingle all members are proposed with one hub: as many pairs as members.  Those
@@ -34,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import bounded_broadcast, materialise
-from .words import mix, shingle_sets
+from .scratch import bounded_broadcast, discard, materialise, small_batches
+from .words import count_repeats, mix, shingle_sets
 
 N_WORDS = 5
 #: Jaccard threshold in hundredths.
@@ -44,8 +47,6 @@ PERCENT = 75
 FRAGMENTS = 4
 #: A shingle counts towards the frequency estimate in a task that holds it this often.
 LOCAL_COUNT = 4
-#: Shingles that a task holds before it counts them (8 bytes each).
-HELD = 1 << 22
 #: Shingles estimated to be in this many texts come last in the order; at most ORDERED of them
 #: (8 bytes each in every task), the most frequent; others stand among the rare ones.
 FREQUENT, ORDERED = 32, 1 << 19
@@ -63,40 +64,21 @@ def _frequent(docs: DataFrame, n_words: int) -> np.ndarray:
     """Frequent shingles, rarest first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, more = np.empty(HELD, np.uint64), 0, LOCAL_COUNT - 1
-
-        def flush() -> pa.RecordBatch:
-            """Of a run of c equal shingles, all but the last `more` have an equal so many places on."""
-            s = held[:size]
-            s.sort()
-            s = s[: max(0, size - more)][s[more:] == s[: max(0, size - more)]]
-            v, c = np.unique(s, return_counts=True)
-            return pa.record_batch({"h": _S(v), "c": c.astype(np.int64) + more})
-
-        for batch in batches:
-            for s in shingle_sets(batch.column("text"), n_words):
-                while len(s):
-                    part, s = s[: HELD - size], s[HELD - size :]
-                    held[size : size + len(part)] = part
-                    size += len(part)
-                    if size == HELD:
-                        yield flush()
-                        size = 0
-        if size:
-            yield flush()
+        return count_repeats((s for batch in batches for s in shingle_sets(batch.column("text"), n_words)), LOCAL_COUNT)
 
     counted = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    top = counted.where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "h").limit(ORDERED).toPandas()
+    top = counted.where((F.col("c") >= FREQUENT) & F.col("h").isNotNull()).orderBy(F.desc("c"), "h").limit(ORDERED).toPandas()
     return top["h"].to_numpy(np.int64)[::-1].view(np.uint64).copy(), top["c"].to_numpy(np.int64)[::-1].copy()
 
 
-def _class_key(s: np.ndarray) -> int:
-    """64 bits that stand for a whole set."""
+def _class_keys(s: np.ndarray) -> tuple[int, int]:
+    """Twice 64 bits that stand for a whole set."""
     n = len(s)
     if not n:
-        return 0
+        return 0, 0
     both = mix(np.bitwise_xor.reduce(mix(s + np.uint64(n)), keepdims=True) + s.sum(keepdims=True))
-    return int(_S(mix(both + np.uint64(n)))[0])
+    again = mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(keepdims=True)
+    return int(_S(mix(both + np.uint64(n)))[0]), int(_S(mix(again + np.uint64(n)))[0])
 
 
 def _sketch_bits(n: int) -> int:
@@ -110,22 +92,20 @@ def _sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _signatures(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    hot, hot_count = _frequent(docs, n_words)
+def _signatures(docs: DataFrame, n_words: int, percent: int, hot: np.ndarray, hot_count: np.ndarray) -> tuple[DataFrame, dict[int, int]]:
+    """Per row (doc_id, th): n, cls, check, sketch, prefix; and the parts of very frequent shingles."""
     order = np.argsort(hot)
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((hot[order], order.astype(np.int64)))
+    shared = docs.sparkSession.sparkContext.broadcast((hot[order], order.astype(np.int64)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         for batch in batches:
-            cols = {"doc_id": batch.column("doc_id"), "n": [], "cls": [], "sketch": []}
+            cols = {"n": [], "cls": [], "check": [], "sketch": []}
             prefixes, ends = [], [0]
             for s in shingle_sets(batch.column("text"), n_words):
                 n = len(s)
-                cols["n"].append(n)
-                cols["cls"].append(_class_key(s))
-                cols["sketch"].append(_sketch(s) if n else b"")
+                for k, x in zip(cols, (n, *_class_keys(s), _sketch(s) if n else b"")):
+                    cols[k].append(x)
                 p = n - -(-percent * n // 100) + 1 if n else 0
                 if n and len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -134,20 +114,34 @@ def _signatures(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
                 prefixes.append(_S(s[:p].copy()))
                 ends.append(ends[-1] + p)
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64), pa.int64())
-            cols["prefix"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            longs = [pa.array(cols[k], pa.int64()) for k in ("n", "cls", "check")]
+            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
             yield pa.record_batch(
-                [cols["doc_id"], pa.array(cols["n"], pa.int64()), pa.array(cols["cls"], pa.int64()), pa.array(cols["sketch"], pa.binary()), cols["prefix"]],
-                names=["doc_id", "n", "cls", "sketch", "prefix"],
+                [batch.column("doc_id"), batch.column("th"), *longs, pa.array(cols["sketch"], pa.binary()), prefix],
+                names=["doc_id", "th", "n", "cls", "check", "sketch", "prefix"],
             )
 
-    table = materialise(
-        docs.mapInArrow(sign, "doc_id long, n long, cls long, sketch binary, prefix array<long>"), "signatures"
-    )
+    rows = "doc_id long, th long, n long, cls long, check long, sketch binary, prefix array<long>"
+    table = materialise(docs.mapInArrow(sign, rows), "signatures")
     # groups of these are split before hubs are chosen
     many = hot_count > HUB_GROUP
     return table, dict(zip(hot[many].view(np.int64).tolist(), (hot_count[many] // HUB_GROUP + 1).tolist()))
 
 
+def _classes(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table, and a row per class: cls, n, sketch, and doc_id and th of its first row.
+
+    Sets whose class keys clash, which 64 bits let happen among some 10 ** 10, get new keys."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("row")
+    group = lambda t: t.groupBy("cls").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    reps = materialise(group(table), "classes")
+    if (clash := reps.where("lo < hi").select("cls")).limit(1).count():
+        marked = table.join(F.broadcast(clash.withColumn("clash", F.lit(True))), "cls", "left")
+        table = materialise(marked.withColumn("cls", F.when(F.col("clash"), F.xxhash64("cls", "check")).otherwise(F.col("cls"))).drop("clash"), "signatures")
+        reps = materialise(group(table), "classes")
+    return table, reps.select("cls", "n", "sketch", "row.doc_id", "row.th")
+
+
 def _hubs(entries: DataFrame, parts: dict[int, int], percent: int) -> DataFrame:
     """Per shingle: its members (h, cls, n, top) with a hub of their part.
 
@@ -245,38 +239,28 @@ def _hubs(entries: DataFrame, parts: dict[int, int], percent: int) -> DataFrame:
     )
 
 
-def _unnamed(docs: DataFrame, n_words: int) -> DataFrame:
-    """cls and text of rows with a null doc_id, which only their class tells."""
-
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cls = [_class_key(s) for s in shingle_sets(batch.column("text"), n_words)]
-            yield pa.record_batch([pa.array(cls, pa.int64()), batch.column("text").cast(pa.string())], names=["cls", "text"])
-
-    return docs.where("doc_id IS NULL").select("text").mapInArrow(key, "cls long, text string")
-
-
-def _overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n_words: int, percent: int, unnamed: bool) -> DataFrame:
+def _overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n_words: int, percent: int, hot: np.ndarray) -> DataFrame:
     """Exact links among pairs (a, b) of classes: partial overlaps per fragment, summed per pair.
 
-    Texts come by the doc_id of their class; with unnamed, those of classes without one by class."""
+    Texts are those of their classes' first rows, by doc_id and th."""
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    ids = materialise(wanted.join(reps.select("cls", "doc_id"), "cls").select("cls", "doc_id"), "wanted")
-    ids_few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids_few else ids.hint("shuffle_hash"), "doc_id").select("cls", "text")
-    if unnamed:
-        bare = ids.where("doc_id IS NULL").select("cls")
-        bare = _unnamed(docs, n_words).join(F.broadcast(bare) if ids_few else bare.hint("shuffle_hash"), "cls")
-        texts = texts.unionByName(bare.groupBy("cls").agg(F.first("text").alias("text")))
+    n_pairs = pairs.count()
+    ids = wanted.join(reps.select("cls", "doc_id", "th"), "cls").select("cls", F.col("doc_id").alias("id"), F.col("th").alias("of"))
+    ids = materialise(ids, "wanted", work=2 * n_pairs + reps.count())
+    small = F.broadcast(ids) if (n_ids := ids.count()) <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    texts = docs.select("doc_id", "th", "text").join(small, (F.col("th") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("cls", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, steps = shared.value, np.arange(1, FRAGMENTS - 1, dtype=np.uint64) * np.uint64(2**64 // (FRAGMENTS - 1))
         for batch in batches:
             cls, rows = batch.column("cls").to_pylist(), ([], [], [], [])
             for c, s in zip(cls, shingle_sets(batch.column("text"), n_words)):
-                if _class_key(s) != c:  # another text under a repeated doc_id
-                    continue
-                at = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64(2**64 // FRAGMENTS))
-                for f, seg in enumerate(np.split(s, at)):
+                often = np.zeros(len(s), bool)
+                if len(known):
+                    often = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
+                rare = s[~often]
+                for f, seg in enumerate([*np.split(rare, np.searchsorted(rare, steps)), s[often]]):
                     for out, x in zip(rows, (c, f, len(s), _S(seg))):
                         out.append(x)
             yield pa.record_batch(
@@ -284,8 +268,7 @@ def _overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n_words: int,
                 names=["cls", "fragment", "n", "segment"],
             )
 
-    cuts = texts.mapInArrow(cut, "cls long, fragment int, n long, segment array<long>")
-    cuts = materialise(cuts, "fragments")
+    cuts = materialise(texts.mapInArrow(cut, "cls long, fragment int, n long, segment array<long>"), "fragments", work=10 * n_ids + reps.count())
     a = cuts.select(F.col("cls").alias("a"), "fragment", F.col("n").alias("na"), F.col("segment").alias("sa"))
     b = cuts.select(F.col("cls").alias("b"), "fragment", F.col("n").alias("nb"), F.col("segment").alias("sb"))
     partial = pairs.join(a, "a").join(b, ["b", "fragment"]).select(
@@ -294,9 +277,11 @@ def _overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n_words: int,
     # repeated rows give the same fragment again
     partial = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))
     summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-    return summed.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select(
-        "a", "b", "common", "na", "nb"
+    links = materialise(
+        summed.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b", "common", "na", "nb"), "links", work=n_pairs
     )
+    discard(cuts, ids)
+    return links
 
 
 def _fold(bits: np.ndarray, width: int) -> np.ndarray:
@@ -431,22 +416,19 @@ def _residual(batches: Iterator[pa.RecordBatch], percent: int, forest: bool) ->
             )
 
 
-def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents (doc_id, n_shingles, rep, component), links between representatives (a, b, common, na, nb)
-    and components (node, component) of those that have links.
+def _merged(edges: DataFrame) -> DataFrame:
+    """Components of a materialised table of edges, materialised."""
+    n = edges.count()
+    return materialise(connected_components(edges, rows=n), "components", 2 * n)
 
-    A representative is the least doc_id of the documents with equal shingle sets.  With every, all
-    links between representatives are given, else enough for the components (see the module).  Null text counts as empty; empty texts link with nothing; rows
-    with a null doc_id take part but can't be representatives unless all copies are null (then the
-    ends of their links are null; a component goes by its least doc_id, null if none has one);
-    repeated doc_ids are rows of their own; other columns are ignored.
-    """
-    docs = docs.select("doc_id", "text")
-    table, parts = _signatures(docs, n_words, percent)
-    reps = materialise(
-        table.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes"
-    )
-    unnamed = reps.where("doc_id IS NULL AND n > 0").limit(1).count() > 0
+
+def _solve(docs: DataFrame, n_words: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The signatures and classes of docs (doc_id, th, text); links (a, b, common, na, nb) and
+    components (cls, component) of classes that have links."""
+    small_batches(docs.sparkSession)
+    hot, hot_count = _frequent(docs, n_words)
+    table, parts = _signatures(docs, n_words, percent, hot, hot_count)
+    table, reps = _classes(table)
     groups = materialise(_hubs(table, parts, percent), "groups")
     stars = groups.where("cls <> hub AND n <= hub_top AND hub_n <= top").select("cls", "hub")
     if parts:  # hubs of the parts of one shingle meet too
@@ -456,10 +438,11 @@ def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT,
     pairs = materialise(
         stars.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), "pairs"
     )
+    n_pairs, n_reps = pairs.count(), reps.count()
     side = lambda k: reps.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _allowed(it, percent), "a long, b long")
-    links = materialise(_overlaps(docs, reps, materialise(likely, "likely"), n_words, percent, unnamed), "links")
-    merged = materialise(connected_components(links.select("a", "b")), "components")
+    links = _overlaps(docs, reps, materialise(likely, "likely", work=n_pairs + n_reps), n_words, percent, hot)
+    merged = _merged(links.select("a", "b"))
 
     # groups with several components; for every link each class counts as one of its own
     unit_order = lambda df: df.repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj", "cls")
@@ -473,8 +456,10 @@ def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT,
     # shingles of one passage often have the same members: the first in the order, with the widest
     # bounds, is enough
     open_ = open_.where("lo < hi").groupBy("size", "x", "y").agg(F.max_by("h", "tops").alias("h"))
-    open_ = open_.select("h", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    held = member.join(open_, "h").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    open_ = open_.select("h", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    open_ = materialise(open_, "open", groups.count())
+    n_held = open_.agg(F.sum(F.col("blocks") * F.col("size"))).first()[0] or 0
+    held = member.join(open_.drop("size"), "h").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     held = held.withColumn(
         "unit",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("bi"), F.greatest(k, F.col("own")).alias("bj")))),
@@ -483,25 +468,45 @@ def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT,
     held = held.select("h", "unit.bi", "unit.bj", "cls", "n", "top", "component", "own")
     brief = reps.select("cls", "n", "sketch").mapInArrow(_brief, "cls long, sketch binary")
     for forest in (False,) if every else (True, False):
-        held = materialise(unit_order(held).mapInArrow(_with_partners, unit), "units")
+        held = materialise(unit_order(held).mapInArrow(_with_partners, unit), "units", work=n_held)
         proposed = unit_order(held.join(brief, "cls")).mapInArrow(
             lambda it, forest=forest: _residual(it, percent, forest), "a long, b long, h long, bi int, bj int"
         )
-        proposed = materialise(proposed, "proposed")
+        proposed = materialise(proposed, "proposed", work=n_held + n_reps)
         more = proposed.where("a IS NOT NULL").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = materialise(more, "pairs")
+        more = materialise(more, "pairs", proposed.count() + pairs.count())
         if not more.limit(1).count() and not forest:
             break
-        links = materialise(links.unionByName(_overlaps(docs, reps, more, n_words, percent, unnamed)), "links")
+        links = links.unionByName(_overlaps(docs, reps, more, n_words, percent, hot))
         known = merged.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        merged = materialise(connected_components(known.unionByName(links.select("a", "b"))), "components")
+        merged = _merged(known.unionByName(links.select("a", "b")))
         rest = bounded_broadcast(proposed.where("a IS NULL").select("h", "bi", "bj"))
         held = into(held.join(rest, ["h", "bi", "bj"], "left_semi"), "component").withColumn("component", F.coalesce("now", "component")).select(*held.columns)
         pairs = pairs.unionByName(more)
+    return table, reps, links, merged.select(F.col("node").alias("cls"), "component")
+
+
+def _with_hash(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with th, which tells rows of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+
+
+def ngram_links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, n_shingles, rep, component), links between representatives (a, b, common, na, nb)
+    and components (node, component) of those that have links.
+
+    A representative is the least doc_id of the documents with equal shingle sets.  With every, all
+    links between representatives are given, else enough for the components (see the module).
+    Null text counts as empty; empty texts link with nothing; rows with a null doc_id take part but
+    can't be representatives unless all copies are null (then the ends of their links are null; a
+    component goes by its least doc_id, null if none has one); repeated doc_ids are rows of their
+    own; other columns are ignored.
+    """
+    table, reps, links, merged = _solve(_with_hash(docs), n_words, percent, every)
     # from here a class goes by its least doc_id
     named = lambda df, k: df.withColumnRenamed(k, "cls").join(reps.select("cls", F.col("doc_id").alias(k)), "cls").drop("cls")
     links = named(named(links, "a"), "b")
-    merged = merged.withColumnRenamed("node", "cls").join(reps.select("cls", F.col("doc_id").alias("node")), "cls")
+    merged = merged.join(reps.select("cls", F.col("doc_id").alias("node")), "cls")
     least = merged.groupBy("component").agg(F.min("node").alias("least"))
     merged = merged.join(least, "component").select("cls", "node", F.col("least").alias("component"))
     components = merged.where("node IS NOT NULL").select("node", "component")
@@ -523,7 +528,31 @@ def ngram_components(docs: DataFrame, n_words: int = N_WORDS, percent: int = PER
 
 
 def near_dedup(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs, with all columns: of each component the smallest doc_id stays.  Rows with a null
-    doc_id stay; rows that share a doc_id go or stay together."""
-    gone = ngram_components(docs, n_words, percent).where("doc_id <> component_id").select("doc_id")
-    return docs.join(bounded_broadcast(materialise(gone, "dropped")), "doc_id", "left_anti").select(*docs.columns)
+    """docs, with all columns: of each component one row stays, that of the smallest doc_id.
+
+    Rows, not ids, stay or go: rows that share a doc_id each by their text, and a row with a null
+    doc_id stays only where no row with one is in its component.  Rows equal in doc_id and text
+    become one, unless they are empty: texts without words all stay.  Other columns may have any
+    names; an empty table gives no rows.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("th"))
+    table, reps, _, merged = _solve(_with_hash(docs), n_words, percent, False)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    # classes by their first rows; of each component the first class
+    named = reps.where("n > 0").join(merged, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    best = named.groupBy("component").agg(first.alias("best"))
+    keeper = named.join(best, "component").select("cls", "best")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    seen = table.where("n > 0").groupBy("doc_id", "th", "cls").agg(F.count("*").alias("copies"))
+    seen = seen.join(keeper, "cls").select(F.col("doc_id").alias("id"), F.col("th").alias("of"), "copies", (own == F.col("best")).alias("stays"))
+    marks = materialise(seen.where("NOT stays OR copies > 1"), "dropped", table.count())
+    same = (F.col("th") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    gone = marks.where("NOT stays").select("id", "of")
+    left = rows.join(bounded_broadcast(gone), same, "left_anti")
+    if not (again := marks.where("stays").select("id", "of")).limit(1).count():
+        return left.select("row.*")
+    # rows that stay and repeat: one of each, by a partial aggregate
+    left = left.join(bounded_broadcast(again), same, "left")
+    once = left.where("of IS NOT NULL").groupBy("doc_id", "th").agg(F.first("row").alias("row"))
+    return left.where("of IS NULL").select("row.*").unionByName(once.select("row.*"))
