@@ -1,9 +1,9 @@
 """Exact duplicates by content sort, with DataFrame functions only.
 
-Rows are range-partitioned by sampled splitters and sorted within partitions (externally, with
-spill), so that equal normalised texts are neighbours; the window operator compares neighbours in
-full.  The sort key starts with the first characters and a hash, so that splitters stay short
-however long texts are; the text itself decides.
+Rows are range-partitioned by sampled splitters and sorted within partitions by their normalised
+text (externally, with spill), so that equal texts are neighbours; the window operator compares
+neighbours in full.  Splitters are the text's first characters with a hash behind them, so that
+they stay short however long texts are, and texts with one beginning still spread.
 
 A text with very many copies would fill one range.  A thin first pass counts hashes; those with
 more copies than a fraction of a partition get a salt in the key, and their parts, one row per
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import bounded_broadcast, materialise
+from .scratch import materialise
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters of the text that lead the sort key.
@@ -32,33 +32,50 @@ def normalised(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
+def _salts(hashed: DataFrame, parts: int) -> DataFrame:
+    """h, salts of the texts with many copies: at most parts * SHARE rows (hashed is read twice)."""
+    total = hashed.count()
+    most = max(2, total // (parts * SHARE))
+    counted = materialise(hashed.groupBy("h").agg(F.count("*").alias("copies")).where(F.col("copies") > most), "copies", work=total)
+    # equal texts are equal under lower() too, so that its hash is good for finding heavy groups
+    return counted.select("h", (F.col("copies") / most).cast("int").alias("salts"))
+
+
+def _hash() -> Column:
+    return F.xxhash64(F.lower(F.coalesce("text", F.lit(""))))
+
+
+def _placed(rows: DataFrame, heavy: DataFrame, parts: int) -> DataFrame:
+    """rows (doc_id, text, h, ...) with text normalised, in ranges of the sort key; salts is null for most."""
+    keyed = rows.join(F.broadcast(heavy), "h", "left").withColumn(
+        "salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.col("salts"))).cast("int")
+    )
+    keyed = keyed.withColumn("lead", F.substring(F.lower(F.coalesce("text", F.lit(""))), 1, KEY_CHARS))
+    return keyed.repartitionByRange(parts, *_KEY).withColumn("text", normalised(F.col("text")))
+
+
+#: What splitters are made of; the text decides it, but for the salt.
+_KEY = ("lead", "h", "salt")
+
+
+def _first(keep: str) -> Column:
+    return F.col("doc_id").asc_nulls_last() if keep == "min" else F.col("doc_id").desc_nulls_last()
+
+
 def exact_groups(docs: DataFrame, keep: str = "min") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row.
 
     keep: "min" or "max", which doc_id of equal texts stays.  Null and empty texts are equal to
     each other.  A null doc_id stays only if its whole group has none (keep_id is then null, and
     kept holds for those rows).  Rows that repeat the doc_id that stays are kept on one of the
-    rows.  Other columns are ignored; an empty table gives no rows.
+    rows.  Very long texts are compared whole; other columns, whatever their names, are ignored;
+    an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # equal texts are equal under lower() too, so that its hash is good for finding heavy groups
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    hashed = rows.withColumn("h", F.xxhash64(F.lower("text")))
-    counted = materialise(hashed.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
-    total = docs.count()
-    most = max(2, total // (parts * SHARE))
-    # at most parts * SHARE hashes can have so many copies
-    heavy = counted.where(F.col("copies") > most).select("h", (F.col("copies") / most).cast("int").alias("salts"))
-    keyed = hashed.join(F.broadcast(heavy), "h", "left").withColumn(
-        "salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.col("salts"))).cast("int")
-    )
-    key = ["lead", "h", "salt"]
-    keyed = keyed.withColumn("lead", F.substring(F.lower("text"), 1, KEY_CHARS))
-    placed = keyed.repartitionByRange(parts, *key).withColumn("text", normalised(F.col("text")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select("doc_id", "text", _hash().alias("h"))
+    placed = _placed(rows, _salts(rows.select("h"), parts), parts)
     best = F.min if keep == "min" else F.max
-    order = F.col("doc_id").asc_nulls_last() if keep == "min" else F.col("doc_id").desc_nulls_last()
-    same = W.partitionBy(*key, "text").orderBy(order)
+    same = W.partitionBy("text", *_KEY).orderBy(_first(keep))
     whole = same.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     seen = placed.select(
         "doc_id",
@@ -92,9 +109,21 @@ def exact_groups(docs: DataFrame, keep: str = "min") -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, keep: str = "min") -> DataFrame:
-    """docs, with all columns, without the rows whose doc_id exact_groups drops.
+    """docs, with all columns: of equal texts one row stays, that of the least (or largest) doc_id.
 
-    doc_ids should be unique: rows that share one go or stay together.  Rows with a null doc_id
-    stay."""
-    gone = materialise(exact_groups(docs, keep).where("doc_id <> keep_id").select("doc_id"), "dropped")
-    return docs.join(bounded_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    Rows, not ids, stay or go: of rows that repeat a doc_id each text keeps one, and a row with a
+    null doc_id goes only if an equal text stays.  Of rows equal in doc_id and text any one stays.
+    Null and empty texts are equal to each other; other columns may have any names; an empty table
+    gives no rows.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = _salts(docs.select(_hash().alias("h")), parts)
+    # columns of docs travel in one, where no name clashes
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    placed = _placed(rows.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")).withColumn("h", _hash()), heavy, parts)
+    place = F.row_number().over(W.partitionBy("text", *_KEY).orderBy(_first(keep)))
+    first = materialise(placed.withColumn("place", place).where("place = 1").select("row", "h", "salts"), "first")
+    # of a salted text each salt has kept one: the last comparison, of few rows
+    again = first.where("salts IS NOT NULL").withColumn("text", normalised(F.col("row.text"))).withColumn("doc_id", F.col("row.doc_id"))
+    again = again.withColumn("place", F.row_number().over(W.partitionBy("h", "text").orderBy(_first(keep)))).where("place = 1")
+    return first.where("salts IS NULL").select("row.*").unionByName(again.select("row.*"))

@@ -2,21 +2,19 @@
 
 Per source the target holds some whole passes over its documents and a remaining budget.  The
 remaining budget is fitted on counts of documents by exact length: first each length's share, then
-the longest that fit, then a bounded-knapsack dynamic program over what is left.  Which documents
-of a length are taken is decided by a seeded hash.
+the longest that fit while more than EXACT_WORDS are left, then a bounded-knapsack dynamic program
+over the rest.  Which documents of a length are taken is decided by a seeded hash.
 """
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import bounded_broadcast, materialise
+from .scratch import bounded_broadcast, materialise, numbered
 
 #: Weights of the sources in order of their names (null last), repeating; the mix's size as a share
 #: of all; how often a document may be taken.
@@ -74,42 +72,44 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     """source, source_size, target from rows (source, source_size), one per source.
 
     Targets are shares of the budget by weight; they stop at repeats times the source's size, and
-    the excess is shared by weight among the others.  In closed form: the least of the cap and
-    weight times a common level, which follows from the sources in order of cap over weight.
+    the excess is shared by weight among the others: the least of the cap and weight times a common
+    level.  The level rises as sources reach their caps, round by round, each an aggregate.
     """
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    s = sizes.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(place, F.lit(len(weights))) + 1))
-    s = s.withColumn("cap", F.col("source_size").cast("double") * repeats).withColumn("ratio", F.col("cap") / F.col("weight"))
-    everything = W.partitionBy()
-    before = W.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    s = s.withColumn("budget", F.sum("source_size").over(everything) * share)
-    s = s.withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-    s = s.withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    s = s.withColumn("level", (F.col("budget") - F.col("capped")) / F.col("open"))
-    # the first in order whose level its cap allows; none: all at their caps
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "source", "level"))).over(everything)["level"])
-    return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("weight") * F.col("level"), F.col("cap"))).alias("target"))
+    s = numbered(sizes, [F.col("source").asc_nulls_last()], "place")
+    s = s.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int")))
+    s = materialise(s.drop("place").withColumn("cap", F.col("source_size").cast("double") * repeats), "weights")
+    budget = (s.agg(F.sum("source_size")).first()[0] or 0) * share
+    level = 0.0
+    while True:
+        open_ = F.col("cap") >= F.col("weight") * level
+        row = s.agg(F.sum(F.when(open_, F.col("weight"))).alias("w"), F.coalesce(F.sum(F.when(~open_, F.col("cap"))), F.lit(0.0)).alias("c")).first()
+        if row["w"] is None:  # all at their caps
+            level = float("inf")
+            break
+        if level >= (now := (budget - row["c"]) / row["w"]):
+            break
+        level = now
+    return s.select("source", "source_size", F.least("cap", F.col("weight") * level).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken for each row.
+def _keyed(rows: DataFrame, seed: int) -> DataFrame:
+    """rows (doc_id, source, text, ...) with size, key (of the source), h, th and bucket."""
+    sized = rows.withColumn("size", word_count(F.col("text"))).withColumn("key", _key()).withColumn("th", F.xxhash64("text"))
+    # rows that share a doc_id are told apart by their text
+    return sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "th")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
 
-    size counts words (null text: 0).  A null source is a source of its own, in the last place.
-    taken is size times the number of passes that take the row; rows without words get 0.  Each
-    row counts, repeated doc_ids too (equal ones may swap places); sums of taken stay at or below
-    the whole part of targets.  Other columns are ignored; an empty table gives no rows.
-    """
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    sized = materialise(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-        .withColumn("key", key).withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")),
-        "sizes",
-    )
+
+def _key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+
+
+def _quotas(sized: DataFrame, weights: tuple, share: float, repeats: int) -> tuple[DataFrame, DataFrame]:
+    """Per source (key, source_size, target); per key, size and bucket the passes over all of its
+    rows and how many of them have room in a further one."""
     targets = source_targets(sized.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), weights, share, repeats)
-    targets = materialise(targets.withColumn("key", key), "targets")
+    targets = materialise(targets.withColumn("key", _key()).select("key", "source_size", "target"), "targets")
     parts = materialise(sized.where("size > 0").groupBy("key", "size", "bucket").agg(F.count("*").alias("c")), "counts")
-    lengths = parts.groupBy("key", "size").agg(F.sum("c").alias("c")).join(F.broadcast(targets.select("key", "source_size", "target")), "key")
+    lengths = parts.groupBy("key", "size").agg(F.sum("c").alias("c")).join(bounded_broadcast(targets), "key")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size")
@@ -123,19 +123,42 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats
     fitted = lengths.groupBy("key").applyInPandas(fit, "key string, size long, passes long, more long")
     upto = W.partitionBy("key", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     quota = parts.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0))).join(fitted, ["key", "size"])
-    quota = quota.select("key", "size", "bucket", "passes", (F.col("more") - F.col("before")).alias("room"))
-    rank = F.row_number().over(W.partitionBy("key", "size", "bucket").orderBy("h", "doc_id"))
+    return targets, quota.select("key", "size", "bucket", "passes", (F.col("more") - F.col("before")).alias("room"))
+
+
+def _times(sized: DataFrame, quota: DataFrame) -> DataFrame:
+    """sized with times, how often the mix takes the row."""
+    rank = F.row_number().over(W.partitionBy("key", "size", "bucket").orderBy("h", "doc_id", "th"))
     chosen = sized.withColumn("rank", rank).join(quota, ["key", "size", "bucket"], "left")
     times = F.coalesce(F.col("passes") + F.when(F.col("rank") <= F.col("room"), 1).otherwise(0), F.lit(0))
-    totals = F.broadcast(targets.select("key", "source_size", "target"))
-    return chosen.join(totals, "key").select(
-        "doc_id", "size", "source", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), times.cast("int").alias("times")
+    return chosen.withColumn("times", times.cast("int")).drop("rank", "passes", "room")
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source, source_size, target, taken, times for each row.
+
+    size counts words (null text: 0).  A null source is a source of its own, in the last place.
+    taken is size times the number of passes that take the row; rows without words get 0.  Each
+    row counts, repeated doc_ids too (rows equal in doc_id, text and source may swap places); sums
+    of taken stay at or below the whole part of targets.  Very long texts are counted whole; other
+    columns are ignored; an empty table gives no rows.
+    """
+    sized = materialise(_keyed(docs.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
+    targets, quota = _quotas(sized, weights, share, repeats)
+    return _times(sized, quota).join(bounded_broadcast(targets), "key").select(
+        "doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "times"
     )
 
 
 def take_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
-    """docs, with all columns, each row as often as the mix takes it.  doc_ids should be unique;
-    rows that share one, or have none, are taken as often as the most taken of them."""
-    times = mix(docs, weights, share, repeats, seed).where("times > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").alias("_times"))
-    rows = docs.join(bounded_broadcast(materialise(times, "times")), docs.doc_id.eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*(docs[c] for c in docs.columns))
+    """docs, with all columns, each row as often as the mix takes it (see mix).
+
+    Rows, not ids, are taken: those that share a doc_id, or have none, each by its own number.
+    Other columns may have any names; an empty table gives no rows."""
+    counted = materialise(_keyed(docs.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
+    _, quota = _quotas(counted, weights, share, repeats)
+    # columns of docs travel in one, where no name clashes; rows are ranked again, with all they have
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = _keyed(rows.select("row", *(F.col(f"row.{c}").alias(c) for c in ("doc_id", "source", "text"))), seed)
+    rows = _times(rows.where("size > 0").select("row", "doc_id", "key", "size", "bucket", "h", "th"), quota).where("times > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), "times")).alias("copy")).select("row.*")
