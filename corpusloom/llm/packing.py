@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .scratch import small_batches
 from .tokens import encoder
 
 WINDOW = 1024
@@ -120,4 +121,5 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
         packer.finish()
         yield packer.rows()
 
+    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(task, SCHEMA)

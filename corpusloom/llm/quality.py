@@ -2,9 +2,9 @@
 follow-the-regularised-leader (FTRL-proximal) updates.
 
 Tokens are runs of letters (hashed in lower case), of digits and of marks; a second sequence holds
-their shapes (lower, capital, upper, mixed, number, marks,
-as before).  Features are token unigrams and bigrams and
-shape bigrams and trigrams, hashed to 2 ** BITS; a text's vector is their relative frequencies.
+their shapes (lower, capital, upper, mixed, number, marks, as before).  Features are token
+unigrams and bigrams and shape bigrams and trigrams, hashed to 2 ** BITS, and a bias in the place
+behind them; a text's vector is their relative frequencies.
 Scores are dot products of these sparse vectors with the weights.
 
 Training: a bounded sample of labelled rows in hashed order is dealt to SHARDS groups; each is
@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .words import mix, text_slices
 
 BITS = 18
+BIAS = 1 << BITS
 #: Labelled rows used at most, and the groups they are dealt to.
 TRAIN_ROWS, SHARDS = 16_384, 8
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 1e-4, 1e-4
@@ -102,7 +104,7 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
     """Weights after EPOCHS passes over rows (features, values, label)."""
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    z, n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
     weight = lambda z, n: np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     for _ in range(EPOCHS):
         for f, x, y in rows:
@@ -120,7 +122,10 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> np.nda
 
     The sample is the first in order of a hash of doc_id, so it doesn't depend on the layout.
     Null labels and ids are left out; a document that repeats, or has two labels, counts each time.
+    Null and empty texts count as texts without features, very long ones are read whole.  Without
+    any labelled row all weights are 0 (scores 0.5).  Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     picked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("y"))
     picked = picked.withColumn("h", F.xxhash64("doc_id", F.lit(29))).orderBy("h", "doc_id", "y").limit(bound)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
@@ -132,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> np.nda
             for first, last, f, at in features(batch.column("text")):
                 for k in range(last - first):
                     u, c = np.unique(f[at[k] : at[k + 1]], return_counts=True)
-                    bias = np.append(u, 0), np.append(c * (SCALE / max(1, c.sum())), 1.0)
+                    bias = np.append(u, BIAS), np.append(c * (SCALE / max(1, c.sum())), 1.0)
                     shards.setdefault(shard[first + k], []).append((*bias, y[first + k]))
         for own in shards.values():
             w = ftrl(own)
@@ -141,9 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> np.nda
 
     dealt = rows.withColumn("shard", F.pmod("h", F.lit(SHARDS)).cast("int"))
     dealt = dealt.repartition(SHARDS, "shard").sortWithinPartitions("shard", "h", "doc_id", "y", "text")
-    # at most 2 ** BITS rows
+    # at most BIAS + 1 rows
     found = dealt.select("shard", "y", "text").mapInArrow(fit, "f long, w double").groupBy("f").agg(F.sum("w").alias("w")).toPandas()
-    out = np.zeros(1 << BITS)
+    out = np.zeros(BIAS + 1)
     out[found["f"].to_numpy()] = found["w"].to_numpy() / SHARDS
     return out
 
@@ -154,6 +159,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     Repeated doc_ids are rows of their own, null ones are kept; very long texts are read whole;
     other columns (also one called score) are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +169,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             for first, last, f, at in features(batch.column("text")):
                 total = np.concatenate([[0.0], np.cumsum(w[f])])
                 n = np.diff(at)
-                out[first:last] = w[0] + SCALE * (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1)
+                out[first:last] = w[BIAS] + SCALE * (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1)
             yield pa.record_batch([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, score double")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunk_dedup, content_sort, grid_join, language_id, mixing, ngram_join, packing, quality, secret_scan, token_rollup
-from .scratch import materialise, shared_dir
+from .scratch import fresh_path, materialise
 
 
 def vocabulary() -> str:
@@ -59,7 +57,7 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     toxic documents deleted; the second batch comes twice."""
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     version = F.lit("byte_bpe_50k").alias("version")
-    rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup = token_rollup.Rollup(spark, fresh_path(spark, "rollup"))
     first = docs.select("doc_id", version, F.lit("insert").alias("op"), "source", "lang", F.ceil(F.coalesce("n_chars", F.lit(0)) / 4).alias("n_tokens"))
     rollup.apply(1, first)
     exact = materialise(token_rollup.count_tokens(docs, vocabulary()), "counts")

@@ -130,13 +130,17 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        import json
+
         import tiktoken
-        from tokenizers import Tokenizer
 
         self.path = path
-        whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in whole.get_added_tokens_decoder().values()]
-        ranks = _byte_ranks(whole.get_vocab(with_added_tokens=False))
+        # the file itself: the tokenizer made from it takes some 60 MB, and few tasks need it
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+        self.special = [t["content"] for t in found["added_tokens"]]
+        ranks = _byte_ranks(found["model"]["vocab"])
+        del found
         # pieces are cut below, so that the pattern lets each through whole
         self.merge = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.factor = int(np.random.default_rng(5).integers(1, 2**62)) * 2 + 1
@@ -144,7 +148,7 @@ class Encoder:
 
     @functools.cached_property
     def whole(self):
-        """The tokenizer itself, read again for the few texts that hold its special tokens."""
+        """The tokenizer itself, for the few texts that hold its special tokens."""
         from tokenizers import Tokenizer
 
         return Tokenizer.from_file(self.path)
