@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import bounded_broadcast, materialise, numbered
+from .scratch import bounded_broadcast, discard, materialise, numbered
 
 #: Weights of the sources in order of their names (null last), repeating; the mix's size as a share
 #: of all; how often a document may be taken.
@@ -157,6 +157,7 @@ def take_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, re
     Other columns may have any names; an empty table gives no rows."""
     counted = materialise(_keyed(docs.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
     _, quota = _quotas(counted, weights, share, repeats)
+    discard(counted)
     # columns of docs travel in one, where no name clashes; rows are ranked again, with all they have
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     rows = _keyed(rows.select("row", *(F.col(f"row.{c}").alias(c) for c in ("doc_id", "source", "text"))), seed)

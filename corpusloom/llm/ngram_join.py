@@ -423,8 +423,9 @@ def _merged(edges: DataFrame) -> DataFrame:
 
 
 def _solve(docs: DataFrame, n_words: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The signatures and classes of docs (doc_id, th, text); links (a, b, common, na, nb) and
-    components (cls, component) of classes that have links."""
+    """Of docs (doc_id, th, text): their classes (doc_id, th, n, cls), a row per class (cls, n and the
+    doc_id and th of its first row), links (a, b, common, na, nb) and components (cls, component)
+    of classes that have links.  All are written; what they were made from is deleted."""
     small_batches(docs.sparkSession)
     hot, hot_count = _frequent(docs, n_words)
     table, parts = _signatures(docs, n_words, percent, hot, hot_count)
@@ -441,7 +442,8 @@ def _solve(docs: DataFrame, n_words: int, percent: int, every: bool) -> tuple[Da
     n_pairs, n_reps = pairs.count(), reps.count()
     side = lambda k: reps.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _allowed(it, percent), "a long, b long")
-    links = _overlaps(docs, reps, materialise(likely, "likely", work=n_pairs + n_reps), n_words, percent, hot)
+    likely = materialise(likely, "likely", work=n_pairs + n_reps)
+    links = _overlaps(docs, reps, likely, n_words, percent, hot)
     merged = _merged(links.select("a", "b"))
 
     # groups with several components; for every link each class counts as one of its own
@@ -458,6 +460,7 @@ def _solve(docs: DataFrame, n_words: int, percent: int, every: bool) -> tuple[Da
     open_ = open_.where("lo < hi").groupBy("size", "x", "y").agg(F.max_by("h", "tops").alias("h"))
     open_ = open_.select("h", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     open_ = materialise(open_, "open", groups.count())
+    spent = [table, reps, groups, pairs, likely, open_]
     n_held = open_.agg(F.sum(F.col("blocks") * F.col("size"))).first()[0] or 0
     held = member.join(open_.drop("size"), "h").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     held = held.withColumn(
@@ -472,9 +475,10 @@ def _solve(docs: DataFrame, n_words: int, percent: int, every: bool) -> tuple[Da
         proposed = unit_order(held.join(brief, "cls")).mapInArrow(
             lambda it, forest=forest: _residual(it, percent, forest), "a long, b long, h long, bi int, bj int"
         )
-        proposed = materialise(proposed, "proposed", work=n_held + n_reps)
+        units, proposed = held, materialise(proposed, "proposed", work=n_held + n_reps)
         more = proposed.where("a IS NOT NULL").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
         more = materialise(more, "pairs", proposed.count() + pairs.count())
+        spent += [units, proposed, more, merged]
         if not more.limit(1).count() and not forest:
             break
         links = links.unionByName(_overlaps(docs, reps, more, n_words, percent, hot))
@@ -483,7 +487,11 @@ def _solve(docs: DataFrame, n_words: int, percent: int, every: bool) -> tuple[Da
         rest = bounded_broadcast(proposed.where("a IS NULL").select("h", "bi", "bj"))
         held = into(held.join(rest, ["h", "bi", "bj"], "left_semi"), "component").withColumn("component", F.coalesce("now", "component")).select(*held.columns)
         pairs = pairs.unionByName(more)
-    return table, reps, links, merged.select(F.col("node").alias("cls"), "component")
+    rows = materialise(table.select("doc_id", "th", "n", "cls"), "documents", work=table.count())
+    classes = materialise(reps.select("cls", "n", "doc_id", "th"), "classes", work=n_reps)
+    # what is left reads none of these
+    discard(*(t for t in spent if t is not merged))
+    return rows, classes, links, merged.select(F.col("node").alias("cls"), "component")
 
 
 def _with_hash(docs: DataFrame) -> DataFrame:
