@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import chunking, evaluate, grounding, index, rerank, search, tfidf, trace
-from corpusloom.plans.registry import HITS, TITLED, VECTORS, chunks_sql, hits_sql, query, stored, table, tokens_sql
+from corpusloom.plans.registry import HITS, TITLED, VECTORS, chunks_sql, hits_sql, query, stored, table, tokens_sql, vectors_sql
 from corpusloom.sources import corpus
 from corpusloom.sources.shared import bounded_broadcast, materialise
 
@@ -190,6 +190,13 @@ def _chunk_store(spark, sf_dir) -> str:
     return stored(spark, sf_dir, ("documents",), "chunk-index", lambda path: corpus.build_index(docs, path))
 
 
+@query(f"WITH {_STORE}, {vectors_sql('store', 'ord')} SELECT (SELECT count(*) FROM store) AS num_chunks, (SELECT count(*) FROM idf) AS vocab_size")
+def chunk_store_stats(spark, sf_dir):
+    """Of the stored index of chunks, which it builds where there is none yet."""
+    path = _chunk_store(spark, sf_dir)
+    return tfidf.store_stats(spark.read.parquet(f"{path}/chunks"), index.Index(spark, f"{path}/index", "ord").vocab)
+
+
 @query(f"WITH {_STORE}, {hits_sql('store', 'ord')} SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM ranked r JOIN store ON store.ord = r.doc_id WHERE rank <= 5")
 def chunk_search_topk(spark, sf_dir):
     """Over the stored index of chunks, which go by (doc_id, chunk_index)."""
