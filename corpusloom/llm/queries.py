@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, content_sort, grid_join, language_id, mixing, ngram_join, packing, quality, secret_scan, token_rollup
+from . import chunk_dedup, consistent_parsing, content_sort, grid_join, language_id, mixing, ngram_join, packing, periodic_runs, quality, secret_scan, token_alignment, token_rollup
 from .scratch import fresh_path, materialise
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -85,7 +85,34 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality, op3_exact_dedup, op4_ngram_join, op5_mixing, op6_packing, op7_token_rollup, op8_grid_join, op9_chunk_dedup, op10_language_id)}
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consistent_parsing.compare_with_next(_read(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_alignment.align(_read(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+    aligned = aligned.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+    out = token_alignment.alignment_counts(materialise(aligned, "aligned"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_runs.repeated(_read(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    out = found.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"), F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_quality, op3_exact_dedup, op4_ngram_join, op5_mixing, op6_packing, op7_token_rollup, op8_grid_join, op9_chunk_dedup, op10_language_id,
+        op11_fingerprints, op12_token_alignment, op13_periodic_runs,
+    )
+}
 
 # the text as compared: null as empty, A-Z alone in lower case
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

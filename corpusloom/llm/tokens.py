@@ -129,6 +129,8 @@ class Encoder:
     Ids are those of tokenizers.Tokenizer.from_file(path) without added special tokens.
     """
 
+    cuts = staticmethod(_pieces)
+
     def __init__(self, path: str):
         import json
 
@@ -166,8 +168,11 @@ class Encoder:
             self.power, self.inverse = np.cumprod(p), np.cumprod(q)
         return self.power, self.inverse
 
+    def merged(self, texts: list[str]) -> list[list[int]]:
+        return [self.merge(t) for t in texts]
+
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        encoded = [self.merge(t) for t in texts]
+        encoded = self.merged(texts)
         length = np.fromiter(map(len, encoded), np.int32, len(encoded))
         n, total = len(self.table.known), int(length.sum())
         self.at, self.length = _grown(self.at, n, len(encoded)), _grown(self.length, n, len(encoded))
@@ -178,13 +183,14 @@ class Encoder:
         self.used += total
         self.table.add(hashes)
 
-    def _slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the texts, cut into pieces, and offsets."""
         joined = "".join(texts)
         cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         rows = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         if not len(cp):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        starts = _pieces(cp, rows)
+        starts = self.cuts(cp, rows)
         ends = np.append(starts[1:], len(cp))
         power, inverse = self._powers(len(cp) + 1)
         total = np.zeros(len(cp) + 1, np.uint64)
@@ -215,7 +221,7 @@ class Encoder:
                 end += 1
             part = ["" if t is None else t for t in column.slice(row, end - row).to_pylist()]
             odd = [k for k, t in enumerate(part) if any(s in t for s in self.special)]
-            flat, offsets = self._slice(["" if k in odd else t for k, t in enumerate(part)] if odd else part)
+            flat, offsets = self.encode(["" if k in odd else t for k, t in enumerate(part)] if odd else part)
             if odd:
                 each = np.split(flat, offsets[1:-1])
                 for k in odd:
