@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import UPLOAD_TYPES, extension, trim_all
+from corpusloom.sources.shared import materialise
 
 MAX_FILE, MAX_TOTAL, MIN_TEXT = 25 * 1024 * 1024, 500 * 1024 * 1024, 20
 TERMINAL = ("completed", "failed")
@@ -26,23 +27,65 @@ def upload_error(name: Column, mime: Column, size: Column) -> Column:
     )
 
 
-def quota_check(uploads: DataFrame, used: int = 0, limit: int = MAX_TOTAL) -> DataFrame:
-    """batch_id, pos, size, accepted: in order of pos a file counts only if it fits.
+#: Files of a batch that one task folds in order; larger batches are brought below it in rounds.
+FOLD = 10_000
 
-    Whether a file fits depends on which before it did, so each batch (a request's files) is folded
-    in order; null sizes count as 0."""
+
+def quota_check(uploads: DataFrame, used: int | DataFrame = 0, limit: int = MAX_TOTAL, fold: int = FOLD) -> DataFrame:
+    """batch_id, pos, size, accepted: in order of pos, which tells a batch's files apart, a file counts only if it fits.
+
+    used: what is taken before, one number or (batch_id, used) rows; null sizes count as 0.  Whether a file fits
+    depends on which before it did, so a batch of at most fold files is folded by one task.  Of a larger
+    one each round takes the longest beginning that fits, by sums over ranges of its files, and
+    refuses those that are larger than what is left then: the next file among them at least."""
+    spark, kind = uploads.sparkSession, dict(uploads.dtypes)["batch_id"]
+    rows = uploads.select("batch_id", F.col("pos").cast("long").alias("pos"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"))
+    room = F.lit(limit) - (F.lit(used) if isinstance(used, int) else F.coalesce("used", F.lit(0)))
+    sums = rows.groupBy("batch_id").agg(F.count("*").alias("files"))
+    sums = (sums if isinstance(used, int) else sums.join(used, "batch_id", "left")).select("batch_id", "files", room.cast("long").alias("room"))
+    batches, ranges = materialise(sums, "batches"), None
+    decided: list[DataFrame] = []
+    open_ = rows.join(batches.select("batch_id", "room"), "batch_id")
+    while batches.where(F.col("files") > fold).limit(1).count():
+        if ranges is None:  # a batch's files in order, cut to ranges that no task has to see together
+            large = open_.join(batches.where(F.col("files") > fold).select("batch_id"), "batch_id", "left_semi")
+            ranges = materialise(large.repartitionByRange("batch_id", "pos").withColumn("_range", F.spark_partition_id()), "ranges")
+            open_ = open_.join(batches.where(F.col("files") > fold).select("batch_id"), "batch_id", "left_anti")
+            decided.append(_folded(open_, kind))
+        by_range = ranges.groupBy("batch_id", "_range").agg(F.sum("size").alias("sum"))
+        before = by_range.withColumn("before", F.coalesce(F.sum("sum").over(W.partitionBy("batch_id").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("sum")
+        running = F.col("before") + F.sum("size").over(W.partitionBy("batch_id", "_range").orderBy("pos"))
+        placed = materialise(ranges.join(before, ["batch_id", "_range"]).withColumn("sum", running).drop("before"), "placed")
+        stop = placed.where("sum > room").groupBy("batch_id").agg(F.min("pos").alias("stop"))
+        placed = placed.join(stop, "batch_id", "left")
+        fits = F.col("stop").isNull() | (F.col("pos") < F.col("stop"))
+        taken = placed.where(fits).groupBy("batch_id").agg(F.sum("size").alias("taken"))
+        placed = placed.join(taken, "batch_id", "left").withColumn("room", F.col("room") - F.coalesce("taken", F.lit(0)))
+        judged = placed.select("batch_id", "pos", "size", "room", "_range", F.when(fits, True).when(F.col("size") > F.col("room"), False).alias("accepted"))
+        judged = materialise(judged, "judged")
+        decided.append(judged.where("accepted IS NOT NULL").select("batch_id", "pos", "size", "accepted"))
+        ranges = judged.where("accepted IS NULL").drop("accepted")
+        batches = ranges.groupBy("batch_id").agg(F.count("*").alias("files"))
+        open_ = ranges.drop("_range")
+    decided.append(_folded(open_, kind))
+    out = decided[0]
+    for d in decided[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def _folded(rows: DataFrame, kind: str) -> DataFrame:
+    """batch_id, pos, size, accepted of (batch_id, pos, size, room), each batch in one task."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable")
-        total, fits = used, []
+        left, fits = int(pdf["room"].iloc[0]), []
         for size in pdf["size"].tolist():
-            fits.append(total + size <= limit)
-            total += size if fits[-1] else 0
-        return pdf.assign(accepted=fits)
+            fits.append(size <= left)
+            left -= size if fits[-1] else 0
+        return pdf.drop(columns="room").assign(accepted=fits)
 
-    kind = dict(uploads.dtypes)["batch_id"]
-    rows = uploads.select("batch_id", F.col("pos").cast("long").alias("pos"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"))
-    return rows.groupBy("batch_id").applyInPandas(fold, f"batch_id {kind}, pos long, size long, accepted boolean")
+    return rows.select("batch_id", "pos", "size", "room").groupBy("batch_id").applyInPandas(fold, f"batch_id {kind}, pos long, size long, accepted boolean")
 
 
 def duplicates(uploads: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -58,6 +101,30 @@ def fresh(uploads: DataFrame, manifest: DataFrame) -> DataFrame:
     return left.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
+def judged_uploads(uploads: DataFrame, known: DataFrame, used: DataFrame, limit: int = MAX_TOTAL) -> DataFrame:
+    """id, code, message, existing_id of uploads (id, owner, hash, original_filename, mime_type, size, good; materialised), as
+    one file after the other in order of id would be judged, each owner's files among themselves.
+
+    known: (owner, hash, old) of completed files; used: (batch_id, used), what owners have taken.  good: the
+    file would be completed once accepted.  A file that equals a completed one, or one accepted before it that is good, is 409; one
+    that fails a rule is 400, one that doesn't fit the quota too; others are 201.  A copy of a refused file is
+    judged for itself.  (Equal files have equal sizes, so that a copy of one that did not fit doesn't fit either: the
+    first of a hash decides, and only firsts go through the quota.)"""
+    err = upload_error(F.col("original_filename"), F.col("mime_type"), F.col("size"))
+    rows = uploads.select("id", "owner", "hash", "size", "good", err.alias("error")).join(known, ["owner", "hash"], "left")
+    able = F.col("error").isNull() & F.col("old").isNull()
+    firsts = rows.where(able & F.col("good")).groupBy("owner", "hash").agg(F.min("id").alias("first"))
+    rows = rows.join(firsts, ["owner", "hash"], "left")
+    asks = rows.where(able & (~F.col("good") | (F.col("id") == F.col("first"))))
+    fits = materialise(quota_check(asks.select(F.col("owner").alias("batch_id"), F.col("id").alias("pos"), "size"), used, limit).select(F.col("pos").alias("id"), "accepted"), "fits")
+    rows = rows.join(fits, "id", "left").join(fits.select(F.col("id").alias("first"), F.col("accepted").alias("came_in")), "first", "left")
+    copy = F.coalesce(F.col("came_in") & (F.col("id") > F.col("first")), F.lit(False))
+    existing = F.coalesce("old", F.when(copy, F.col("first")))
+    message = F.when(existing.isNotNull(), "duplicate").otherwise(F.coalesce("error", F.when(~F.coalesce("accepted", F.lit(False)), "quota")))
+    code = F.when(existing.isNotNull(), 409).when(message.isNotNull(), 400).otherwise(201)
+    return rows.select("id", code.alias("code"), message.alias("message"), existing.alias("existing_id"))
+
+
 def ingest_results(uploads: DataFrame, manifest: DataFrame, used: int = 0, limit: int = MAX_TOTAL) -> DataFrame:
     """uploads (batch_id, pos, id, hash, original_filename, mime_type, size, ...) with code, message, existing_id.
 

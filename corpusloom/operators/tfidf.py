@@ -5,7 +5,7 @@ Counts are stored, weights derived: adding or removing texts changes every weigh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,7 +29,11 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 def inverse_frequency(df: DataFrame, texts: DataFrame) -> DataFrame:
     """term, df, idf with idf = ln((1 + N) / (1 + df)) + 1; N, one number, is broadcast."""
     total = texts.agg(F.count("*").alias("total"))
-    return df.crossJoin(F.broadcast(total)).select("term", "df", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return df.crossJoin(F.broadcast(total)).select("term", "df", idf_of(F.col("total"), F.col("df")).alias("idf"))
+
+
+def idf_of(total: Column, df: Column) -> Column:
+    return F.log((1 + total) / (1 + df)) + 1
 
 
 def vocabulary_index(df: DataFrame) -> DataFrame:
@@ -38,7 +42,7 @@ def vocabulary_index(df: DataFrame) -> DataFrame:
 
 
 def weights(counts: DataFrame, idf: DataFrame, key: str = "doc_id", keep: tuple = ()) -> DataFrame:
-    """key, term, the columns of keep, weight: tf by idf, of unit length; terms outside idf are dropped.
+    """key, term, the columns of keep (of counts or idf), weight: tf by idf, of unit length; terms outside idf are dropped.
 
     (The share of a term in its text, tf over all, differs from tf by a factor that the length
     takes out again.)"""

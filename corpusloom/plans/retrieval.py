@@ -23,7 +23,7 @@ class _Index:
         self.docs = table(spark, sf_dir, "documents")
         self.questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
         self.index = index.Index(spark, stored(spark, sf_dir, ("documents",), "index", lambda path: index.build(self.docs, path)))
-        self.vocab, self.postings = self.index.vocab, self.index.postings
+        self.vocab = self.index.vocab
         self._asked: DataFrame | None = None
 
     @property
@@ -33,7 +33,7 @@ class _Index:
         return self._asked
 
     def pool(self, k: int) -> DataFrame:
-        padded = search.pad_with_zeros(search.scores(self.asked, self.postings), self.asked, self.docs, k)
+        padded = search.pad_with_zeros(self.index.search(self.asked, k), self.asked, self.docs, k)
         return search.top_k(padded, k)
 
 
@@ -66,7 +66,7 @@ def store_stats(spark, sf_dir):
 
 @query(f"WITH {VECTORS} SELECT doc_id, term, round(weight, 8) AS weight FROM w")
 def tfidf_weights(spark, sf_dir):
-    return _Index(spark, sf_dir).postings.select("doc_id", "term", F.round("weight", 8).alias("weight"))
+    return _Index(spark, sf_dir).index.weights().select("doc_id", "term", F.round("weight", 8).alias("weight"))
 
 
 @query(f"WITH {HITS} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM ranked WHERE rank <= 5")
@@ -117,7 +117,7 @@ def _mmr_sql(pool: str, lam: float, name: str = "doc_id") -> str:
 def _mmr(spark, sf_dir, lam):
     i = _Index(spark, sf_dir)
     pool = materialise(i.pool(search.K * search.POOL), "pool")
-    out = search.mmr(pool, search.pool_similarity(pool, i.postings), lam=lam)
+    out = search.mmr(pool, search.pool_similarity(pool, i.index.weights(pool.select(F.col("doc_id").alias("key")))), lam=lam)
     return out.select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -187,7 +187,7 @@ _STORE = f"{TITLED}, {chunks_sql('titled')}, store AS (SELECT row_number() OVER
 
 def _chunk_store(spark, sf_dir) -> str:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
-    return stored(spark, sf_dir, ("documents",), "chunk-index", lambda path: corpus.build_index(docs, path))
+    return stored(spark, sf_dir, ("documents",), "chunk-index", lambda path: corpus.build_index(docs, path, "doc_id"))
 
 
 @query(f"WITH {_STORE}, {vectors_sql('store', 'ord')} SELECT (SELECT count(*) FROM store) AS num_chunks, (SELECT count(*) FROM idf) AS vocab_size")
@@ -200,12 +200,33 @@ def chunk_store_stats(spark, sf_dir):
 @query(f"WITH {_STORE}, {hits_sql('store', 'ord')} SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM ranked r JOIN store ON store.ord = r.doc_id WHERE rank <= 5")
 def chunk_search_topk(spark, sf_dir):
     """Over the stored index of chunks, which go by (doc_id, chunk_index)."""
+    return _chunk_pool(spark, sf_dir, 5)[0].select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
+
+
+def _chunk_pool(spark, sf_dir, k) -> tuple[DataFrame, index.Index]:
+    """query_id, ord, chunk_id, score, rank of the first k chunks of each question; and their index."""
     path = _chunk_store(spark, sf_dir)
     chunks, store = spark.read.parquet(f"{path}/chunks"), index.Index(spark, f"{path}/index", "ord")
     asked = store.weights_of(_Index(spark, sf_dir).questions)
-    padded = search.pad_with_zeros(search.scores(asked, store.postings, "ord"), asked, chunks, 5, "ord")
-    hits = F.broadcast(search.top_k(padded, 5, "ord"))  # five per question
-    return chunks.select("ord", "chunk_id").join(hits, "ord").select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
+    padded = search.pad_with_zeros(store.search(asked, k), asked, chunks, k, "ord")
+    hits = materialise(search.top_k(padded, k, "ord"), "hits")
+    return chunks.select("ord", "chunk_id").join(bounded_broadcast(hits), "ord"), store
+
+
+_CHUNK_POOL = f"""{_STORE}, {hits_sql('store', 'ord')},
+    pool AS (SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 20),
+    pw AS (SELECT p.query_id, p.rank, w.term, w.weight FROM pool p JOIN w ON w.doc_id = p.doc_id),
+    sim AS (SELECT a.query_id, a.rank AS a, b.rank AS b, round(sum(a.weight * b.weight), 9) AS sim FROM pw a JOIN pw b ON a.query_id = b.query_id AND a.term = b.term AND a.rank <> b.rank GROUP BY ALL)"""
+
+
+@query(f"SELECT query_id, chunk_id, score, rank FROM ({_mmr_sql(_CHUNK_POOL, 0.7, 'ord')}) x JOIN (WITH {_STORE} SELECT ord, chunk_id FROM store) s ON s.ord = x.ord")
+def chunk_mmr_top5(spark, sf_dir):
+    """Diversified choice among each question's 20 best chunks."""
+    found, store = _chunk_pool(spark, sf_dir, search.K * search.POOL)
+    pool = materialise(found, "pool")
+    near = search.pool_similarity(pool, store.weights(pool.select(F.col("ord").alias("key"))), "ord")
+    out = search.mmr(pool, near, key="ord").join(bounded_broadcast(pool.select("ord", "chunk_id").distinct()), "ord")
+    return out.select("query_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 # judgments by a formula: some are missing, some repeat, and every fourth question's judge failed
@@ -314,7 +335,7 @@ def _holders(i: _Index) -> DataFrame:
     t = X.words(F.col("question"))
     inner = i.questions.select("query_id", "question", F.explode(F.slice(t, F.lit(2), F.greatest(F.size(t) - 2, F.lit(0)))).alias("term"))
     rarest = inner.join(i.vocab.select("term", "df"), "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    found = i.postings.select("doc_id", "term").join(bounded_broadcast(materialise(rarest, "rarest")), "term").select("query_id", "doc_id")
+    found = i.index.having(materialise(rarest, "rarest"))
     texts = found.join(i.docs.select("doc_id", "text"), "doc_id").join(i.questions, "query_id")
     return texts.where(F.col("text").contains(F.col("question"))).select("query_id", "doc_id")
 

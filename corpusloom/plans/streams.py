@@ -1,42 +1,47 @@
-"""Queries of streaming ingestion: the documents as uploads, in one stream, then some deleted."""
+"""Queries of streaming ingestion: the documents as uploads, in a stream of several arrivals, then some deleted."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.plans.registry import chunks_sql, query, stored, table, tokens_sql
+from corpusloom.plans.registry import chunks_sql, hits_sql, query, stored, table, tokens_sql
+from corpusloom.sources import corpus
 from corpusloom.sources.shared import fresh_path
 from corpusloom.streaming import ingest as stream
 
-LIMIT = 1_500_000
+#: An owner's quota in bytes, of some 250,000 that its hundred files have on average; what comes in at once.
+LIMIT, ARRIVALS = 300_000, 4
 
 _STREAMED = f"""
-    u AS (SELECT doc_id AS id, doc_id % 6 AS k, 'f' || doc_id || CASE doc_id % 6 WHEN 0 THEN '.exe' WHEN 1 THEN '.md' ELSE '.TXT' END AS title, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS text,
-          sha256(coalesce(text, '')) AS hash, CASE WHEN doc_id % 6 = 3 THEN 0 WHEN doc_id % 6 = 4 THEN n_chars * 1000 ELSE n_chars END AS size FROM documents),
-    rules AS (SELECT *, CASE WHEN k = 0 THEN 'extension' WHEN k = 2 THEN 'mime' WHEN k = 1 THEN 'mismatch' WHEN size = 0 THEN 'empty' WHEN size > 26214400 THEN 'too_large' END AS error FROM u),
-    firsts AS (SELECT *, CASE WHEN error IS NULL AND length(text) >= 20 THEN min(id) FILTER (error IS NULL AND length(text) >= 20) OVER (PARTITION BY hash) END AS first FROM rules),
-    queue AS (SELECT list({{'id': id, 'size': size}} ORDER BY id) AS q FROM firsts WHERE error IS NULL AND (first IS NULL OR first = id)),
+    u AS (SELECT doc_id AS id, doc_id // 100 AS owner, doc_id % 20 AS k, 'f' || doc_id || CASE doc_id % 20 WHEN 0 THEN '.exe' WHEN 1 THEN '.md' ELSE '.TXT' END AS title, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS text,
+          sha256(coalesce(text, '')) AS hash, CASE WHEN doc_id % 20 = 3 THEN 0 ELSE strlen(coalesce(text, '')) END AS size FROM documents),
+    rules AS (SELECT *, length(text) >= 20 AS good, CASE WHEN k = 0 THEN 'extension' WHEN k = 2 THEN 'mime' WHEN k = 1 THEN 'mismatch' WHEN size = 0 THEN 'empty' WHEN size > 26214400 THEN 'too_large' END AS error FROM u),
+    firsts AS (SELECT *, min(id) FILTER (error IS NULL AND good) OVER (PARTITION BY owner, hash) AS first FROM rules),
+    queue AS (SELECT owner, list({{'id': id, 'size': size}} ORDER BY id) AS q FROM firsts WHERE error IS NULL AND (NOT good OR first = id) GROUP BY 1),
     quota AS (SELECT list_reduce(q, lambda a, x: CASE WHEN a.size + x.size <= {LIMIT} THEN {{'id': 0::BIGINT, 'size': a.size + x.size, 'ok': list_append(a.ok, x.id)}} ELSE a END, {{'id': 0::BIGINT, 'size': 0::BIGINT, 'ok': []::BIGINT[]}}).ok AS ok FROM queue),
     fits AS (SELECT unnest(ok) AS id FROM quota),
-    results AS (SELECT f.id, f.title, f.text, CASE WHEN first <> f.id THEN 409 WHEN error IS NOT NULL OR fits.id IS NULL THEN 400 ELSE 201 END AS code,
-        CASE WHEN first <> f.id THEN 'duplicate' WHEN error IS NOT NULL THEN error WHEN fits.id IS NULL THEN 'quota' END AS message, CASE WHEN first <> f.id THEN first END AS existing_id FROM firsts f LEFT JOIN fits ON fits.id = f.id),
+    judged AS (SELECT f.*, own.id IS NOT NULL AS accepted, came.id IS NOT NULL AND f.id > f.first AS copy FROM firsts f LEFT JOIN fits own ON own.id = f.id LEFT JOIN fits came ON came.id = f.first),
+    results AS (SELECT id, title, text, CASE WHEN copy THEN 409 WHEN error IS NOT NULL OR NOT accepted THEN 400 ELSE 201 END AS code,
+        CASE WHEN copy THEN 'duplicate' WHEN error IS NOT NULL THEN error WHEN NOT accepted THEN 'quota' END AS message, CASE WHEN copy THEN first END AS existing_id FROM judged),
     kept AS (SELECT * FROM results WHERE code = 201 AND length(text) >= 20 AND id % 10 <> 5)"""
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> str:
-    """State after all documents came as uploads and every tenth was deleted."""
+    """State after all documents came as uploads, in ARRIVALS parts, and every tenth was deleted."""
 
     def make(path: str) -> None:
-        schema = table(spark, sf_dir, "documents").schema
-        # a pattern, as a stream's path may not be a single file
-        k = F.col("doc_id") % 6
-        uploads = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]").select(
-            F.col("doc_id").alias("id"), "text", F.concat(F.lit("f"), "doc_id", F.when(k == 0, ".exe").when(k == 1, ".md").otherwise(".TXT")).alias("original_filename"),
-            F.when(k == 2, "image/png").otherwise("text/plain").alias("mime_type"), F.when(k == 3, 0).otherwise(F.col("n_chars") * F.when(k == 4, 1000).otherwise(1)).alias("size"),
+        docs, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 20
+        uploads = docs.select(
+            F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 100).alias("owner"), "text", F.concat(F.lit("f"), "doc_id", F.when(k == 0, ".exe").when(k == 1, ".md").otherwise(".TXT")).alias("original_filename"),
+            F.when(k == 2, "image/png").otherwise("text/plain").alias("mime_type"), F.when(k == 3, 0).otherwise(F.octet_length(F.coalesce("text", F.lit("")))).cast("long").alias("size"),
         )
-        stream.start_ingest(uploads, f"{path}/state", f"{path}/checkpoint", LIMIT).awaitTermination()
-        stream.delete(spark, f"{path}/state", table(spark, sf_dir, "documents").where("doc_id % 10 = 5").select(F.col("doc_id").alias("id")), 1)
+        last = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0] + 1
+        for part in range(ARRIVALS):
+            uploads.where((F.col("id") * ARRIVALS >= part * last) & (F.col("id") * ARRIVALS < (part + 1) * last)).write.parquet(f"{path}/uploads/part-{part}")
+            source = spark.readStream.schema(uploads.schema).parquet(f"{path}/uploads/part-*")
+            stream.start_ingest(source, f"{path}/state", f"{path}/checkpoint", LIMIT).awaitTermination()
+        stream.delete(spark, f"{path}/state", docs.where("doc_id % 10 = 5").select(F.col("doc_id").alias("id")), 1)
 
     return f"{stored(spark, sf_dir, ('documents',), 'stream', make)}/state"
 
@@ -74,4 +79,14 @@ def stream_chunks(spark, sf_dir):
     SELECT term, count(*) AS df, round(ln((1 + (SELECT count(*) FROM ck)) / (1 + count(*))) + 1, 9) AS idf FROM tok GROUP BY 1""")
 def stream_df_delta(spark, sf_dir):
     """Sums of signed deltas: what a rebuild over the chunks that are there would count."""
-    return stream.vocabulary(spark, _streamed(spark, sf_dir)).select("term", "df", F.round("idf", 9).alias("idf"))
+    return stream.chunk_index(spark, _streamed(spark, sf_dir)).vocab.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+_STORE = f"{_CHUNKED}, store AS (SELECT doc_id * {corpus.CHUNKS} + k AS ord, doc_id || '#chunk-' || k AS chunk_id, content AS text FROM ck)"
+
+
+@query(f"WITH {_STORE}, {hits_sql('store', 'ord')} SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM ranked r JOIN store ON store.ord = r.doc_id WHERE rank <= 5")
+def stream_search_topk(spark, sf_dir):
+    """Over the index as the stream and the deletion left it: a segment for each part that came, and the dead."""
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return stream.search(spark, _streamed(spark, sf_dir), questions).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")

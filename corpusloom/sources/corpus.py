@@ -84,9 +84,17 @@ def read_runs(spark: SparkSession, path: str, per_line: bool = False) -> DataFra
     return spark.read.option("multiLine", True).json(path).withColumn("run_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1))
 
 
-def build_index(docs: DataFrame, path: str) -> index.Index:
-    """Chunks of titled texts (doc_id, title, content) under path/chunks, in store order by ord, and
-    their index (see operators.index), keyed by ord."""
-    chunks = numbered(chunking.chunk_documents(docs, enrich=True), [F.col("doc_id"), F.col("chunk_index")], "ord")
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+#: A chunk's place in the store: its document's number times this, and its own number.
+CHUNKS = 1 << 20
+
+
+def build_index(docs: DataFrame, path: str, order: str = "doc_ord") -> index.Index:
+    """Chunks of titled texts (doc_id, title, content and order, a long that numbers the documents) under
+    path/chunks, with ord, their place in store order, and their index (see operators.index), keyed by it."""
+    chunks = chunking.chunk_documents(docs, enrich=True)
+    if order == "doc_id":
+        chunks = chunks.withColumn("_order", F.col("doc_id"))
+    else:
+        chunks = chunks.join(docs.select("doc_id", F.col(order).alias("_order")), "doc_id")
+    chunks.withColumn("ord", F.col("_order") * CHUNKS + F.col("chunk_index")).drop("_order").write.mode("overwrite").parquet(f"{path}/chunks")
     return index.build(docs.sparkSession.read.parquet(f"{path}/chunks"), f"{path}/index", "ord", "content")

@@ -65,7 +65,8 @@ def materialise(df: DataFrame, name: str, rows: int | None = None, work: int | N
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it, if it is there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -75,7 +76,7 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
         for spark, path in [w for w in _written if any(f.endswith(w[1].split(":", 1)[-1].lstrip("/")) for f in folders)]:
-            _delete(spark, path)
+            remove(spark, path)
             _written.remove((spark, path))
 
 
@@ -83,7 +84,7 @@ def _clear() -> None:
     """What a driver wrote goes when it ends; a stopped session leaves its tables to the folder's owner."""
     for spark, path in _written:
         try:
-            _delete(spark, path)
+            remove(spark, path)
         except Exception:  # noqa: BLE001 - the session has gone
             return
 

@@ -1,9 +1,10 @@
 """Incremental ingestion with Structured Streaming.
 
 State is a folder of tables, each with a folder per batch (a micro-batch or a deletion): results (one
-row per upload), documents, chunks, df_deltas (signed, per term and chunk) and events (the documents'
-lifecycle).  Events are written last: a batch without them doesn't count, and one that is tried
-again replaces its files, so that each counts once.
+row per upload), documents, chunks and events (the documents' lifecycle); and the index of the chunks
+(see operators.index), to which each batch adds a segment of its own.  Events are written last: a batch
+without them doesn't count, and one that is tried again replaces its files, or finds that the index
+has it, so that each counts once.
 """
 
 from __future__ import annotations
@@ -17,18 +18,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.functions.text import trim_all
-from corpusloom.operators import chunking, ingest, tfidf
-from corpusloom.sources.shared import small_table
+from corpusloom.operators import chunking, index, ingest
+from corpusloom.operators import search as similar
+from corpusloom.sources import corpus
+from corpusloom.sources.shared import bounded_broadcast, materialise, small_table
 
 TABLES = {
-    "results": "id long, hash string, size long, code int, message string, existing_id long, b string",
-    "documents": "id long, hash string, size long, title string, text string, b string",
-    "chunks": "id long, chunk_id string, chunk_index int, content string, b string",
-    "df_deltas": "term string, delta long, chunks long, b string",
+    "results": "id long, owner long, hash string, size long, code int, message string, existing_id long, b string",
+    "documents": "id long, owner long, hash string, size long, title string, text string, b string",
+    "chunks": "id long, ord long, chunk_id string, chunk_index int, content string, b string",
     "events": "id long, seq long, status string, message string, b string",
 }
 #: Events of one batch have numbers from its own times STEPS on.
 STEPS = 16
+#: Segments of the index that a search may find; more are made one.
+SEGMENTS = 8
 STAGES = ("queued", "extracting", "chunking", "embedding", "completed")
 
 
@@ -64,86 +68,76 @@ def current(spark: SparkSession, state: str, leave_out: str = "") -> DataFrame:
 
 
 def documents(spark: SparkSession, state: str, leave_out: str = "") -> DataFrame:
-    """id, hash, size, title, text of the documents that are there."""
+    """id, owner, hash, size, title, text of the documents that are there."""
     there = current(spark, state, leave_out).where("status = 'completed'").select("id")
     return read_state(spark, state, "documents").where(F.col("b") != leave_out).drop("b").join(there, "id", "left_semi")
 
 
+def chunk_index(spark: SparkSession, state: str) -> index.Index:
+    """The index of the chunks that are there, by ord."""
+    return index.Index(spark, f"{state}/index", "ord")
+
+
 def start_ingest(stream: DataFrame, state: str, checkpoint: str, limit: int = ingest.MAX_TOTAL):
     """Ingests what is there (availableNow) of a stream of uploads (id long, text, original_filename,
-    mime_type, size): each micro-batch is one request, in order of id.
+    mime_type, size, and owner long where there is more than one), in micro-batches as the source bounds them.
 
-    A file that equals a completed document is 409, one that fails a rule or the quota 400, others
-    201.  Of equal accepted files in a batch the first goes on, the rest are 409.  Accepted texts
-    are trimmed, then cut to chunks, whose terms are counted; short ones fail.  A null text is empty."""
+    Files are judged one after the other in order of id (see ingest.judged_uploads): copies after the
+    quota, which each owner has of its own.  Accepted texts are trimmed, then cut to chunks, which the index
+    takes in; short ones fail.  A null text is empty."""
     spark = stream.sparkSession
 
     def run(batch: DataFrame, number: int) -> None:
         name = f"{number}"
-        there = documents(spark, state, name)
-        used = there.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("used")).first()["used"]
+        owner = F.col("owner") if "owner" in batch.columns else F.lit(0)
         text = trim_all(F.coalesce("text", F.lit("")))
-        uploads = batch.withColumn("hash", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("text", text)
-        uploads = uploads.withColumn("batch_id", F.lit(number)).withColumn("pos", F.col("id"))
-        known = there.select("id", "hash", F.lit("completed").alias("processing_status"))
-        # copies within the batch: of valid texts that will not fail, the first
-        valid = ingest.upload_error(F.col("original_filename"), F.col("mime_type"), F.col("size")).isNull() & (F.length("text") >= ingest.MIN_TEXT)
-        firsts = uploads.where(valid).groupBy("hash").agg(F.min("id").alias("first"))
-        marked = uploads.join(firsts, "hash", "left").withColumn("copy", F.coalesce(valid & (F.col("id") > F.col("first")), F.lit(False)))
-        judged = ingest.ingest_results(marked.where("NOT copy").drop("first", "copy"), known, used, limit)
-        copies = marked.where("copy").join(known.groupBy("hash").agg(F.min("id").alias("old")), "hash", "left")
-        copies = copies.withColumn("code", F.lit(409)).withColumn("message", F.lit("duplicate")).withColumn("existing_id", F.coalesce("old", "first"))
-        every = judged.unionByName(copies.select(*judged.columns))
-        kept = ("id", "hash", "size", "code", "message", "existing_id", F.col("original_filename").alias("title"), "text")
-        every = _write(every.select(*kept), state, "results", name)
-        taken = every.where("code = 201")
-        good = _write(taken.where(F.length("text") >= ingest.MIN_TEXT).select("id", "hash", "size", "title", "text"), state, "documents", name)
+        uploads = batch.withColumn("hash", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("text", text).withColumn("owner", owner.cast("long"))
+        uploads = materialise(uploads.withColumn("good", F.length("text") >= ingest.MIN_TEXT), "uploads")
+        there = materialise(documents(spark, state, name).select("id", "owner", "hash", "size"), "there")
+        known = there.groupBy("owner", "hash").agg(F.min("id").alias("old"))
+        used = there.groupBy(F.col("owner").alias("batch_id")).agg(F.sum("size").alias("used"))
+        judged = uploads.join(ingest.judged_uploads(uploads, known, used, limit), "id")
+        every = _write(judged.select("id", "owner", "hash", "size", "code", "message", "existing_id"), state, "results", name)
+        taken = uploads.join(every.where("code = 201").select("id"), "id", "left_semi")
+        good = _write(taken.where("good").select("id", "owner", "hash", "size", F.col("original_filename").alias("title"), "text"), state, "documents", name)
         pieces = chunking.chunk_documents(good.select(F.col("id").alias("doc_id"), "title", F.col("text").alias("content")), enrich=True)
-        pieces = _write(pieces.select(F.col("doc_id").alias("id"), "chunk_id", "chunk_index", "content"), state, "chunks", name)
-        _write(_deltas(pieces, 1), state, "df_deltas", name)
+        ord_ = (F.col("doc_id") * corpus.CHUNKS + F.col("chunk_index")).alias("ord")
+        pieces = _write(pieces.select(F.col("doc_id").alias("id"), ord_, "chunk_id", "chunk_index", "content"), state, "chunks", name)
+        held = chunk_index(spark, state)
+        held.add(pieces, name, "content")
+        if len(held.segments) > SEGMENTS:
+            held.compact(f"compact-{name}")
         # failed documents stop after extracting
         steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).alias("status")) for k, s in enumerate(STAGES)))
         failed = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).alias("status")) for k, s in enumerate((*STAGES[:2], "failed"))))
-        each = taken.select("id", F.explode(F.when(F.length("text") >= ingest.MIN_TEXT, steps).otherwise(failed)).alias("e"))
+        each = taken.select("id", F.explode(F.when(F.col("good"), steps).otherwise(failed)).alias("e"))
         message = F.when(F.col("e.status") == "failed", "too little text")
         _write(each.select("id", (F.lit(number * STEPS) + F.col("e.k")).cast("long").alias("seq"), "e.status", message.alias("message")), state, "events", name)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _deltas(pieces: DataFrame, sign: int) -> DataFrame:
-    """term, delta (chunks that hold it, signed); the row of a null term has the number of chunks."""
-    counted = tfidf.document_frequency(tfidf.term_counts(pieces, "chunk_id", "content"))
-    terms = counted.select("term", (F.col("df") * sign).alias("delta"), F.lit(0).cast("long").alias("chunks"))
-    total = pieces.agg((F.count("*") * sign).alias("chunks")).select(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("delta"), "chunks")
-    return terms.unionByName(total)
-
-
 def delete(spark: SparkSession, state: str, ids: DataFrame, number: int) -> None:
-    """Delete the documents of ids (id): their terms' counts are taken back, then they are marked.
+    """Delete the documents of ids (id): the index loses their chunks, then they are marked.
 
     Unknown ids change nothing.  number tells deletions apart; one that is tried again under its
     number replaces what it wrote."""
     name = f"delete-{number}"
-    gone = current(spark, state, name).join(ids.select("id").distinct(), "id", "left_semi")
+    gone = materialise(current(spark, state, name).join(ids.select("id").distinct(), "id", "left_semi"), "gone")
     done = gone.where("status = 'completed'").select("id")
-    pieces = read_state(spark, state, "chunks").where(F.col("b") != name).join(done, "id", "left_semi")
-    _write(_deltas(pieces, -1), state, "df_deltas", name)
+    pieces = read_state(spark, state, "chunks").join(done, "id", "left_semi")
+    chunk_index(spark, state).delete(pieces.select(F.col("ord").alias("key")), name)
     events = gone.select("id", (F.col("seq") + 1).alias("seq"), F.lit("deleted").alias("status"), F.lit(None).cast("string").alias("message"))
     _write(events, state, "events", name)
 
 
-def frequency(spark: SparkSession, state: str) -> DataFrame:
-    """term, df over the chunks that are there: sums of signed deltas."""
-    deltas = read_state(spark, state, "df_deltas").where("term IS NOT NULL")
-    return deltas.groupBy("term").agg(F.sum("delta").alias("df")).where("df > 0")
-
-
-def vocabulary(spark: SparkSession, state: str) -> DataFrame:
-    """term, df, idf as a rebuild over the chunks that are there would have them."""
-    total = read_state(spark, state, "df_deltas").agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("total"))
-    rows = frequency(spark, state).crossJoin(F.broadcast(total))
-    return rows.select("term", "df", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+def search(spark: SparkSession, state: str, questions: DataFrame, k: int = similar.K) -> DataFrame:
+    """query_id, ord, chunk_id, score, rank: the k best chunks that are there for questions (query_id, question)."""
+    held, chunks = chunk_index(spark, state), read_state(spark, state, "chunks")
+    there = chunks.join(documents(spark, state).select("id"), "id", "left_semi").select("ord", "chunk_id")
+    asked = held.weights_of(questions)
+    hits = materialise(similar.top_k(similar.pad_with_zeros(held.search(asked, k), asked, there, k, "ord"), k, "ord"), "hits")
+    return there.join(bounded_broadcast(hits), "ord")
 
 
 def start_status_counts(spark: SparkSession, state: str, out: str, checkpoint: str):

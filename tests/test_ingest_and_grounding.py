@@ -1,5 +1,6 @@
 import json
 import math
+import random
 import re
 from collections import Counter
 
@@ -82,8 +83,8 @@ def test_index_build(spark, tmp_path):
     built = corpus.build_index(spark.createDataFrame(rows, corpus.DOCUMENT), str(tmp_path / "ix"))
     chunks = {r.ord: r for r in spark.read.parquet(str(tmp_path / "ix/chunks")).collect()}
     n = len(chunking.spans("T\n\n" + "dogs and mice " * 60))
-    assert n > 1 and [chunks[k].chunk_id for k in range(n + 2)] == ["a#chunk-1", *(f"b#chunk-{k}" for k in range(1, n + 1)), "c#chunk-1"] and len(chunks) == n + 2
-    got = {(r.ord, r.term): (r.tf, round(r.weight, 9)) for r in built.postings.collect()}
+    assert n > 1 and [chunks[k].chunk_id for k in sorted(chunks)] == ["a#chunk-1", *(f"b#chunk-{k}" for k in range(1, n + 1)), "c#chunk-1"] and len(chunks) == n + 2
+    got = {(r.ord, r.term): (r.tf, round(r.weight, 9)) for r in built.weights().collect()}
     counts = {k: Counter(w for w in re.findall("[a-z0-9]{2,}", c.content.lower()) if w != "and") for k, c in chunks.items()}
     df = Counter(t for c in counts.values() for t in c)
     idf = {t: math.log((1 + len(chunks)) / (1 + n)) + 1 for t, n in df.items()}
@@ -91,7 +92,7 @@ def test_index_build(spark, tmp_path):
     assert got == {(k, t): (n, round(n * idf[t] / norm[k], 9)) for k, c in counts.items() for t, n in c.items()}
     assert built.stats.first().total == len(chunks) and {r.term: r.df for r in built.vocab.collect()} == df
     # rebuilt in place
-    assert {r.term for r in corpus.build_index(spark.createDataFrame(rows[1:2], corpus.DOCUMENT), str(tmp_path / "ix")).postings.collect()} == {"cats", "dogs"}
+    assert {r.term for r in corpus.build_index(spark.createDataFrame(rows[1:2], corpus.DOCUMENT), str(tmp_path / "ix")).weights().collect()} == {"cats", "dogs"}
 
 
 def test_corpus_tables(spark, tmp_path):
@@ -154,13 +155,13 @@ def test_stream_equals_batches_and_deletion_a_rebuild(spark, tmp_path, streamed)
     streamed("b", (7, one, "g.txt"), (8, two, "h.txt"), (9, three, "i.txt"), (10, "x" * 180, "j.txt"))
     want |= {7: (409, "duplicate", 1), 8: (201, None, None), 9: (201, None, None), 10: (400, "quota", None)}
     assert codes() == want
-    terms = lambda: {r.term: r.df for r in stream.frequency(spark, state).collect()}
+    terms = lambda: {r.term: r.df for r in stream.chunk_index(spark, state).vocab.collect()}
     plain = lambda *texts: Counter(w for t in texts for w in {w for w in re.findall("[a-z0-9]{2,}", t) if w not in STOPWORDS})
     assert terms() == plain("a txt " + one, "h txt " + two, "i txt " + three)
     for _ in range(2):  # a retry of the deletion changes nothing
         stream.delete(spark, state, spark.createDataFrame([(8,), (5,), (77,)], "id long"), 1)
     assert {r.id for r in stream.documents(spark, state).collect()} == {1, 9} and terms() == plain("a txt " + one, "i txt " + three)
-    rebuilt = {r.term: round(r.idf, 9) for r in stream.vocabulary(spark, state).collect()}
+    rebuilt = {r.term: round(r.idf, 9) for r in stream.chunk_index(spark, state).vocab.collect()}
     assert rebuilt == {t: round(math.log(3 / (1 + n)) + 1, 9) for t, n in terms().items()}
     # what was deleted may come again
     streamed("c", (11, two, "k.txt"))
@@ -181,5 +182,59 @@ def test_status_stream_follows_changes(spark, tmp_path, streamed):
 
 def test_a_batch_without_its_events_does_not_count(spark, tmp_path, streamed):
     state = streamed("a", (1, "one fish swims in the sea", "a.txt"))
-    stream._write(spark.createDataFrame([("ghost", 5, 1)], "term string, delta long, chunks long"), state, "df_deltas", "delete-9")
-    assert "ghost" not in {r.term for r in stream.frequency(spark, state).collect()}
+    ghost = spark.createDataFrame([(9, 0, "h", 5, "g.txt", "ghost text that nobody accepted")], "id long, owner long, hash string, size long, title string, text string")
+    stream._write(ghost, state, "documents", "7")
+    assert {r.id for r in stream.documents(spark, state).collect()} == {1}
+
+
+def test_copies_of_a_refused_file_are_refused_for_themselves(spark, tmp_path, streamed):
+    big = "a text that is longer than what is left of the quota " * 3
+    state = streamed("a", (1, "one fish swims in the sea " * 2, "a.txt"), (2, big, "b.txt"), (3, big, "c.txt"), (4, "one fish swims in the sea " * 2, "d.exe"), (5, "short", "e.txt"), (6, "short", "f.txt"))
+    got = {r.id: (r.code, r.message, r.existing_id) for r in stream.read_state(spark, state, "results").collect()}
+    assert got == {1: (201, None, None), 2: (400, "quota", None), 3: (400, "quota", None), 4: (409, "duplicate", 1), 5: (201, None, None), 6: (201, None, None)}
+
+
+def judged_in_order(files, limit):
+    """One file after the other, as a request is worked off."""
+    used, held, out = {}, {}, {}
+    for i, owner, h, name, size, good in sorted(files):
+        if (owner, h) in held:
+            out[i] = (409, "duplicate", held[owner, h])
+        elif name.endswith(".exe"):
+            out[i] = (400, "extension", None)
+        elif used.get(owner, 0) + size > limit:
+            out[i] = (400, "quota", None)
+        else:
+            out[i] = (201, None, None)
+            used[owner] = used.get(owner, 0) + size
+            if good:
+                held[owner, h] = i
+    return out
+
+
+def test_uploads_are_judged_as_one_after_the_other(spark):
+    rng = random.Random(12)
+    contents = {h: (rng.choice([3, 10, 40, 90]), rng.random() < 0.8) for h in "abcdefghijklmnop"}
+    files = [(i, rng.randint(0, 3), h := rng.choice("abcdefghijklmnop"), rng.choice(["x.txt", "x.txt", "y.exe"]), *contents[h]) for i in range(600)]
+    rows = spark.createDataFrame(files, "id long, owner long, hash string, original_filename string, size long, good boolean").withColumn("mime_type", F.lit("text/plain"))
+    known = spark.createDataFrame([], "owner long, hash string, old long")
+    got = ingest.judged_uploads(rows, known, spark.createDataFrame([], "batch_id long, used long"), 250).collect()
+    assert {r.id: (r.code, r.message, r.existing_id) for r in got} == judged_in_order(files, 250)
+
+
+def test_quota_in_rounds_equals_the_fold(spark):
+    rng = random.Random(5)
+    rows = [(b, i, rng.choice([1, 5, 20, 100, 400, None])) for b in range(4) for i in range((900, 40, 300, 3)[b])]
+    limits = {0: 0, 1: 350, 2: 990}
+    want = {}
+    for b in range(4):
+        left = 1000 - limits.get(b, 0)
+        for _, i, size in sorted(r for r in rows if r[0] == b):
+            want[b, i] = (size or 0) <= left
+            left -= (size or 0) if want[b, i] else 0
+    uploads = spark.createDataFrame(rows, "batch_id long, pos long, size long").repartition(5)
+    used = spark.createDataFrame(list(limits.items()), "batch_id long, used long")
+    for fold in (10_000, 50, 5):
+        got = ingest.quota_check(uploads, used, 1000, fold).collect()
+        assert len(got) == len(rows) and {(r.batch_id, r.pos): r.accepted for r in got} == want
+    assert ingest.quota_check(uploads.limit(0), 0, 10).count() == 0
