@@ -59,10 +59,10 @@ def stream_ingest_dedup(spark, sf_dir):
 
 @query(f"WITH {_STREAMED}, s AS (SELECT CASE WHEN length(text) >= 20 THEN 'completed' ELSE 'failed' END AS status FROM results WHERE code = 201 AND id % 10 <> 5) SELECT status, count(*) AS n FROM s GROUP BY 1")
 def stream_status_counts(spark, sf_dir):
-    """By a stateful stream over the lifecycle events."""
+    """By a streaming aggregate over the lifecycle events."""
     path = fresh_path(spark, "status")
-    stream.start_status_counts(spark, _streamed(spark, sf_dir), f"{path}/changes", f"{path}/checkpoint").awaitTermination()
-    return stream.status_counts(spark.read.schema("status string, delta long").parquet(f"{path}/changes"))
+    stream.start_status_counts(spark, _streamed(spark, sf_dir), f"{path}/counts", f"{path}/checkpoint").awaitTermination()
+    return stream.status_counts(spark, f"{path}/counts")
 
 
 _CHUNKED = f"{_STREAMED}, titled AS (SELECT id AS doc_id, title || chr(10) || chr(10) || text AS t FROM kept), {chunks_sql('titled')}"

@@ -9,13 +9,9 @@ has it, so that each counts once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.functions.text import trim_all
 from corpusloom.operators import chunking, index, ingest
@@ -27,7 +23,7 @@ TABLES = {
     "results": "id long, owner long, hash string, size long, code int, message string, existing_id long, b string",
     "documents": "id long, owner long, hash string, size long, title string, text string, b string",
     "chunks": "id long, ord long, chunk_id string, chunk_index int, content string, b string",
-    "events": "id long, seq long, status string, message string, b string",
+    "events": "id long, seq long, status string, was string, message string, b string",
 }
 #: Events of one batch have numbers from its own times STEPS on.
 STEPS = 16
@@ -108,15 +104,18 @@ def start_ingest(stream: DataFrame, state: str, checkpoint: str, limit: int = in
         if len(held.segments) > SEGMENTS:
             held.compact(f"compact-{name}")
         # failed documents stop after extracting
-        steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).alias("status")) for k, s in enumerate(STAGES)))
-        failed = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).alias("status")) for k, s in enumerate((*STAGES[:2], "failed"))))
-        each = taken.select("id", F.explode(F.when(F.col("good"), steps).otherwise(failed)).alias("e"))
+        each = taken.select("id", F.explode(F.when(F.col("good"), _steps(*STAGES)).otherwise(_steps(*STAGES[:2], "failed"))).alias("e"))
         message = F.when(F.col("e.status") == "failed", "too little text")
-        _write(each.select("id", (F.lit(number * STEPS) + F.col("e.k")).cast("long").alias("seq"), "e.status", message.alias("message")), state, "events", name)
+        _write(each.select("id", (F.lit(number * STEPS) + F.col("e.k")).cast("long").alias("seq"), "e.status", "e.was", message.alias("message")), state, "events", name)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _steps(*stages: str) -> Column:
+    """An array of the stages with their numbers and what each comes after."""
+    return F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).alias("status"), F.lit(was).cast("string").alias("was")) for k, (s, was) in enumerate(zip(stages, (None, *stages)))))
+
+
 def delete(spark: SparkSession, state: str, ids: DataFrame, number: int) -> None:
     """Delete the documents of ids (id): the index loses their chunks, then they are marked.
 
@@ -127,7 +126,7 @@ def delete(spark: SparkSession, state: str, ids: DataFrame, number: int) -> None
     done = gone.where("status = 'completed'").select("id")
     pieces = read_state(spark, state, "chunks").join(done, "id", "left_semi")
     chunk_index(spark, state).delete(pieces.select(F.col("ord").alias("key")), name)
-    events = gone.select("id", (F.col("seq") + 1).alias("seq"), F.lit("deleted").alias("status"), F.lit(None).cast("string").alias("message"))
+    events = gone.select("id", (F.col("seq") + 1).alias("seq"), F.lit("deleted").alias("status"), F.col("status").alias("was"), F.lit(None).cast("string").alias("message"))
     _write(events, state, "events", name)
 
 
@@ -141,25 +140,22 @@ def search(spark: SparkSession, state: str, questions: DataFrame, k: int = simil
 
 
 def start_status_counts(spark: SparkSession, state: str, out: str, checkpoint: str):
-    """Follows the events (availableNow) and appends to out, per document whose status changes, -1 for
-    the one it had and 1 for the one it has (status, delta)."""
-
-    def follow(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        seq, status = held.get if held.exists else (-1, None)
-        before = status
-        for rows in frames:
-            last = rows.loc[rows["seq"].idxmax()]
-            if last["seq"] > seq:
-                seq, status = int(last["seq"]), str(last["status"])
-        held.update((seq, status))
-        if status != before:
-            yield pd.DataFrame({"status": [status] if before is None else [before, status], "delta": [1] if before is None else [-1, 1]})
-
-    events = spark.readStream.schema(TABLES["events"]).parquet(f"{state}/events").select("id", "seq", "status")
-    changes = events.groupBy("id").applyInPandasWithState(follow, "status string, delta long", "seq long, status string", "append", GroupStateTimeout.NoTimeout)
-    return changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-
-
-def status_counts(changes: DataFrame) -> DataFrame:
-    """status, n from signed changes (status, delta); deleted documents don't count."""
-    return changes.where("status <> 'deleted'").groupBy("status").agg(F.sum("delta").alias("n")).where("n > 0")
+    """Follows the events (availableNow) and writes to out the number of documents of each status that
+    has changed (status, n), a folder per micro-batch (b).
+
+    An event names the status that it ends, so that counts are sums of plus and minus one, kept by a
+    streaming aggregate of as many keys as there are statuses, in update mode."""
+    events = spark.readStream.schema(TABLES["events"]).parquet(f"{state}/events")
+    moves = events.select(F.explode(F.array(F.struct("status", F.lit(1).alias("d")), F.struct(F.col("was").alias("status"), F.lit(-1).alias("d")))).alias("m"))
+    counts = moves.select("m.*").where("status IS NOT NULL").groupBy("status").agg(F.sum("d").alias("n"))
+
+    def keep(changed: DataFrame, number: int) -> None:
+        changed.coalesce(1).write.mode("overwrite").parquet(f"{out}/b={number}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def status_counts(spark: SparkSession, out: str) -> DataFrame:
+    """status, n of what start_status_counts has written; deleted documents don't count."""
+    rows = spark.read.schema("status string, n long, b long").parquet(out)
+    return rows.where("status <> 'deleted'").groupBy("status").agg(F.max_by("n", "b").alias("n")).where("n > 0")

@@ -171,7 +171,7 @@ def test_stream_equals_batches_and_deletion_a_rebuild(spark, tmp_path, streamed)
 def test_status_stream_follows_changes(spark, tmp_path, streamed):
     def counts():
         stream.start_status_counts(spark, state, str(tmp_path / "out"), str(tmp_path / "out-cp")).awaitTermination()
-        return {r.status: r.n for r in stream.status_counts(spark.read.schema("status string, delta long").parquet(str(tmp_path / "out"))).collect()}
+        return {r.status: r.n for r in stream.status_counts(spark, str(tmp_path / "out")).collect()}
 
     state = streamed("a", (1, "one fish swims in the sea", "a.txt"), (2, "short", "b.txt"))
     assert counts() == {"completed": 1, "failed": 1}
