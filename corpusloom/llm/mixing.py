@@ -3,7 +3,7 @@
 Per source the target holds some whole passes over its documents and a remaining budget.  The
 remaining budget is fitted on counts of documents by exact length: first each length's share, then
 the longest that fit while more than EXACT_WORDS are left, then a bounded-knapsack dynamic program
-over the rest.  Which documents of a length are taken is decided by a seeded hash.
+over the rest; once more with smaller shares where that misses the budget.  Which documents of a length are taken is decided by a seeded hash.
 """
 
 from __future__ import annotations
@@ -32,14 +32,24 @@ def word_count(text: Column) -> Column:
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of each length to take, at most counts, so that lengths sum to budget, or the most
-    below it that is found (the dynamic program's optimum of the last EXACT_WORDS)."""
-    take = np.zeros(len(lengths), np.int64)
+    below it that is found: the best there is for a budget of EXACT_WORDS or less, else with that many
+    words left to the dynamic program.  Each length first gets its share, as far as that leaves the sum in reach."""
     total = int(lengths @ counts)
     if budget <= 0 or total <= 0:
-        return take
+        return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.copy()
-    take = np.minimum(counts, np.floor(counts * (budget / total)).astype(np.int64))
+    best = np.zeros(len(lengths), np.int64)
+    for shared in (budget, max(0, budget - EXACT_WORDS)):
+        take = _filled(lengths, counts, budget, np.minimum(counts, np.floor(counts * (shared / total)).astype(np.int64)))
+        best = max(best, take, key=lambda t: int(lengths @ t))
+        if int(lengths @ best) == budget:
+            break
+    return best
+
+
+def _filled(lengths: np.ndarray, counts: np.ndarray, budget: int, take: np.ndarray) -> np.ndarray:
+    """take with more of each length: the longest while over EXACT_WORDS are left, then the best by dynamic programming."""
     rest = budget - int(lengths @ take)
     order = np.argsort(lengths)
     for k in order[::-1].tolist():

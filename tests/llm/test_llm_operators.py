@@ -173,20 +173,31 @@ def test_secret_spans(docs, empty, spark):
 
 
 def test_budget_fit():
+    """Against all sums that there are, 3,000 times."""
     rng = random.Random(4)
-    for _ in range(60):
-        lengths = np.array(sorted(rng.sample(range(1, 60), 6)))
+    for _ in range(3000):
+        lengths = np.array(sorted(rng.sample(range(1, 60), rng.randint(1, 8))))
         counts = np.array([rng.randint(1, 5) for _ in lengths])
         budget = rng.randint(0, int(lengths @ counts))
         take = mixing.fit_budget(lengths, counts, budget)
-        assert (take >= 0).all() and (take <= counts).all() and lengths @ take <= budget
-        # shares first, then the best that is left
-        total = int(lengths @ counts)
-        base = np.minimum(counts, np.floor(counts * (budget / total)).astype(int)) if budget < total else counts
-        sums = {0}
-        for size, left in zip(lengths.tolist(), (counts - base).tolist()):
-            sums = {s + size * k for s in sums for k in range(left + 1)}
-        assert lengths @ take == lengths @ base + max(s for s in sums if s <= budget - lengths @ base)
+        assert (take >= 0).all() and (take <= counts).all()
+        sums = 1  # as bits
+        for size, n in zip(lengths.tolist(), counts.tolist()):
+            for _ in range(n):
+                sums |= sums << size
+        assert lengths @ take == max(s for s in range(budget + 1) if sums >> s & 1)
+
+
+def test_budget_fit_beyond_what_is_exact(monkeypatch):
+    """Where shares alone miss the budget, enough is kept back to meet it."""
+    monkeypatch.setattr(mixing, "EXACT_WORDS", 400)
+    rng = random.Random(5)
+    for _ in range(300):
+        lengths = np.array(sorted(rng.sample(range(5, 60), 6)))
+        counts = np.array([rng.randint(20, 60) for _ in lengths])
+        budget = rng.randint(1000, int(lengths @ counts) - 1000)
+        take = mixing.fit_budget(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and 0 <= budget - lengths @ take <= (0 if np.gcd.reduce(lengths) == 1 else 60)
 
 
 def test_mixing(docs, empty):
