@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chunk_dedup, grid_join, language_id, mixing, quality, secret_scan
+from corpusloom.llm import chunk_dedup, grid_join, language_id, quality, secret_scan
 from corpusloom.llm.queries import QUERIES, vocabulary
 
 SF = "/root/testdata/sf0.01"
