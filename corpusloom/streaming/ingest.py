@@ -17,7 +17,7 @@ from corpusloom.functions.text import trim_all
 from corpusloom.operators import chunking, index, ingest
 from corpusloom.operators import search as similar
 from corpusloom.sources import corpus
-from corpusloom.sources.shared import bounded_broadcast, materialise, small_table
+from corpusloom.sources.shared import bounded_broadcast, discard, materialise, small_table
 
 TABLES = {
     "results": "id long, owner long, hash string, size long, code int, message string, existing_id long, b string",
@@ -52,7 +52,7 @@ def _read(spark: SparkSession, state: str, table: str) -> DataFrame:
 def _write(rows: DataFrame, state: str, table: str, batch: str) -> DataFrame:
     """Write a batch's rows and return them as written."""
     path = f"{state}/{table}/b={batch}"
-    rows.write.mode("overwrite").parquet(path)
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
@@ -107,6 +107,7 @@ def start_ingest(stream: DataFrame, state: str, checkpoint: str, limit: int = in
         each = taken.select("id", F.explode(F.when(F.col("good"), _steps(*STAGES)).otherwise(_steps(*STAGES[:2], "failed"))).alias("e"))
         message = F.when(F.col("e.status") == "failed", "too little text")
         _write(each.select("id", (F.lit(number * STEPS) + F.col("e.k")).cast("long").alias("seq"), "e.status", "e.was", message.alias("message")), state, "events", name)
+        discard(uploads, there)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
