@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import chunking, evaluate, grounding, index, rerank, search, tfidf, trace
+from corpusloom.operators import chunking, dense, evaluate, grounding, index, rerank, search, tfidf, trace
 from corpusloom.plans.registry import HITS, TITLED, VECTORS, chunks_sql, hits_sql, query, stored, table, tokens_sql, vectors_sql
 from corpusloom.sources import corpus
 from corpusloom.sources.shared import bounded_broadcast, materialise
@@ -355,15 +355,40 @@ def retrieval_quality(spark, sf_dir):
     return evaluate.summary(_quality(spark, sf_dir))
 
 
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+_DENSE_TOP = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
     s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 4) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
-    SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+    SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
+@query(_DENSE_TOP)
 def dense_topk(spark, sf_dir):
     """Every twentieth vector asks against all."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     return search.dense_top_k(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v).select("query_id", "vec_id", "score", "rank")
 
 
+def _cells(spark, sf_dir):
+    """The index of all vectors by cells, and the questions: every twentieth vector."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    held = dense.Index(spark, stored(spark, sf_dir, ("embeddings",), "cells", lambda path: dense.build(v, path)))
+    return held, v, v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+
+
+@query(_DENSE_TOP)
+def dense_index_topk(spark, sf_dir):
+    """The same through the index, in its exact mode."""
+    held, _, asked = _cells(spark, sf_dir)
+    return held.search(asked, exact=True).select("query_id", "vec_id", "score", "rank")
+
+
+@query("SELECT count(*) AS asked, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def dense_index_recall(spark, sf_dir):
+    """Whether the approximate mode finds nine of ten that a comparison with all vectors finds."""
+    held, v, asked = _cells(spark, sf_dir)
+    out = dense.recall(held.search(asked), search.dense_top_k(asked, v))
+    return out.select("asked", (F.col("recall") >= 0.9).alias("enough"))
+
+
 _DENSE_POOL = """v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
     ds AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.e, b.e), 4) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
     pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds) WHERE rank <= 20),

@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import STOPWORDS
-from corpusloom.operators import chunking, evaluate, grounding, rerank, search, tfidf
+from corpusloom.operators import chunking, dense, evaluate, grounding, rerank, search, tfidf
 from corpusloom.plans.queries import QUERIES
 
 
@@ -153,6 +153,40 @@ def test_dense_search_in_blocks(spark, monkeypatch):
     assert search.dense_top_k(df.limit(0).withColumnRenamed("vec_id", "query_id"), df).count() == 0
 
 
+def test_index_by_cells_equals_all_pairs(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    kernels = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    vectors = {i: [x + rng.gauss(0, 0.1) for x in kernels[rng.choice([0, 0, 0, *range(12)])]] for i in range(400)}
+    vectors |= {400: vectors[0], 401: vectors[0], 402: [0.0] * 8, 403: None, 404: [math.nan] * 8, 405: [None] + [1.0] * 7, 406: [math.inf] * 8}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, v array<double>").repartition(3).cache()
+    good, bad = df.where("vec_id < 402"), set(range(402, 407))
+    monkeypatch.setattr(dense, "SLICE", 20)
+    monkeypatch.setattr(dense, "BLOCK", 7)
+    held = dense.build(df, str(tmp_path / "cells"))
+    assert sorted(r.vec_id for r in held.vectors.select("vec_id").collect()) == list(range(402))
+    assert max(held.slices) > 1  # several slices of a cell, and several blocks of questions below
+    asked = df.where("vec_id % 20 = 0 OR vec_id >= 400").withColumnRenamed("vec_id", "query_id")
+    rows = lambda found: {(r.query_id, r.rank): (r.vec_id, r.score) for r in found.collect()}
+    best = search.dense_top_k(asked.where("query_id < 402"), good, 6)
+    assert rows(held.search(asked, 6, exact=True)) == rows(best)
+    assert rows(held.search(asked, 6, probes=1, exact=True)) == rows(best)
+    # more than any cell holds: each question meets all
+    assert len(rows(held.search(asked.where("query_id = 20"), 500, exact=True))) == 401
+    found = held.search(asked, 6)
+    assert dense.recall(found, best).first().recall >= 0.9 and not {r.query_id for r in found.collect()} & bad
+    assert held.probes < len(held.cells) / 2
+
+
+def test_index_of_no_vectors(spark, tmp_path):
+    none = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, v array<float>")
+    some = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, v array<float>")
+    held = dense.build(none, str(tmp_path / "none"))
+    assert held.search(some.withColumnRenamed("vec_id", "query_id"), exact=True).count() == 0
+    held = dense.build(some, str(tmp_path / "one"))
+    assert held.search(some.selectExpr("5 AS query_id", "v")).count() == 1
+    assert held.search(some.selectExpr("1L AS query_id", "v"), exact=True).count() == 0
+
+
 def test_similar_questions_equal_all_pairs(spark):
     rng = random.Random(2)
     rows, vec = [], {}
