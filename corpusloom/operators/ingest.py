@@ -165,6 +165,42 @@ def compact(events: DataFrame) -> DataFrame:
     return current_manifest(events).select("doc_id", "seq", "status", "message", "ts")
 
 
+#: What a document's first event may be, and what may follow each.
+FLOW = {
+    None: ("queued",), "queued": ("extracting",), "extracting": ("chunking", "failed"), "chunking": ("embedding", "failed"),
+    "embedding": ("completed", "failed"), "completed": ("deleted",), "failed": ("deleted",), "deleted": (),
+}
+
+
+def lifecycle_problems(events: DataFrame) -> DataFrame:
+    """doc_id, seq, was, status, problem of events (doc_id, seq, status, ts) that can't come where they come.
+
+    In order of seq (of equals by ts, then status), by the first that holds: unknown (no status of FLOW, null
+    too), out_of_order (earlier than the event before), repeated (the same status again), illegal (not what
+    FLOW lets follow).  was: the status before, null at first; what follows an unknown status is judged by
+    repetition and time only.  Null doc_ids are one document.
+
+    Events are sorted in ranges, and the first of a range sees the last of the one before, so that a
+    document of very many events is not one task's."""
+    by = ("doc_id", "seq", "ts", "status")
+    ranged = materialise(events.select(*by).repartitionByRange("doc_id", "seq").withColumn("_part", F.spark_partition_id()), "lifecycles")
+    ends = ranged.groupBy("_part").agg(F.max(F.struct(*by)).alias("_end"))
+    ends = ends.select(F.lead("_part").over(W.orderBy("_part")).alias("_part"), "_end").where("_part IS NOT NULL")  # a row per range
+    order = W.partitionBy("_part", "doc_id").orderBy("seq", "ts", "status")
+    rows = ranged.withColumn("_last", F.lag(F.struct("status", "ts")).over(order)).join(F.broadcast(ends), "_part", "left")
+    carried = F.when(F.col("_end.doc_id").eqNullSafe(F.col("doc_id")) & F.col("_end").isNotNull(), F.struct("_end.status", "_end.ts"))
+    rows = rows.withColumn("_last", F.coalesce("_last", carried)).withColumn("was", F.col("_last.status"))
+    steps = [F.col("was").eqNullSafe(F.lit(a)) & F.col("status").isin(*b) for a, b in FLOW.items() if a and b]
+    legal = F.when(F.col("_last").isNull(), F.col("status").isin(*FLOW[None])).otherwise(~F.coalesce(F.col("was").isin(*filter(None, FLOW)), F.lit(False)))
+    for step in steps:
+        legal = legal | step
+    problem = (
+        F.when(~F.coalesce(F.col("status").isin(*filter(None, FLOW)), F.lit(False)), "unknown").when(F.col("ts") < F.col("_last.ts"), "out_of_order")
+        .when(F.col("status") == F.col("was"), "repeated").when(~legal, "illegal")
+    )
+    return rows.withColumn("problem", problem).where("problem IS NOT NULL").select("doc_id", "seq", "was", "status", "problem")
+
+
 def in_flight(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.coalesce(F.bool_or(~F.col("status").isin(*TERMINAL)), F.lit(False)).alias("in_flight"))
 

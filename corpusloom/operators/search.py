@@ -158,12 +158,21 @@ def similar_questions(vectors: DataFrame, df: DataFrame, least: float) -> DataFr
     Terms go from rare to common.  What a question's last terms can add is at most their length, so
     that two similar questions share one of the terms before: only those propose pairs, which keeps
     common terms out of the join.  Proposed pairs are then scored in full."""
+    heads = materialise(heads_of(vectors, df, least), "heads")
+    pairs = heads.withColumnRenamed("query_id", "a").join(heads.withColumnRenamed("query_id", "b"), "term").where("a < b").select("a", "b").distinct()
+    return scored_pairs(pairs, vectors, vectors, least)
+
+
+def heads_of(vectors: DataFrame, df: DataFrame, least: float) -> DataFrame:
+    """query_id, term: of each question's terms, from rare to common, those that can propose a pair of least."""
     ordered = vectors.join(df.select("term", "df"), "term")
     rest = W.partitionBy("query_id").orderBy("df", "term").rowsBetween(0, W.unboundedFollowing)
-    heads = ordered.withColumn("left", F.sum(F.col("weight") * F.col("weight")).over(rest)).where(F.col("left") >= least * least - 1e-6)
-    heads = materialise(heads.select("query_id", "term"), "heads")
-    pairs = heads.withColumnRenamed("query_id", "a").join(heads.withColumnRenamed("query_id", "b"), "term").where("a < b").select("a", "b").distinct()
-    x = vectors.select(F.col("query_id").alias("a"), "term", F.col("weight").alias("wa"))
-    y = vectors.select(F.col("query_id").alias("b"), "term", F.col("weight").alias("wb"))
+    return ordered.withColumn("left", F.sum(F.col("weight") * F.col("weight")).over(rest)).where(F.col("left") >= least * least - 1e-6).select("query_id", "term")
+
+
+def scored_pairs(pairs: DataFrame, first: DataFrame, second: DataFrame, least: float) -> DataFrame:
+    """a, b, score of pairs (a, b) of a question of first and one of second with cosine of least or more."""
+    x = first.select(F.col("query_id").alias("a"), "term", F.col("weight").alias("wa"))
+    y = second.select(F.col("query_id").alias("b"), "term", F.col("weight").alias("wb"))
     out = pairs.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("score"))
     return out.where(F.col("score") >= least)

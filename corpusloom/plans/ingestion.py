@@ -66,6 +66,28 @@ def manifest_current(spark, sf_dir):
     return ingest.current_manifest(_events(spark, sf_dir)).select("doc_id", "seq", "status")
 
 
+#: Lifecycles of six events each: every seventh by value has another status, every eleventh an earlier time.
+_LIFE = """l AS (SELECT event_id // 6 AS doc_id, event_id AS seq, CASE WHEN floor(value)::BIGINT % 11 = 0 THEN ts - INTERVAL 1 DAY ELSE ts END AS ts,
+      (['queued', 'extracting', 'chunking', 'embedding', 'completed', 'deleted', 'failed', 'lost'])[CASE WHEN floor(value)::BIGINT % 7 = 0 THEN floor(value * 10)::BIGINT % 8 ELSE event_id % 6 END + 1] AS status FROM events),
+    p AS (SELECT *, lag(status) OVER w AS was, lag(ts) OVER w AS before, row_number() OVER w AS n FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+    j AS (SELECT doc_id, seq, was, status, CASE WHEN status = 'lost' THEN 'unknown' WHEN ts < before THEN 'out_of_order' WHEN status = was THEN 'repeated'
+          WHEN NOT CASE WHEN n = 1 THEN status = 'queued' WHEN was = 'lost' THEN true ELSE was || '>' || status IN ('queued>extracting', 'extracting>chunking', 'extracting>failed', 'chunking>embedding', 'chunking>failed',
+               'embedding>completed', 'embedding>failed', 'completed>deleted', 'failed>deleted') END THEN 'illegal' END AS problem FROM p)"""
+
+
+def _lifecycles(spark, sf_dir):
+    value, n = F.floor("value"), F.col("event_id")
+    status = F.array(*(F.lit(s) for s in ("queued", "extracting", "chunking", "embedding", "completed", "deleted", "failed", "lost")))
+    at = F.when(value % 7 == 0, F.floor(F.col("value") * 10) % 8).otherwise(n % 6).cast("int")
+    ts = F.when(value % 11 == 0, F.col("ts") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("ts"))
+    return table(spark, sf_dir, "events").select(F.floor(n / 6).alias("doc_id"), n.alias("seq"), F.get(status, at).alias("status"), ts.alias("ts"))
+
+
+@query(f"WITH {_LIFE} SELECT doc_id, seq, was, status, problem FROM j WHERE problem IS NOT NULL")
+def lifecycle_problems(spark, sf_dir):
+    return ingest.lifecycle_problems(_lifecycles(spark, sf_dir))
+
+
 @query("SELECT count(*) FILTER (doc_id % 2 = 0) AS completed, sum(n_chars)::BIGINT AS total_size FROM documents")
 def completed_summary(spark, sf_dir):
     return ingest.completed_summary(table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, "completed").otherwise("failed").alias("processing_status"), F.col("n_chars").alias("size")))

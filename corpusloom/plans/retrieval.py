@@ -13,7 +13,8 @@ from corpusloom.functions import text as X
 from corpusloom.operators import chunking, dense, evaluate, grounding, index, rerank, search, tfidf, trace
 from corpusloom.plans.registry import HITS, TITLED, VECTORS, chunks_sql, hits_sql, query, stored, table, tokens_sql, vectors_sql
 from corpusloom.sources import corpus
-from corpusloom.sources.shared import bounded_broadcast, materialise
+from corpusloom.sources.shared import bounded_broadcast, fresh_path, materialise
+from corpusloom.streaming import questions
 
 
 class _Index:
@@ -405,12 +406,25 @@ def dense_mmr(spark, sf_dir):
     return out.select("query_id", "vec_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {VECTORS} SELECT a.query_id AS a, b.query_id AS b, round(sum(a.weight * b.weight), 6) AS score FROM q a JOIN q b ON a.term = b.term AND a.query_id < b.query_id GROUP BY ALL HAVING round(sum(a.weight * b.weight), 6) >= 0.2")
+_REPEATS = f"WITH {VECTORS} SELECT a.query_id AS a, b.query_id AS b, round(sum(a.weight * b.weight), 6) AS score FROM q a JOIN q b ON a.term = b.term AND a.query_id < b.query_id GROUP BY ALL HAVING round(sum(a.weight * b.weight), 6) >= 0.2"
+
+
+@query(_REPEATS)
 def repeat_questions(spark, sf_dir):
     i = _Index(spark, sf_dir)
     return search.similar_questions(i.asked, i.vocab, 0.2)
 
 
+@query(_REPEATS)
+def stream_repeat_questions(spark, sf_dir):
+    """The same pairs, of questions that come in a stream of three arrivals and are matched against those before."""
+    i, path = _Index(spark, sf_dir), fresh_path(spark, "asked")
+    for part in range(3):
+        i.questions.where(F.pmod(F.xxhash64("query_id"), F.lit(3)) == part).write.parquet(f"{path}/in/part-{part}")
+        source = spark.readStream.schema(i.questions.schema).parquet(f"{path}/in/part-*")
+        questions.start_matching(source, f"{path}/cache", f"{path}/checkpoint", i.index.weights_of, i.vocab, 0.2).awaitTermination()
+    found = questions.matches(spark, f"{path}/cache")
+    return found.select(F.least("query_id", "earlier").alias("a"), F.greatest("query_id", "earlier").alias("b"), "score")
 
 
 # requests, plans, verdicts and outcomes, from documents by rules on doc_id

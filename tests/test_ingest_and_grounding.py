@@ -3,14 +3,16 @@ import math
 import random
 import re
 from collections import Counter
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import STOPWORDS
-from corpusloom.operators import chunking, grounding, ingest, trace
+from corpusloom.operators import chunking, grounding, index, ingest, trace
 from corpusloom.sources import corpus
 from corpusloom.streaming import ingest as stream
+from corpusloom.streaming import questions
 
 
 def test_quota_counts_accepted_files_only(spark):
@@ -238,3 +240,81 @@ def test_quota_in_rounds_equals_the_fold(spark):
         got = ingest.quota_check(uploads, used, 1000, fold).collect()
         assert len(got) == len(rows) and {(r.batch_id, r.pos): r.accepted for r in got} == want
     assert ingest.quota_check(uploads.limit(0), 0, 10).count() == 0
+
+
+def problems_in_order(events):
+    """What a plain walk over the events finds."""
+    before, out = {}, []
+    for doc, seq, status, ts in sorted(events, key=lambda e: (str(e[0]), e[1])):
+        was, at = before.get(doc, (None, None))
+        if status not in ingest.FLOW or status is None:
+            out.append((doc, seq, was, status, "unknown"))
+        elif at and ts < at:
+            out.append((doc, seq, was, status, "out_of_order"))
+        elif status == was:
+            out.append((doc, seq, was, status, "repeated"))
+        elif at is None and status != "queued" or at and was in ingest.FLOW and was and status not in ingest.FLOW[was]:
+            out.append((doc, seq, was, status, "illegal"))
+        before[doc] = (status, ts)
+    return sorted(out, key=str)
+
+
+def test_problems_of_lifecycles_equal_a_walk(spark):
+    rng = random.Random(4)
+    start, rows = datetime(2024, 1, 1), []
+    stages = [*filter(None, ingest.FLOW), "lost", None]
+    for seq in range(3000):  # one document has a third of all events
+        doc = rng.choice([7, rng.randint(0, 60), None if seq % 50 == 0 else 3])
+        status = rng.choice(stages) if rng.random() < 0.5 else rng.choice(stages[:5])
+        rows.append((doc, seq, status, start + timedelta(minutes=seq - rng.choice([0, 0, 0, 90]))))
+    frame = spark.createDataFrame(rows, "doc_id long, seq long, status string, ts timestamp").repartition(5).withColumn("was", F.lit("a clashing name"))
+    found = ingest.lifecycle_problems(frame).collect()
+    assert sorted((tuple(r) for r in found), key=str) == problems_in_order(rows)
+    assert {r.problem for r in found} == {"unknown", "out_of_order", "repeated", "illegal"}
+    good = [(1, k, s, start) for k, s in enumerate(("queued", "extracting", "chunking", "embedding", "completed", "deleted"))]
+    assert ingest.lifecycle_problems(spark.createDataFrame(good, "doc_id long, seq long, status string, ts timestamp")).count() == 0
+    # a row that is there twice repeats its status
+    assert [tuple(r) for r in ingest.lifecycle_problems(spark.createDataFrame([good[0], *good], "doc_id long, seq long, status string, ts timestamp")).collect()] == [(1, 0, "queued", "queued", "repeated")]
+    assert ingest.lifecycle_problems(frame.limit(0)).count() == 0
+
+
+def test_lifecycles_of_the_stream_have_no_problems(spark, streamed):
+    state = streamed("a", (1, "one fish swims in the sea", "a.txt"), (2, "short", "b.txt"))
+    stream.delete(spark, state, spark.createDataFrame([(1,)], "id long"), 1)
+    events = stream.read_state(spark, state, "events").selectExpr("id AS doc_id", "seq", "status", "CAST(NULL AS TIMESTAMP) AS ts")
+    assert events.count() == 9 and ingest.lifecycle_problems(events).count() == 0
+
+
+def test_questions_meet_earlier_ones(spark, tmp_path):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(18)]
+    asked = {q: " ".join(["common", *rng.choices(words, k=rng.randint(1, 6))]) for q in range(60)} | {60: "", 61: None, 62: "unheard"}
+    store = spark.createDataFrame([(k, " ".join(["common", *rng.choices(words, k=5)])) for k in range(30)], "doc_id long, text string")
+    held = index.build(store, str(tmp_path / "index"))
+    schema, runs = "query_id long, question string", []
+
+    def come(ids):
+        runs.append(1)
+        spark.createDataFrame([(q, asked[q]) for q in ids], schema).write.parquet(str(tmp_path / "in" / f"part-{len(runs)}"))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "part-*"))
+        questions.start_matching(source, str(tmp_path / "cache"), str(tmp_path / "cp"), held.weights_of, held.vocab, 0.7).awaitTermination()
+
+    found = lambda: {(r.query_id, r.earlier): r.score for r in questions.matches(spark, str(tmp_path / "cache")).collect()}
+    come(range(40, 63))
+    first = found()
+    come([])
+    come([*range(0, 20), 5])  # a row twice
+    come(range(20, 40))
+    weights = held.weights_of(spark.createDataFrame(list(asked.items()), schema)).collect()
+    vec = {}
+    for r in weights:
+        vec.setdefault(r.query_id, {})[r.term] = r.weight
+    arrival = lambda q: (0 if q >= 40 else 1 if q < 20 else 2, q)
+    want = {}
+    for a in vec:
+        for b in vec:
+            score = round(sum(w * vec[b].get(t, 0.0) for t, w in vec[a].items()), 6)
+            if arrival(b) < arrival(a) and score >= 0.7:
+                want[a, b] = score
+    assert found() == pytest.approx(want) and len(want) > 20
+    assert first and all(min(p) >= 40 for p in first) and first.items() <= found().items()
