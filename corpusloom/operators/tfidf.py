@@ -26,6 +26,13 @@ def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def frequency_of(texts: DataFrame, text: str = "text") -> DataFrame:
+    """term, df of texts, each row a text of its own: where counts per text aren't wanted.  Only terms with
+    partial sums are shuffled."""
+    terms = texts.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
+    return terms.where(~F.col("term").isin(*STOPWORDS)).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def inverse_frequency(df: DataFrame, texts: DataFrame) -> DataFrame:
     """term, df, idf with idf = ln((1 + N) / (1 + df)) + 1; N, one number, is broadcast."""
     total = texts.agg(F.count("*").alias("total"))

@@ -418,11 +418,14 @@ def repeat_questions(spark, sf_dir):
 @query(_REPEATS)
 def stream_repeat_questions(spark, sf_dir):
     """The same pairs, of questions that come in a stream of three arrivals and are matched against those before."""
-    i, path = _Index(spark, sf_dir), fresh_path(spark, "asked")
+    docs, path = table(spark, sf_dir, "documents"), fresh_path(spark, "asked")
+    every = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    vocab = materialise(tfidf.inverse_frequency(tfidf.frequency_of(docs), docs), "vocabulary")  # of the index nothing else is needed
+    weigh = lambda asked: tfidf.weights(tfidf.term_counts(asked, "query_id", "question"), vocab, "query_id")
     for part in range(3):
-        i.questions.where(F.pmod(F.xxhash64("query_id"), F.lit(3)) == part).write.parquet(f"{path}/in/part-{part}")
-        source = spark.readStream.schema(i.questions.schema).parquet(f"{path}/in/part-*")
-        questions.start_matching(source, f"{path}/cache", f"{path}/checkpoint", i.index.weights_of, i.vocab, 0.2).awaitTermination()
+        every.where(F.pmod(F.xxhash64("query_id"), F.lit(3)) == part).write.parquet(f"{path}/in/part-{part}")
+        source = spark.readStream.schema(every.schema).parquet(f"{path}/in/part-*")
+        questions.start_matching(source, f"{path}/cache", f"{path}/checkpoint", weigh, vocab, 0.2).awaitTermination()
     found = questions.matches(spark, f"{path}/cache")
     return found.select(F.least("query_id", "earlier").alias("a"), F.greatest("query_id", "earlier").alias("b"), "score")
 
