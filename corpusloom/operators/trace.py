@@ -43,3 +43,39 @@ def latest_turn(conversations: DataFrame, role: str = "assistant") -> DataFrame:
     """conv_id, turn, text of the last turn of a role."""
     last = conversations.where(F.col("role") == role).groupBy("conv_id").agg(F.max_by(F.struct("turn", "text"), "turn").alias("t"))
     return last.select("conv_id", "t.turn", "t.text")
+
+
+def variant_steps(runs: DataFrame) -> DataFrame:
+    """run_id, pos, step (variant) of runs (run_id, run variant); pos counts from 0.  Runs without an array of steps have none."""
+    steps = F.try_variant_get("run", "$.steps", "array<variant>")
+    return runs.select("run_id", F.posexplode(steps).alias("pos", "step"))
+
+
+#: Typed fields of a step's output: name, the agents that give it, path, type.
+FIELDS = (
+    ("query_type", ("router",), "$.output.queryType", "string"),
+    ("needs_retrieval", ("router",), "$.output.needsRetrieval", "boolean"),
+    ("verdict", ("critic",), "$.output.verdict", "string"),
+    ("faithfulness", ("critic",), "$.output.faithfulnessScore", "double"),
+    ("final_verdict", ("coordinator",), "$.output.finalVerdict", "string"),
+    ("iterations", ("coordinator",), "$.output.totalIterations", "int"),
+)
+
+
+def typed_steps(steps: DataFrame) -> DataFrame:
+    """Columns of variant_steps' rows: run_id, pos, id, agent, status, started_at, finished_at, error,
+    FIELDS, and n_items and top_score of retrieved or reranked items, answer_length of an analyzer.
+
+    A field that its step lacks, or has of a kind that can't be cast, is null; so are all fields of a step
+    that is no object.  Items without a score count, but have none."""
+    get = lambda path, kind: F.try_variant_get("step", path, kind)
+    agent = get("$.agent", "string")
+    fields = [F.when(agent.isin(*agents), get(path, kind)).alias(name) for name, agents, path, kind in FIELDS]
+    items = F.when(agent == "retriever", get("$.output.candidates", "array<variant>")).when(agent == "reranker", get("$.output.reranked", "array<variant>"))
+    score = lambda item: F.coalesce(F.try_variant_get(item, "$.llmScore", "double"), F.try_variant_get(item, "$.score", "double"))
+    return steps.select(
+        "run_id", "pos", get("$.id", "string").alias("id"), agent.alias("agent"), get("$.status", "string").alias("status"),
+        get("$.startedAt", "bigint").alias("started_at"), get("$.finishedAt", "bigint").alias("finished_at"), get("$.error", "string").alias("error"), *fields,
+        F.when(items.isNotNull(), F.size(items)).alias("n_items"), F.array_max(F.transform(items, score)).alias("top_score"),
+        F.when(agent == "analyzer", F.length(get("$.output.answer", "string"))).alias("answer_length"),
+    )
