@@ -306,23 +306,36 @@ def citation_count(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.citation_count(a).cast("long").alias("citations"))
 
 
-@query("SELECT doc_id, 'd' || doc_id AS answer FROM documents WHERE doc_id % 4 <> 3 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 4 = 3")
+@query("SELECT doc_id, CASE WHEN length(text) % 4 < 3 THEN sha256(text) END AS sha FROM documents")
 def json_salvage(spark, sf_dir):
-    """Replies in fences, within prose, plain, and without any object."""
-    body = F.concat(F.lit('{"answer": "d'), "doc_id", F.lit('"}'))
-    k = F.col("doc_id") % 4
-    raw = F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 1, F.concat(F.lit("Here it is: "), body, F.lit(" as asked."))).when(k == 2, body).otherwise("no object")
-    return table(spark, sf_dir, "documents").select("doc_id", X.parse_reply(raw, "answer string")["answer"].alias("answer"))
+    """Replies that hold a whole text, in fences, within prose or plain by its length; of some only the text came."""
+    body, k = F.to_json(F.struct(F.col("text").alias("answer"))), F.length("text") % 4
+    raw = F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 1, F.concat(F.lit("Here it is: "), body, F.lit(" as asked."))).when(k == 2, body).otherwise(F.translate("text", "{}", ""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.parse_reply(raw, "answer string")["answer"], 256).alias("sha"))
 
 
-@query("SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS iterations, CASE WHEN doc_id % 3 = 2 THEN 'needs_revision' ELSE 'faithful' END AS verdict, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS citations_used FROM documents")
+#: Two rounds of each text: its replies, scores by its length, and a judge that fails now and then.
+_ROUNDS = """n AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+    v AS (SELECT doc_id, 1 AS i, n % 101 >= 70 OR n % 13 = 0 AS ok, t || ' [' || n % 3 || '][' || n % 2 || ']' AS a FROM n
+          UNION ALL SELECT doc_id, 2, n * 7 % 101 >= 50 OR n % 17 = 0, t || ' [2] [' || n % 4 || ']' FROM n),
+    best AS (SELECT doc_id, coalesce(min(i) FILTER (ok), 2) AS i FROM v GROUP BY 1)"""
+
+
+@query(f"""WITH {_ROUNDS} SELECT v.doc_id AS query_id, v.i::BIGINT AS iterations, CASE WHEN v.ok THEN 'faithful' ELSE 'needs_revision' END AS verdict,
+    len(list_distinct(regexp_extract_all(v.a, '\\[(\\d+)\\]', 1)))::BIGINT AS citations_used, sha256(v.a) AS sha FROM v JOIN best ON best.doc_id = v.doc_id AND best.i = v.i""")
 def refine_outcome(spark, sf_dir):
-    """Faithful at once, after revision, never."""
-    q = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("iteration"))
-    answers = q.withColumn("raw_answer", F.when(F.col("iteration") == 1, "see [1] and [1]").otherwise('{"answer": "", "text": "see [1] and [2]"}'))
-    ok = ((F.col("query_id") % 3 == 0) & (F.col("iteration") == 1)) | ((F.col("query_id") % 3 == 1) & (F.col("iteration") == 2))
-    verdicts = q.select("query_id", "iteration", F.when(ok, "faithful").otherwise("needs_revision").alias("verdict"), F.when(ok, 90.0).otherwise(50.0).alias("faithfulness_score"), F.lit(False).alias("judge_failed"))
-    return grounding.refine_outcome(answers, verdicts).select("query_id", F.col("iterations").cast("long").alias("iterations"), "verdict", F.col("citations_used").cast("long").alias("citations_used"))
+    """Faithful at once, after revision (whose reply is an object), never, or by a failed judge."""
+    t, n = F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))
+    q = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), t.alias("t"), n.alias("n"), F.explode(F.array(F.lit(1), F.lit(2))).alias("iteration"))
+    first, n = F.col("iteration") == 1, F.col("n")
+    again = F.to_json(F.struct(F.lit("").alias("answer"), F.concat("t", F.lit(" [2] ["), n % 4, F.lit("]")).alias("text")))
+    answers = q.select("query_id", "iteration", F.when(first, F.concat("t", F.lit(" ["), n % 3, F.lit("]["), n % 2, F.lit("]"))).otherwise(again).alias("raw_answer"))
+    score = F.when(first, n % 101).otherwise(n * 7 % 101).cast("double")
+    failed = F.when(first, n % 13 == 0).otherwise(n % 17 == 0)
+    verdict = F.when(score >= F.when(first, 70).otherwise(50), "faithful").otherwise("needs_revision")
+    verdicts = q.select("query_id", "iteration", F.when(~failed, verdict).alias("verdict"), F.when(~failed, score).alias("faithfulness_score"), failed.alias("judge_failed"))
+    out = grounding.refine_outcome(answers, verdicts)
+    return out.select("query_id", F.col("iterations").cast("long").alias("iterations"), "verdict", F.col("citations_used").cast("long").alias("citations_used"), F.sha2("answer", 256).alias("sha"))
 
 
 _REL = "rel AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -474,29 +487,31 @@ def routed_questions(spark, sf_dir):
 
 
 def _verdicts(spark, sf_dir):
-    """One round each: good, bad, good by score but not by verdict, and a judge that failed."""
-    k = F.col("query_id") % 4
+    """One round each, by the text's length: verdicts and scores that agree or not, and a judge that failed."""
+    n, failed = F.length("question"), F.length("question") % 7 == 0
     return _asked_documents(spark, sf_dir).select(
-        "query_id", F.lit(1).alias("iteration"), F.when(k == 0, "faithful").when(k < 3, "needs_revision").alias("verdict"),
-        F.when(k == 1, 60.0).when(k < 3, 90.0).alias("faithfulness_score"), (k == 3).alias("judge_failed"),
+        "query_id", F.lit(1).alias("iteration"), F.when(~failed, F.when(n % 3 == 0, "needs_revision").otherwise("faithful")).alias("verdict"),
+        F.when(~failed, (n % 101).cast("double")).alias("faithfulness_score"), failed.alias("judge_failed"),
     )
 
 
-@query("""SELECT doc_id AS query_id, CASE WHEN doc_id % 4 IN (0, 3) THEN 'faithful' ELSE 'needs_revision' END AS verdict, CASE doc_id % 4 WHEN 3 THEN 100.0 WHEN 1 THEN 60.0 ELSE 90.0 END::DOUBLE AS score,
-    doc_id % 4 = 3 AS judge_failed, doc_id % 4 = 2 AS verdict_mismatch FROM documents""")
+_JUDGED = """n AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents),
+    j AS (SELECT doc_id, n, n % 7 = 0 AS judge_failed, CASE WHEN n % 7 = 0 OR n % 3 <> 0 THEN 'faithful' ELSE 'needs_revision' END AS verdict, CASE WHEN n % 7 = 0 THEN 100.0 ELSE n % 101 END::DOUBLE AS score FROM n)"""
+
+
+@query(f"WITH {_JUDGED} SELECT doc_id AS query_id, verdict, score, judge_failed, (score >= 85) <> (verdict = 'faithful') AS verdict_mismatch FROM j")
 def audited_verdicts(spark, sf_dir):
     out = grounding.audited_verdicts(_verdicts(spark, sf_dir))
     return out.select("query_id", "verdict", F.col("faithfulness_score").alias("score"), "judge_failed", "verdict_mismatch")
 
 
-@query("""SELECT doc_id AS query_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 = 0 THEN 'skipped' WHEN doc_id % 7 = 0 THEN 'no_candidates' WHEN doc_id % 11 = 0 THEN 'unknown'
-    WHEN doc_id % 4 IN (0, 3) THEN 'faithful' ELSE 'needs_revision' END AS outcome FROM documents""")
+@query(f"""WITH {_JUDGED} SELECT doc_id AS query_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 = 0 THEN 'skipped' WHEN n % 8 < 2 THEN 'no_candidates' WHEN n % 11 = 0 THEN 'unknown' ELSE verdict END AS outcome FROM j""")
 def terminal_outcomes(spark, sf_dir):
-    """Every seventh question has no hits, every eleventh no answer."""
-    q = _asked_documents(spark, sf_dir)
-    answers = q.where("query_id % 11 <> 0").select("query_id", F.lit(1).alias("iteration"), F.lit("see [1]").alias("raw_answer"))
+    """By the question's length some have no hits, or hits of none, and some no answer."""
+    q, n = _asked_documents(spark, sf_dir), F.length("question")
+    answers = q.where(n % 11 != 0).select("query_id", F.lit(1).alias("iteration"), F.concat("question", F.lit(" [1]")).alias("raw_answer"))
     outcome = grounding.refine_outcome(answers, _verdicts(spark, sf_dir))
-    return grounding.terminal_outcome(_routed(spark, sf_dir), q.where("query_id % 7 <> 0").select("query_id", F.lit(5).alias("hits")), outcome)
+    return grounding.terminal_outcome(_routed(spark, sf_dir), q.where(n % 8 != 0).select("query_id", F.when(n % 8 == 1, 0).otherwise(5).alias("hits")), outcome)
 
 
 @query(f"""WITH {_RERANKED}, src AS (SELECT query_id, list({{'position': new_rank, 'doc_id': doc_id, 'llm_score': llm_score::INT}} ORDER BY new_rank) AS sources FROM rr WHERE new_rank <= 4 GROUP BY 1)
@@ -517,6 +532,6 @@ def answer_lengths(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", X.answer_length(F.col("text")).cast("long").alias("n"))
 
 
-@query("""SELECT event_id, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms % 1000 IN (125, 375, 625, 875) THEN printf('%.2f', (ms + 5) / 1000.0) || 's' ELSE printf('%.2f', ms / 1000.0) || 's' END AS shown FROM (SELECT event_id, event_id * 37 % 5000 AS ms FROM events)""")
+@query("""SELECT event_id, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms % 1000 IN (125, 375, 625, 875) THEN printf('%.2f', (ms + 5) / 1000.0) || 's' ELSE printf('%.2f', ms / 1000.0) || 's' END AS shown FROM (SELECT event_id, floor(value * 37)::BIGINT AS ms FROM events)""")
 def durations(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", X.format_duration(F.col("event_id") * 37 % 5000).alias("shown"))
+    return table(spark, sf_dir, "events").select("event_id", X.format_duration(F.floor(F.col("value") * 37)).alias("shown"))
