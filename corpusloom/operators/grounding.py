@@ -63,7 +63,8 @@ def audited_verdicts(verdicts: DataFrame) -> DataFrame:
 def refine_outcome(answers: DataFrame, verdicts: DataFrame) -> DataFrame:
     """query_id, iterations, verdict, answer, citations_used: the first faithful round, else the last of two."""
     v = audited_verdicts(verdicts).where(F.col("iteration") <= ROUNDS)
-    rows = answers.join(v, ["query_id", "iteration"]).withColumn("ok", F.col("verdict") == "faithful")
+    # by query_id alone, rounds being few, so that the window needs no shuffle of the replies of its own
+    rows = answers.join(v.withColumnRenamed("iteration", "judged"), "query_id").where(F.col("judged") - F.col("iteration") == 0).withColumn("ok", F.col("verdict") == "faithful")
     place = W.partitionBy("query_id").orderBy(F.desc("ok"), F.when(F.col("ok"), F.col("iteration")).otherwise(-F.col("iteration")))
     answer = unwrap_answer(F.col("raw_answer"))
     return rows.withColumn("place", F.row_number().over(place)).where("place = 1").select(
