@@ -70,8 +70,8 @@ def documents(spark: SparkSession, state: str, leave_out: str = "") -> DataFrame
 
 
 def chunk_index(spark: SparkSession, state: str) -> index.Index:
-    """The index of the chunks that are there, by ord."""
-    return index.Index(spark, f"{state}/index", "ord")
+    """The index of the chunks that are there, by ord; of forward vectors alone, since postings take more room than the chunks."""
+    return index.Index(spark, f"{state}/index", "ord", postings=False)
 
 
 def start_ingest(stream: DataFrame, state: str, checkpoint: str, limit: int = ingest.MAX_TOTAL):
