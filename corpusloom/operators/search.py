@@ -21,8 +21,9 @@ from corpusloom.sources.shared import bounded_broadcast, materialise, numbered,
 K, LAMBDA, POOL = 5, 0.7, 4
 
 
-#: Query vectors that are held against all others at once.
+#: Query vectors that are held against all others at once; of these, and of vectors, those that a task compares in one product.
 DENSE_BLOCK = 4096
+TILE_QUERIES, TILE_VECTORS = 256, 1024
 
 
 def scores(questions: DataFrame, postings: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -108,7 +109,7 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame
     """query_id, vec_id, score, rank by cosine (4 places) of (query_id, v) and (vec_id, v); another id only.
 
     The stated queries go against all vectors in blocks of DENSE_BLOCK, which is what the driver and
-    each task hold; a task gives k per query, so that k per query and task are shuffled.  Vectors
+    each task hold, and similarities in tiles of TILE_QUERIES x TILE_VECTORS; a task gives k per query, so that k per query and task are shuffled.  Vectors
     must not be null or of zeros; of equal scores the smaller vec_id comes first."""
     small_batches(queries.sparkSession)
     placed = materialise(numbered(queries.select("query_id", "v"), [F.col("query_id")], "place"), "queries")
@@ -126,22 +127,43 @@ def _against(block: pa.Table, vectors: DataFrame, k: int) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        score, which = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-        for batch in batches:
-            if batch.num_rows and len(ids):
-                names = batch.column("vec_id").to_numpy()
-                new = np.round(q @ _unit(batch.column("v")).T, 4)
-                new[ids[:, None] == names] = -np.inf
-                score, which = np.concatenate([score, new], 1), np.concatenate([which, np.broadcast_to(names, new.shape)], 1)
-                best = np.lexsort((which, -score), axis=1)[:, :k]
-                score, which = np.take_along_axis(score, best, 1), np.take_along_axis(which, best, 1)
-        at, _ = hit = np.nonzero(score > -np.inf)
-        yield pa.record_batch({"query_id": ids[at], "vec_id": which[hit], "score": score[hit]})
+        yield _nearest(*shared.value, batches, k)
 
     return vectors.select("vec_id", "v").mapInArrow(task, "query_id long, vec_id long, score double")
 
 
+def _nearest(ids: np.ndarray, q: np.ndarray, batches: Iterator[pa.RecordBatch], k: int) -> pa.RecordBatch:
+    """query_id, vec_id, score of the k nearest of the batches for each of the unit vectors q, whose names are ids."""
+    score, which = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+    for batch in (b for b in batches if b.num_rows):
+        names, unit = batch.column("vec_id").to_numpy(), _unit(batch.column("v"))
+        for v in range(0, len(names), TILE_VECTORS):
+            some = names[v : v + TILE_VECTORS]
+            for a in range(0, len(ids), TILE_QUERIES):
+                own = slice(a, a + TILE_QUERIES)
+                new = np.round(q[own] @ unit[v : v + TILE_VECTORS].T, 4)
+                new[ids[own, None] == some] = -np.inf
+                _take(score[own], which[own], new, some)
+    at, _ = hit = np.nonzero(score > -np.inf)
+    return pa.record_batch({"query_id": ids[at], "vec_id": which[hit], "score": score[hit]})
+
+
+def _take(score: np.ndarray, which: np.ndarray, new: np.ndarray, names: np.ndarray) -> None:
+    """Put into score and which, the best of each row so far, those of new (a column per name) that are among them."""
+    k = score.shape[1]
+    row, col = np.nonzero((new >= score[:, -1:]) & (new > -np.inf))
+    if not len(row):
+        return
+    touched, row = np.unique(row, return_inverse=True)
+    rows = np.concatenate([np.repeat(np.arange(len(touched)), k), row])
+    values = np.concatenate([score[touched].ravel(), new[touched[row], col]])
+    ids = np.concatenate([which[touched].ravel(), names[col]])
+    order = np.lexsort((ids, -values, rows))
+    rows = rows[order]
+    best = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
+    score[touched], which[touched] = values[best].reshape(-1, k), ids[best].reshape(-1, k)
+
+
 def dense_pool_similarity(pool: DataFrame, vectors: DataFrame) -> DataFrame:
     """query_id, a, b, sim for ranks a < b of each query's pool (query_id, vec_id, rank)."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, z: s + z)

@@ -200,3 +200,30 @@ def test_similar_questions_equal_all_pairs(spark):
     got = {(r.a, r.b) for r in search.similar_questions(spark.createDataFrame(rows, "query_id long, term string, weight double"), spark.createDataFrame(list(df.items()), "term string, df long"), 0.8).collect()}
     want = {(a, b) for a in vec for b in vec if a < b and round(sum(x * vec[b].get(t, 0.0) for t, x in vec[a].items()), 6) >= 0.8}
     assert got == want and want
+
+
+def test_dense_search_holds_tiles_of_similarities():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16))
+    x[2990:] = x[:10]  # equal vectors: the smaller id first
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    ids = np.arange(0, 3000, 2)
+    batches = [pa.record_batch({"vec_id": np.arange(3000), "v": pa.array(x.tolist())})]
+    tracemalloc.start()
+    out = search._nearest(ids, x[ids], iter([*batches, batches[0].slice(0, 0)]), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = {}
+    for q, v, s in zip(*(out.column(c).to_pylist() for c in ("query_id", "vec_id", "score"))):
+        got.setdefault(q, []).append((v, s))
+    every = np.round(x[ids] @ x.T, 4)
+    for row, q in enumerate(ids.tolist()):
+        every[row, q] = -np.inf
+        want = np.lexsort((np.arange(3000), -every[row]))[:3].tolist()
+        assert got[q] == [(v, every[row, v]) for v in want]
+    assert peak < 32 << 20  # all similarities at once are 36 MB, and were held several times
