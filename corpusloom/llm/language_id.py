@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import discard, materialise, small_table
+
 SYMBOLS = 128
 DISCOUNT = 0.75
 #: Characters that count at most for the certainty of a choice.
 CERTAIN_CHARS = 40
-#: Labelled documents, by hashed order, on which the rejection is calibrated; their quantile, with
-#: this margin, is the limit.
-CALIBRATION_DOCS, QUANTILE, MARGIN = 8_000, 0.9995, 1.5
+#: The limit of the rejection: this quantile of all labelled documents, with this margin.
+QUANTILE, MARGIN = 0.9995, 1.5
 #: Score below which `identify` rejects a text.
 ACCEPT = 0.5
 UNKNOWN = "und"
@@ -157,20 +158,27 @@ class Model:
     def strays(self, h: np.ndarray, n: np.ndarray, best: np.ndarray) -> np.ndarray:
         return (h - self.mean[best]) / np.sqrt(self.spread[0, best] + self.spread[1, best] / np.maximum(n, 1))
 
-    def calibrate(self, langs: np.ndarray, own: np.ndarray, n: np.ndarray) -> None:
-        """From labelled documents' cross-entropies in their own language, and sizes."""
-        use = n > 0
-        langs, own, n = langs[use], own[use], n[use]
-        for k in range(len(self.langs)):
-            h, m = own[langs == k], n[langs == k]
-            if len(h) < 2:
-                continue
-            self.mean[k] = np.average(h, weights=m)
-            off, long_ = (h - self.mean[k]) ** 2, m >= np.median(m)
-            self.spread[0, k] = max(off[long_].mean(), 1e-6)
-            self.spread[1, k] = max(((off - self.spread[0, k]) * m)[~long_].mean() if (~long_).any() else 1.0, 1.0)
-        if len(own):
-            self.limit = float(np.quantile(self.strays(own, n, langs), QUANTILE)) * MARGIN
+    def calibrate(self, rows: DataFrame) -> None:
+        """From all labelled documents' cross-entropies in their own language and sizes: rows (k, h, n; materialised).
+
+        The driver gets sums per language and two order statistics."""
+        rows = rows.where("n > 0")
+        means = rows.groupBy("k").agg((F.sum(F.col("h") * F.col("n")) / F.sum("n")).alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.count("*").alias("rows")).where("rows > 1")
+        off = rows.join(F.broadcast(means), "k").select("k", "n", F.pow(F.col("h") - F.col("mean"), 2).alias("off"), (F.col("n") >= F.col("median")).alias("long"), "mean")
+        first = off.groupBy("k", "mean").agg(F.avg(F.when(F.col("long"), F.col("off"))).alias("s0"), F.avg(F.when(~F.col("long"), F.col("off") * F.col("n"))).alias("a"), F.avg(F.when(~F.col("long"), F.col("n"))).alias("b"))
+        for r in first.collect():
+            # the mean of (off - s0) * n over the shorter ones
+            s0 = max(r["s0"], 1e-6)
+            self.mean[r["k"]], self.spread[0, r["k"]] = r["mean"], s0
+            self.spread[1, r["k"]] = 1.0 if r["a"] is None else max(r["a"] - s0 * r["b"], 1.0)
+        here = [{"k": k, "m": float(self.mean[k]), "s0": float(self.spread[0, k]), "s1": float(self.spread[1, k])} for k in range(len(self.langs))]
+        spreads = F.broadcast(small_table(rows.sparkSession, here, "k long, m double, s0 double, s1 double"))
+        stray = rows.join(spreads, "k").select(((F.col("h") - F.col("m")) / F.sqrt(F.col("s0") + F.col("s1") / F.col("n"))).alias("z"))
+        if total := stray.count():
+            at = (total - 1) * QUANTILE
+            # the order statistics around the quantile end the few largest
+            ends = [r["z"] for r in stray.orderBy(F.desc("z")).limit(total - int(at)).orderBy("z").limit(2).collect()]
+            self.limit = (ends[0] + (at - int(at)) * (ends[-1] - ends[0])) * MARGIN
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         if not len(column) or not self.langs:
@@ -187,10 +195,10 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """Model of the languages of docs (lang, text; rows without lang are left out).
 
-    Counts come from all rows.  At most SYMBOLS ** 3 counts per language reach the driver.
+    Counts and the rejection's limit come from all rows.  At most SYMBOLS ** 3 counts per language reach the driver.
     """
-    docs = docs.where("lang IS NOT NULL").select("doc_id", "lang", "text")
-    counts = docs.select("lang", "text").mapInArrow(_count, "lang string, code long, c long").groupBy("lang", "code").agg(F.sum("c").alias("c"))
+    docs = docs.where("lang IS NOT NULL").select("lang", "text")
+    counts = docs.mapInArrow(_count, "lang string, code long, c long").groupBy("lang", "code").agg(F.sum("c").alias("c"))
     model = Model(counts.toPandas())
     if not model.langs:
         return model
@@ -205,9 +213,9 @@ def train(docs: DataFrame) -> Model:
                 k = np.searchsorted(m.langs, batch.column("lang").to_pylist())
                 yield pa.record_batch({"k": k.astype(np.int64), "h": h[np.arange(len(h)), k], "n": n})
 
-    few = docs.select("doc_id", F.xxhash64("doc_id", F.lit(3)).alias("h")).orderBy("h", "doc_id").limit(CALIBRATION_DOCS).select("doc_id").distinct()
-    sample = docs.join(F.broadcast(few), "doc_id").mapInArrow(own, "k long, h double, n long").toPandas()
-    model.calibrate(sample["k"].to_numpy(), sample["h"].to_numpy(), sample["n"].to_numpy())
+    rows = materialise(docs.mapInArrow(own, "k long, h double, n long"), "strays")
+    model.calibrate(rows)
+    discard(rows)
     return model
 
 

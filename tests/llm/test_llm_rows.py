@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +222,22 @@ def test_packed_rows_of_equal_documents(spark):
     assert sum(r.length for r in rows) == 9 and all(r.doc_tokens == 3 for r in rows)
     assert np.all(np.array([r.offset + r.length for r in rows]) <= 1024)
     assert packing.pack(df.withColumn("doc_id", F.lit(None).cast("long")), vocabulary()).count() >= 3
+
+
+def test_language_calibration_takes_all_rows(spark):
+    df = spark.range(9_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "fr").otherwise("en").alias("lang"),
+        F.concat(F.translate(F.md5(F.col("id").cast("string")), "0123456789", "ghijklmnop"), F.repeat(F.lit(" the word"), (F.col("id") % 7).cast("int"))).alias("text"),
+    )
+    model = language_id.train(df)
+    rows = df.toPandas()
+    h, n = model.entropies(pa.array(rows["text"].tolist()))
+    k = rows["lang"].map({"en": 0, "fr": 1}).to_numpy()
+    own = h[np.arange(len(h)), k]
+    for lang in (0, 1):
+        mine, size = own[k == lang], n[k == lang]
+        mean = np.average(mine, weights=size)
+        off, long_ = (mine - mean) ** 2, size >= np.median(size)
+        s0 = max(off[long_].mean(), 1e-6)
+        np.testing.assert_allclose([model.mean[lang], *model.spread[:, lang]], [mean, s0, max(((off - s0) * size)[~long_].mean(), 1.0)], rtol=1e-9)
+    np.testing.assert_allclose(model.limit, np.quantile(model.strays(own, n, k), language_id.QUANTILE) * language_id.MARGIN, rtol=1e-9)
