@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.sources.shared import numbered
+from corpusloom.sources.shared import bounded_broadcast, materialise, numbered
 
 # Sources that are kept, what a missing judgment says, the score of a failed judge.
 SOURCES = 4
@@ -45,10 +45,11 @@ def final_sources(reranked: DataFrame, n: int = SOURCES) -> DataFrame:
 
 
 def lookup_sources(sources: DataFrame, store: DataFrame, order: str = "doc_id") -> DataFrame:
-    """sources with the store's columns; those the store lacks go."""
-    return sources.join(store, order)
+    """sources with the store's columns; those the store lacks go.  The store's texts aren't shuffled where sources are few."""
+    return store.join(bounded_broadcast(materialise(sources, "sources")), order)
 
 
 def candidates_in_store_order(store: DataFrame, candidates: DataFrame, order: str = "doc_id") -> DataFrame:
     """The store's rows that any question has as a candidate, with place, their 0-based number in store order."""
-    return numbered(store.join(candidates.select(order).distinct(), order, "left_semi"), [F.col(order)], "place")
+    wanted = materialise(candidates.select(order).distinct(), "wanted")
+    return numbered(store.join(bounded_broadcast(wanted), order, "left_semi"), [F.col(order)], "place")

@@ -97,7 +97,7 @@ def mmr(pool: DataFrame, similarity: DataFrame, k: int = K, lam: float = LAMBDA,
 def retrieval_records(hits: DataFrame, store: DataFrame, text: str = "text") -> DataFrame:
     """hits with 4-place scores and previews."""
     texts = store.select("doc_id", preview(F.col(text)).alias("preview"))
-    return hits.join(texts, "doc_id").withColumn("score", F.round("score", 4))
+    return texts.join(bounded_broadcast(materialise(hits, "hits")), "doc_id").withColumn("score", F.round("score", 4))
 
 
 def _unit(column: pa.Array) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import STOPWORDS
 from corpusloom.operators import chunking, dense, evaluate, grounding, rerank, search, tfidf
 from corpusloom.plans.queries import QUERIES
+from corpusloom.sources.shared import materialise
 
 
 def test_weights_have_unit_length(spark):
@@ -227,3 +228,18 @@ def test_dense_search_holds_tiles_of_similarities():
         want = np.lexsort((np.arange(3000), -every[row]))[:3].tolist()
         assert got[q] == [(v, every[row, v]) for v in want]
     assert peak < 32 << 20  # all similarities at once are 36 MB, and were held several times
+
+
+def test_few_sources_are_looked_up_without_a_shuffle_of_the_store(spark):
+    """By a join whose other side's size Spark doesn't know, the store's whole texts were shuffled."""
+    store = materialise(spark.range(1000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("text "), 20).alias("content")), "store")
+    few = spark.range(3).select(F.col("id").alias("query_id"), (F.col("id") * 400).alias("doc_id"), F.lit(0.5).alias("score")).repartition(2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (rerank.lookup_sources(few, store), search.retrieval_records(few, store, "content")):
+            assert "BroadcastHashJoin" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "Exchange hashpartitioning" not in plan
+            assert {(r.query_id, r.doc_id) for r in out.collect()} == {(0, 0), (1, 400), (2, 800)}
+        placed = rerank.candidates_in_store_order(store.select("doc_id"), few.union(few))
+        assert {(r.doc_id, r.place) for r in placed.collect()} == {(0, 0), (400, 1), (800, 2)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
