@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import citation_count, judge_excerpt, unwrap_answer
+from corpusloom.sources.shared import bounded_broadcast, materialise
 
 ROUNDS, FAITHFUL_SCORE = 2, 85
 
@@ -83,9 +84,11 @@ def terminal_outcome(routed_questions: DataFrame, hit_counts: DataFrame, outcome
 
 def cited_sources(final: DataFrame, documents: DataFrame, zero_score: bool = False) -> DataFrame:
     """final (query_id, position, doc_id, score, llm_score) with title, authors, year and source; unknown
-    documents get defaults.  zero_score sets score to 0, as the recorded runs have it."""
-    d = documents.select("doc_id", "title", "authors", "year", F.col("source"))
-    return final.join(d, "doc_id", "left").select(
+    documents get defaults.  zero_score sets score to 0, as the recorded runs have it.  Of documents only the cited ones are joined."""
+    final = materialise(final, "final")
+    wanted = materialise(final.select("doc_id").distinct(), "wanted")
+    d = documents.select("doc_id", "title", "authors", "year", F.col("source")).join(bounded_broadcast(wanted), "doc_id", "left_semi")
+    return final.join(bounded_broadcast(materialise(d, "cited")), "doc_id", "left").select(
         "query_id", "position", "doc_id", "title", F.coalesce("authors", F.lit("Unknown")).alias("authors"), F.coalesce("year", F.lit(0)).alias("year"),
         F.coalesce("source", F.lit("")).alias("source"), F.lit(0.0).alias("score") if zero_score else F.col("score"), "llm_score",
     )
