@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import STOPWORDS, words
-from corpusloom.sources.shared import numbered
+from corpusloom.sources.shared import bounded_broadcast, numbered
 
 
 def term_counts(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -26,10 +26,12 @@ def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def frequency_of(texts: DataFrame, text: str = "text") -> DataFrame:
+def frequency_of(texts: DataFrame, text: str = "text", only: DataFrame | None = None) -> DataFrame:
     """term, df of texts, each row a text of its own: where counts per text aren't wanted.  Only terms with
-    partial sums are shuffled."""
+    partial sums are shuffled.  only (term; materialised): of these terms alone."""
     terms = texts.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
+    if only is not None:
+        terms = terms.join(bounded_broadcast(only.select("term")), "term", "left_semi")
     return terms.where(~F.col("term").isin(*STOPWORDS)).groupBy("term").agg(F.count("*").alias("df"))
 
 

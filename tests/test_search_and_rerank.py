@@ -243,3 +243,10 @@ def test_few_sources_are_looked_up_without_a_shuffle_of_the_store(spark):
         assert {(r.doc_id, r.place) for r in placed.collect()} == {(0, 0), (400, 1), (800, 2)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_frequencies_of_given_terms_alone(spark):
+    d = spark.createDataFrame([("cat dog dog",), ("Cat",), ("the eel",), (None,)], "text string")
+    only = materialise(spark.createDataFrame([("cat",), ("the",), ("none",), ("eel",)], "term string"), "only")
+    assert {tuple(r) for r in tfidf.frequency_of(d, only=only).collect()} == {("cat", 2), ("eel", 1)}
+    assert {tuple(r) for r in tfidf.frequency_of(d).collect()} == {("cat", 2), ("dog", 1), ("eel", 1)}
