@@ -37,9 +37,14 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
+# White space by Unicode.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_all(text: Column) -> Column:
-    """Without white space (any, by Unicode) at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space (any, by Unicode) at both ends.  (A pattern for the end would be tried at each blank
+    of the text, and look through all of a run of them from each.)"""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def excerpt(text: Column, size: int) -> Column:

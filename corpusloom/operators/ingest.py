@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,17 +77,22 @@ def quota_check(uploads: DataFrame, used: int | DataFrame = 0, limit: int = MAX_
 
 
 def _folded(rows: DataFrame, kind: str) -> DataFrame:
-    """batch_id, pos, size, accepted of (batch_id, pos, size, room), each batch in one task."""
+    """batch_id, pos, size, accepted of (batch_id, pos, size, room), each batch in one task, which goes through its
+    batches in order: they are many and small, so that a frame for each would take longer than they do."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        left, fits = int(pdf["room"].iloc[0]), []
-        for size in pdf["size"].tolist():
-            fits.append(size <= left)
-            left -= size if fits[-1] else 0
-        return pdf.drop(columns="room").assign(accepted=fits)
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left = (), 0  # no batch yet
+        for part in parts:
+            fits = []
+            for batch, size, room in zip(*(part.column(c).to_pylist() for c in ("batch_id", "size", "room"))):
+                if batch != now:
+                    now, left = batch, room
+                fits.append(size <= left)
+                left -= size if fits[-1] else 0
+            yield pa.record_batch([*(part.column(c) for c in ("batch_id", "pos", "size")), pa.array(fits, pa.bool_())], names=["batch_id", "pos", "size", "accepted"])
 
-    return rows.select("batch_id", "pos", "size", "room").groupBy("batch_id").applyInPandas(fold, f"batch_id {kind}, pos long, size long, accepted boolean")
+    dealt = rows.select("batch_id", "pos", "size", "room").repartition("batch_id").sortWithinPartitions("batch_id", "pos")
+    return dealt.mapInArrow(fold, f"batch_id {kind}, pos long, size long, accepted boolean")
 
 
 def duplicates(uploads: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -111,7 +118,8 @@ def judged_uploads(uploads: DataFrame, known: DataFrame, used: DataFrame, limit:
     judged for itself.  (Equal files have equal sizes, so that a copy of one that did not fit doesn't fit either: the
     first of a hash decides, and only firsts go through the quota.)"""
     err = upload_error(F.col("original_filename"), F.col("mime_type"), F.col("size"))
-    rows = uploads.select("id", "owner", "hash", "size", "good", err.alias("error")).join(known, ["owner", "hash"], "left")
+    # several branches read these: rules are tried once
+    rows = materialise(uploads.select("id", "owner", "hash", "size", "good", err.alias("error")).join(known, ["owner", "hash"], "left"), "rules")
     able = F.col("error").isNull() & F.col("old").isNull()
     firsts = rows.where(able & F.col("good")).groupBy("owner", "hash").agg(F.min("id").alias("first"))
     rows = rows.join(firsts, ["owner", "hash"], "left")

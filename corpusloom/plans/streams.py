@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.plans.registry import chunks_sql, hits_sql, query, stored, table, tokens_sql
 from corpusloom.sources import corpus
-from corpusloom.sources.shared import fresh_path
+from corpusloom.sources.shared import ROW_GROUP, fresh_path
 from corpusloom.streaming import ingest as stream
 
 #: An owner's quota in bytes, of some 250,000 that its hundred files have on average; what comes in at once.
@@ -37,8 +37,10 @@ def _streamed(spark: SparkSession, sf_dir: str) -> str:
             F.when(k == 2, "image/png").otherwise("text/plain").alias("mime_type"), F.when(k == 3, 0).otherwise(F.octet_length(F.coalesce("text", F.lit("")))).cast("long").alias("size"),
         )
         last = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0] + 1
-        for part in range(ARRIVALS):
-            uploads.where((F.col("id") * ARRIVALS >= part * last) & (F.col("id") * ARRIVALS < (part + 1) * last)).write.parquet(f"{path}/uploads/part-{part}")
+        ends = [-(-part * last // ARRIVALS) for part in range(ARRIVALS + 1)]
+        for part, (lo, hi) in enumerate(zip(ends, ends[1:])):
+            # bounds of the table's own column, by which its row groups are passed over
+            uploads.where((F.col("id") >= lo) & (F.col("id") < hi)).write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/uploads/part-{part}")
             source = spark.readStream.schema(uploads.schema).parquet(f"{path}/uploads/part-*")
             stream.start_ingest(source, f"{path}/state", f"{path}/checkpoint", LIMIT).awaitTermination()
         stream.delete(spark, f"{path}/state", docs.where("doc_id % 10 = 5").select(F.col("doc_id").alias("id")), 1)

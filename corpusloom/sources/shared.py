@@ -45,7 +45,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 FILE_ROWS, TASK_ROWS = 200_000, 20_000
 
 
-def materialise(df: DataFrame, name: str, rows: int | None = None, work: int | None = None) -> DataFrame:
+#: Bytes of texts to a row group, which is the least that a task reads: with the usual 128 MB a file is one task's.
+ROW_GROUP = 8 << 20
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None, work: int | None = None, texts: bool = False) -> DataFrame:
     """Write df as Parquet under the shared folder and return the written table.
 
     This cuts the lineage with files that outlive any executor.  The name gets a random part,
@@ -53,7 +57,7 @@ def materialise(df: DataFrame, name: str, rows: int | None = None, work: int | N
 
     A small table should not be a file per partition.  rows bounds what it holds: a file for each
     FILE_ROWS; work bounds what it is made from, where making it takes time: a task for each
-    TASK_ROWS, and at least two per core.
+    TASK_ROWS, and at least two per core.  A table of texts is cut to row groups that tasks can share.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
@@ -61,7 +65,8 @@ def materialise(df: DataFrame, name: str, rows: int | None = None, work: int | N
         df = df.coalesce(-(-rows // FILE_ROWS) or 1)
     elif work is not None:
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, work // TASK_ROWS))
-    df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    out = df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    (out.option("parquet.block.size", ROW_GROUP) if texts else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,7 +17,7 @@ from corpusloom.functions.text import trim_all
 from corpusloom.operators import chunking, index, ingest
 from corpusloom.operators import search as similar
 from corpusloom.sources import corpus
-from corpusloom.sources.shared import bounded_broadcast, discard, materialise, small_table
+from corpusloom.sources.shared import ROW_GROUP, bounded_broadcast, discard, materialise, small_table
 
 TABLES = {
     "results": "id long, owner long, hash string, size long, code int, message string, existing_id long, b string",
@@ -52,7 +52,7 @@ def _read(spark: SparkSession, state: str, table: str) -> DataFrame:
 def _write(rows: DataFrame, state: str, table: str, batch: str) -> DataFrame:
     """Write a batch's rows and return them as written."""
     path = f"{state}/{table}/b={batch}"
-    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    rows.write.mode("overwrite").options(**{"compression": "zstd", "parquet.block.size": ROW_GROUP}).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
@@ -88,13 +88,14 @@ def start_ingest(stream: DataFrame, state: str, checkpoint: str, limit: int = in
         owner = F.col("owner") if "owner" in batch.columns else F.lit(0)
         text = trim_all(F.coalesce("text", F.lit("")))
         uploads = batch.withColumn("hash", F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn("text", text).withColumn("owner", owner.cast("long"))
-        uploads = materialise(uploads.withColumn("good", F.length("text") >= ingest.MIN_TEXT), "uploads")
+        uploads = materialise(uploads.withColumn("good", F.length("text") >= ingest.MIN_TEXT), "uploads", texts=True)
         there = materialise(documents(spark, state, name).select("id", "owner", "hash", "size"), "there")
         known = there.groupBy("owner", "hash").agg(F.min("id").alias("old"))
         used = there.groupBy(F.col("owner").alias("batch_id")).agg(F.sum("size").alias("used"))
         judged = uploads.join(ingest.judged_uploads(uploads, known, used, limit), "id")
         every = _write(judged.select("id", "owner", "hash", "size", "code", "message", "existing_id"), state, "results", name)
-        taken = uploads.join(every.where("code = 201").select("id"), "id", "left_semi")
+        # few bytes a file: texts stay where they are
+        taken = uploads.join(bounded_broadcast(every.where("code = 201").select("id")), "id", "left_semi")
         good = _write(taken.where("good").select("id", "owner", "hash", "size", F.col("original_filename").alias("title"), "text"), state, "documents", name)
         pieces = chunking.chunk_documents(good.select(F.col("id").alias("doc_id"), "title", F.col("text").alias("content")), enrich=True)
         ord_ = (F.col("doc_id") * corpus.CHUNKS + F.col("chunk_index")).alias("ord")

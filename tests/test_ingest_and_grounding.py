@@ -5,12 +5,14 @@ import re
 from collections import Counter
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import STOPWORDS
 from corpusloom.operators import chunking, grounding, index, ingest, trace
 from corpusloom.sources import corpus
+from corpusloom.sources.shared import materialise
 from corpusloom.streaming import ingest as stream
 from corpusloom.streaming import questions
 
@@ -259,6 +261,27 @@ def problems_in_order(events):
     return sorted(out, key=str)
 
 
+def test_a_task_folds_its_small_batches_one_after_the_other(spark):
+    sizes = spark.range(12_000).select(F.nullif(F.col("id") % 3000, F.lit(7)).alias("batch_id"), F.col("id").alias("pos"), (F.col("id") * 7919 % 10).alias("size"))
+    got = ingest.quota_check(sizes, limit=10)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    left, want = {}, {}
+    for r in sizes.orderBy("pos").collect():
+        want[r.pos] = fits = r.size <= left.setdefault(r.batch_id, 10)
+        left[r.batch_id] -= r.size if fits else 0
+    assert {r.pos: r.accepted for r in got.where("batch_id IS NOT NULL").collect()} == {r.pos: want[r.pos] for r in sizes.where("batch_id IS NOT NULL").collect()}
+    assert False in want.values()
+
+
+def test_texts_are_written_in_row_groups_that_tasks_can_share(spark, tmp_path):
+    texts = spark.range(6000, numPartitions=1).select("id", F.concat(*(F.sha2(F.concat("id", F.lit(f"-{k}")), 512) for k in range(40))).alias("text"))
+    held = index.Index(spark, str(tmp_path / "index"), "id", postings=False)
+    held.add(texts.select("id", F.regexp_replace("text", "(.{8})", "$1 ").alias("text")), "first")
+    for written in (materialise(texts, "texts", texts=True), stream._write(texts, str(tmp_path), "documents", "0"), held.forward()):
+        groups = [pq.ParquetFile(f.split(":", 1)[1].replace("///", "/")).num_row_groups for f in written.inputFiles()]
+        assert len(groups) == 1 and groups[0] > 2
+
+
 def test_problems_of_lifecycles_equal_a_walk(spark):
     rng = random.Random(4)
     start, rows = datetime(2024, 1, 1), []

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -21,6 +22,16 @@ def test_tokenize(spark, value, want):
     assert one(spark, X.tokenize, value) == want
 
 
+def test_trimming_takes_white_space_by_unicode_however_much_stands_within(spark):
+    odd = spark.range(1, 0xD800).select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    odd = odd.select(F.concat("c", F.lit("a"), "c", F.lit("b\n"), "c").alias("t"))
+    assert odd.where(X.trim_all(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
+    assert odd.where(F.col("t").startswith("aa") | X.trim_all(F.col("t")).startswith("a")).count() == len(X.BLANKS) + 1
+    begun = time.monotonic()
+    assert spark.range(1).select(F.concat(F.lit(" a"), F.repeat(F.lit(" "), 500_000), F.lit("b ")).alias("t")).select(F.length(X.trim_all(F.col("t")))).first()[0] == 500_002
+    assert time.monotonic() - begun < 20
+
+
 def test_trim_preview_citations(spark):
     assert one(spark, X.trim_all, " \n a \n") == "a"
     assert one(spark, X.preview, "a  b\n" + "c" * 200) == "a b " + "c" * 155 + "…"
